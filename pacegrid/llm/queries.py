@@ -7,16 +7,76 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacegrid.llm import suffix_dedup
+from pacegrid.llm import mixing, near_dedup, sharding, suffix_dedup, url_filter
 from pacegrid.llm.common import table
 
+SHARD_BYTES = 8 << 20
+#: Shares of the sources in the mix, of a sum of 24.
+MIX_WEIGHTS = {"src0": 5} | {f"src{k}": 1 for k in range(1, 20)}
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES).select("doc_id", "n_bytes", "shard_bits", "shard_prefix", "shard_page")
+
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85, 100)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX_WEIGHTS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_near_dedup": op3_near_dedup,
+    "op4_url_filter": op4_url_filter,
+    "op7_mixing": op7_mixing,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": f"""
+WITH keyed AS (
+  SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS k
+  FROM documents),
+levels AS (SELECT doc_id, n_bytes, k, d, k >> (60 - d) AS p FROM keyed, range(0, 61) AS t(d)),
+sums AS (SELECT d, p FROM levels GROUP BY d, p HAVING sum(n_bytes) <= {SHARD_BYTES} OR min(k) = max(k)),
+found AS (SELECT doc_id, n_bytes, k, min(d) AS d FROM levels JOIN sums USING (d, p) GROUP BY doc_id, n_bytes, k)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(d AS INTEGER) AS shard_bits, k >> (60 - d) AS shard_prefix, CAST(0 AS BIGINT) AS shard_page FROM found""",
+    "op3_near_dedup": r"""
+WITH RECURSIVE parts AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingled AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM parts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id""",
+    "op7_mixing": f"""
+WITH turns(source, step, turn) AS (VALUES {", ".join(f"('{s}', {i}, {t})" for s, i, t in mixing.pattern(MIX_WEIGHTS))}),
+shares AS (SELECT source, count(*) AS share FROM turns GROUP BY source),
+ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT), doc_id) - 1 AS mix_block FROM documents),
+gap AS (
+  SELECT min(n // share * (SELECT count(*) FROM turns) + turn) AS first_gap
+  FROM (SELECT s.source, s.share, count(d.source) AS n FROM shares s LEFT JOIN documents d ON d.source = s.source GROUP BY s.source, s.share) x
+  JOIN turns t ON t.source = x.source AND t.step = x.n % x.share),
+placed AS (
+  SELECT r.doc_id, r.source, r.mix_block, r.mix_block // share * (SELECT count(*) FROM turns) + turn AS mix_slot
+  FROM ranked r LEFT JOIN shares s ON s.source = r.source LEFT JOIN turns t ON t.source = r.source AND t.step = r.mix_block % s.share)
+SELECT doc_id, source, mix_block, mix_slot, CAST(0 AS BIGINT) AS mix_place, coalesce(mix_slot < first_gap, false) AS in_mix FROM placed, gap""",
 }
-ORACLE_SQL: dict[str, str] = {}
