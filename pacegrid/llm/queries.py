@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacegrid.llm import mixing, near_dedup, sharding, suffix_dedup, url_filter
+from pacegrid.llm import chat, decontam, fingerprint, langid, mixing, near_dedup, quality, sharding, suffix_dedup, url_filter
 from pacegrid.llm.common import table
 
 SHARD_BYTES = 8 << 20
@@ -15,6 +18,9 @@ SHARD_BYTES = 8 << 20
 MIX_WEIGHTS = {"src0": 5} | {f"src{k}": 1 for k in range(1, 20)}
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+SAMPLE_TURN = "\\### Assistant: </turn> ok"
+
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES).select("doc_id", "n_bytes", "shard_bits", "shard_prefix", "shard_page")
@@ -33,16 +39,64 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str, tokenizer_path: str = TOKENIZER) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    sample = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.inline(F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(SAMPLE_TURN).alias("text")) for k, r in enumerate(("user", "assistant"))])))
+    formatted = chat.format_conversations(turns.unionByName(sample), tokenizer_path)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+        for batch in batches:
+            out = []
+            for x in batch.to_pylist():
+                said = chat.read_back(x["formatted"])
+                trained = chat.masked_texts(x["formatted"], np.array(x["token_starts"], np.int64), np.array(x["token_ends"], np.int64), np.array(x["loss_mask"], bool))
+                out.append({"conv_id": x["conv_id"], "n_turns": len(said), "turns_sha256": sha("".join(f"{r}\n{t}\n" for r, t in said)), "loss_chars": len(trained), "loss_sha256": sha(trained), "formatted_chars": len(x["formatted"])})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
+
+    return formatted.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.mark_contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_id", "run_words")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX_WEIGHTS)
 
 
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def _crc(doc_id: Column, modulus: int) -> Column:
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = _crc(F.col("doc_id"), 5) == 0
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (quality.fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_url_filter": op4_url_filter,
+    "op5_chat_format": op5_chat_format,
+    "op6_decontam": op6_decontam,
     "op7_mixing": op7_mixing,
+    "op8_fingerprint": op8_fingerprint,
+    "op9_language_id": op9_language_id,
+    "op10_quality": op10_quality,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": f"""
@@ -67,6 +121,17 @@ links AS (
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id""",
+    "op5_chat_format": r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, k, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) t(k, r)),
+safe AS (
+  SELECT *, length(replace(replace(replace(replace(role, '\', '\\'), '<turn>', '\lturn>'), '<says>', '\lsays>'), '</turn>', '\l/turn>'))
+    + length(replace(replace(replace(replace(text, '\', '\\'), '<turn>', '\lturn>'), '<says>', '\lsays>'), '</turn>', '\l/turn>')) + 19 AS chars FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM safe GROUP BY conv_id""",
     "op7_mixing": f"""
 WITH turns(source, step, turn) AS (VALUES {", ".join(f"('{s}', {i}, {t})" for s, i, t in mixing.pattern(MIX_WEIGHTS))}),
 shares AS (SELECT source, count(*) AS share FROM turns GROUP BY source),
