@@ -8,6 +8,7 @@ polynomials modulo 2**64: with prefix array ``H`` the hash of any span is
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and cut its lineage.
+    """Write ``df`` as Parquet in the cluster's shared checkpoint folder and read it again.
 
-    ``spark.checkpoint.dir`` is honoured; a private folder is only set where the session has none.
+    This cuts the lineage like a checkpoint; besides, the optimizer starts from a plain scan, while
+    rows of a checkpoint keep all constraints of the plan that made them, which multiply round by round.
+    ``spark.checkpoint.dir`` is honoured; a private folder is only set where the session has none. The
+    files stay until that folder is cleared.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:
