@@ -7,13 +7,14 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 #: Entities that the JVM-side variant knows; & comes last. Fixed values.
 COMMON_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html(text: pd.Series) -> pd.Series:
     """All HTML entities; rows that are null cost nothing."""
     return text.map(html.unescape, na_action="ignore")

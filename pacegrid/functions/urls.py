@@ -7,11 +7,12 @@ from urllib.parse import urljoin, urlparse
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pacegrid.functions.text import clean_text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _join(url: pd.Series, base: pd.Series) -> pd.Series:
     def one(u: str | None, b: str | None) -> str | None:
         try:

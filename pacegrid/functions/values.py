@@ -7,6 +7,7 @@ from datetime import date, datetime
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pacegrid.functions import fixed
 from pacegrid.functions.text import blank_to_null, clean_text, coerce_list, strip
@@ -44,7 +45,7 @@ def offers_fold(offers: Column) -> tuple[Column, Column, Column, Column]:
 
 
 def _fallback(run_date: date, day_first: bool):
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def parse(texts: pd.Series) -> pd.Series:
         from dateutil import parser
 
@@ -61,23 +62,39 @@ def _fallback(run_date: date, day_first: bool):
     return parse
 
 
+def _bind(value: Column, work) -> Column:
+    """work(value) with ``value`` worked out once, however often ``work`` names it."""
+    return F.get(F.transform(F.array(value), work), 0)
+
+
+_ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:\.(\d{1,6}))?(Z|[+-]\d{2}:?\d{2})?)?$"
+_MONTH_FIRST = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: (\d{2}:\d{2}))?$"
+
+
+def _iso(x: Column) -> Column:
+    clock = F.concat(F.when(x.minute == "", "00:00").otherwise(x.minute), F.when(x.second == "", ":00").otherwise(x.second))
+    micro = F.rpad(x.micro, 6, "0")
+    fraction = F.when(F.regexp_like(micro, F.lit("[1-9]")), F.concat(F.lit("."), micro)).otherwise("")
+    zone = F.when(x.zone == "Z", "+00:00").otherwise(F.regexp_replace(x.zone, r"^([+-]\d{2})(\d{2})$", "$1:$2"))
+    valid = F.try_to_timestamp(F.concat(x.day, F.lit(" "), clock), F.lit("yyyy-MM-dd HH:mm:ss")).isNotNull()
+    return F.when((x.day != "") & valid, F.concat(x.day, F.lit("T"), clock, fraction, zone))
+
+
+def _month_first(x: Column) -> Column:
+    swapped = x.first.try_cast("int") > 12
+    day = F.concat_ws("-", x.year, F.lpad(F.when(swapped, x.second).otherwise(x.first), 2, "0"), F.lpad(F.when(swapped, x.first).otherwise(x.second), 2, "0"))
+    clock = F.when(x.minute == "", "00:00").otherwise(x.minute)
+    valid = F.try_to_timestamp(F.concat(day, F.lit(" "), clock), F.lit("yyyy-MM-dd HH:mm")).isNotNull()
+    return F.when((x.year != "") & valid, F.concat(day, F.lit("T"), clock, F.lit(":00")))
+
+
+def _groups(text: Column, pattern: str, names: str) -> Column:
+    return F.struct(*[F.regexp_extract(text, pattern, k).alias(name) for k, name in enumerate(names.split(), 1)])
+
+
 def parse_iso(text: Column) -> Column:
     """ISO-8601 and month-first dates in ISO form; null for other texts. Stays in the JVM."""
-    at = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:\.(\d{1,6}))?(Z|[+-]\d{2}:?\d{2})?)?$", 0)
-    part = lambda k: F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:\.(\d{1,6}))?(Z|[+-]\d{2}:?\d{2})?)?$", k)
-    clock = F.concat(F.when(part(2) == "", "00:00").otherwise(part(2)), F.when(part(3) == "", ":00").otherwise(part(3)))
-    micro = F.rpad(part(4), 6, "0")
-    fraction = F.when(F.regexp_like(micro, F.lit("[1-9]")), F.concat(F.lit("."), micro)).otherwise("")
-    zone = F.when(part(5) == "Z", "+00:00").otherwise(F.regexp_replace(part(5), r"^([+-]\d{2})(\d{2})$", "$1:$2"))
-    valid = F.try_to_timestamp(F.concat(part(1), F.lit(" "), clock), F.lit("yyyy-MM-dd HH:mm:ss")).isNotNull()
-    iso = F.when((at != "") & valid, F.concat(part(1), F.lit("T"), clock, fraction, zone))
-    us = lambda k: F.regexp_extract(text, r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: (\d{2}:\d{2}))?$", k)
-    swapped = us(1).try_cast("int") > 12
-    month, day = F.when(swapped, us(2)).otherwise(us(1)), F.when(swapped, us(1)).otherwise(us(2))
-    us_day = F.concat_ws("-", us(3), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    us_clock = F.when(us(4) == "", "00:00").otherwise(us(4))
-    us_valid = F.try_to_timestamp(F.concat(us_day, F.lit(" "), us_clock), F.lit("yyyy-MM-dd HH:mm")).isNotNull()
-    return F.coalesce(iso, F.when((us(3) != "") & us_valid, F.concat(us_day, F.lit("T"), us_clock, F.lit(":00"))))
+    return _bind(text, lambda said: F.coalesce(_bind(_groups(said, _ISO, "day minute second micro zone"), _iso), _bind(_groups(said, _MONTH_FIRST, "first second year minute"), _month_first)))
 
 
 def parse_date(c: Column, run_date: date, day_first: bool = False, full_entities: bool = True) -> Column:
