@@ -1,0 +1,228 @@
+"""Each operator against brute force on small tables with nulls, ties, repeated rows, long texts and clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pacegrid.llm import chat, decontam, fingerprint, langid, mixing, near_dedup, quality, queries, sharding, suffix_dedup, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def prose(seed, n):
+    return " ".join(random.Random(seed).choices(WORDS, k=n))
+
+
+def corpus():
+    base = prose(1, 120).split()
+    texts = [None, "", " \n\t", "one two", "One  TWO", prose(2, 4000)]
+    for k in range(40):  # a group of near copies, two replaced words each
+        own = list(base)
+        for at in random.Random(k).sample(range(len(own)), k % 3):
+            own[at] = f"x{k}"
+        texts.append(" ".join(own))
+    texts += [prose(7, 80) + " " + prose(100 + k, 60) for k in range(30)]  # a shared passage, but no near copies
+    texts += [prose(50, 90)] * 3 + ["été " * 80, prose(50, 90) + " tail"]
+    return list(enumerate(texts))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", f"src{i % 3}", len(t or "")) for i, t in corpus()] + [(None, "no id here at all, five words", None, None, 0)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words)} - {()} if len(words) < 5 else {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+
+def brute_components(rows, numerator):
+    sets, parent = {i: shingle_set(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if i < j and both and 100 * both >= numerator * (len(sets[i]) + len(sets[j]) - both):
+                a, b = top(i), top(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), top(i), top(i) == i) for i in sets}
+
+
+@pytest.mark.parametrize("limits", [(24, 3), (1, 0)])
+def test_near_duplicates(docs, monkeypatch, limits):
+    monkeypatch.setattr(near_dedup, "PAIRED_AT_ONCE", limits[0])
+    monkeypatch.setattr(near_dedup, "MORE_PIVOTS", limits[1])
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs.withColumn("node", F.lit(1)), 85, 100).collect()}
+    assert found.pop(None) == (3, None, True)
+    assert found == brute_components(corpus(), 85)
+
+
+def test_near_duplicates_of_nothing(empty):
+    assert not near_dedup.near_duplicates(empty).collect()
+
+
+def brute_repeats(texts, width):
+    data = [(t or "").encode() for t in texts]
+    count = defaultdict(int)
+    for b in data:
+        for k in range(len(b) - width + 1):
+            count[b[k : k + width]] += 1
+    out = []
+    for b in data:
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - width + 1):
+            if count[b[k : k + width]] > 1:
+                gone[k : k + width] = True
+        out.append((len(b), int(gone.sum()), bytes(np.frombuffer(b, np.uint8)[~gone])))
+    return out
+
+
+def test_repeated_spans(docs, empty):
+    rows = [(i, t) for i, t in corpus()] + [(None, "no id here at all, five words")]
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in suffix_dedup.repeated_spans(docs.withColumn("chunk", F.lit(0))).collect()}
+    assert found == dict(zip([i for i, _ in rows], brute_repeats([t for _, t in rows], 200), strict=True))
+    assert any(x[1] for x in found.values())
+    assert not suffix_dedup.repeated_spans(empty).collect()
+
+
+def test_shards(docs, empty):
+    limit = 3000
+    twice = docs.union(docs.where("doc_id in (3, 50)")).withColumn("shard_page", F.lit("mine"))
+    rows = sharding.shard(twice, limit).collect()
+    assert len(rows) == docs.count() + 2
+    held = defaultdict(list)
+    for r in rows:
+        held[(r["shard_bits"], r["shard_prefix"], r["shard_page"])].append(r["n_bytes"])
+    assert all(sum(x) <= limit or len(x) == 1 for x in held.values())
+    prefixes = {(b, p) for b, p, _ in held}
+    assert not any((b, p >> (c - b)) == (b, q) and (c, p) != (b, q) for c, p in prefixes for b, q in prefixes if b < c)
+    assert not sharding.shard(empty, limit).collect()
+
+
+def test_equal_rows_fill_pages(spark):
+    df = spark.createDataFrame([(1, "x" * 40)] * 10, "doc_id long, text string")
+    pages = [r["shard_page"] for r in sharding.shard(df, 100).collect()]
+    assert sorted(pages) == sorted(k // 2 for k in range(10))
+
+
+def test_urls(spark):
+    link = lambda host: f'<a href="http://{host}/">x</a>'
+    rows = [
+        (1, "http://A.Example.org/es/1", ""), (2, "http://example.org/en/12", ""), (3, "http://example.org/fr/?q", ""), (4, "https://shop.com/de/x", ""), (5, "https://good.com/fr/", link("friend.net")),
+        (6, "http://friend.net/x#y", ""), (7, "http://spam.net/x", link("shop.com")), (8, "http://alone.net", None), (9, None, None), (10, "no scheme", ""), (10, "no scheme", ""),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("score", F.lit(1)).withColumn("trust", F.lit("t"))
+    found = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, queries.URL_RULES).collect()}
+    assert found[1] == ("a.example.org", "/es/1", "example.org/es/", "block")
+    assert found[2] == ("example.org", "/en/12", "example.org/en/1", "block")
+    assert found[3] == ("example.org", "/fr/", "org/", "allow")
+    assert found[4][2:] == ("com/de/", "block")
+    assert found[5][2:] == ("com/fr/", "allow")
+    assert [found[k][3] for k in (6, 7, 8)] == ["allow", "block", "allow"]
+    assert found[9] == found[10] == ("", "", None, "allow")
+    assert not url_filter.judge_urls(pages.limit(0), queries.URL_RULES).collect()
+
+
+def test_chat(spark):
+    rows = [(1, 1, "assistant", "b \\l <turn>"), (1, 0, "user", "a</turn>"), (2, None, None, None), (2, 0, "assistant", ""), (2, 0, "assistant", "ü" * 3000), (None, 0, "assistant", queries.SAMPLE_TURN), (None, 0, "assistant", queries.SAMPLE_TURN)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
+    found = {r["conv_id"]: r for r in chat.format_conversations(turns, queries.TOKENIZER).collect()}
+    assert chat.read_back(found[1]["formatted"]) == [("user", "a</turn>"), ("assistant", "b \\l <turn>")]
+    assert chat.read_back(found[2]["formatted"]) == [("", ""), ("assistant", ""), ("assistant", "ü" * 3000)]
+    for conv_id, trained in ((1, "b \\l <turn>"), (2, "ü" * 3000), (None, queries.SAMPLE_TURN * 2)):
+        x = found[conv_id]
+        assert chat.masked_texts(x["formatted"], np.array(x["token_starts"]), np.array(x["token_ends"]), np.array(x["loss_mask"], bool)) == trained
+    assert not chat.format_conversations(turns.limit(0), queries.TOKENIZER).collect()
+
+
+def test_decontamination(spark):
+    item = "A train with 12 wagons leaves Paris at 9 h and drives 300 km to Lyon, how long does the journey take if it stops 3 times?"
+    again = "a train with 15 wagons leaves Berlin at 7 h and drives 420 km to Hamburg, how long does the journey take if it stops 5 times?"
+    broken = "A train with 12 wagons leaves Paris"
+    rows = [(1, "Intro words. " + item + " More."), (2, prose(3, 50) + " " + again), (3, broken), (4, None), (5, ""), (6, prose(4, 5000)), (6, prose(4, 5000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    benchmark = spark.createDataFrame([(7, item), (7, item), (8, None), (9, ""), (None, "short item of six words here")], "item_id long, text string")
+    found = {r["doc_id"]: (r["contaminated"], r["item_id"]) for r in decontam.mark_contaminated(docs, benchmark).collect()}
+    assert found == {1: (True, 7), 2: (True, 7), 3: (False, None), 4: (False, None), 5: (False, None), 6: (False, None)}
+    assert not decontam.mark_contaminated(docs.limit(0), benchmark).collect()
+    assert not any(r["contaminated"] for r in decontam.mark_contaminated(docs, benchmark.limit(0)).collect())
+
+
+def test_mix(spark):
+    rows = [(i, "abc"[0 if i % 2 else i % 3], "t") for i in range(400)] + [(400, None, None), (401, "other", "t"), (None, "a", "t"), (5, "a", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, mix_slot string")
+    weights = {"a": 5, "b": 2, "c": 1}
+    found = mixing.mix_sources(docs, weights).collect()
+    assert len(found) == len(rows)
+    order = [r for r in sorted((r for r in found if r["mix_slot"] is not None), key=lambda r: r["mix_slot"]) if r["in_mix"]]
+    assert [r["mix_slot"] for r in order] == list(range(len(order)))
+    seen = dict.fromkeys(weights, 0)
+    for n, r in enumerate(order, 1):
+        seen[r["source"]] += 1
+        assert all(abs(seen[s] - n * w / 8) < 1 for s, w in weights.items())
+    assert sum(r["mix_slot"] is None for r in found) == 2
+    assert not mixing.mix_sources(docs.limit(0), weights).collect()
+
+
+def test_fingerprints(docs, empty, spark):
+    rows = sorted(((i, t or "") for i, t in corpus()), reverse=True) + [(None, "no id here at all, five words")]
+    found = {r["doc_id"]: r for r in fingerprint.compare_with_next(docs.withColumn("owner", F.lit(1))).collect()}
+    assert len(found) == len(rows)
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        third = len(t) // 3
+        changed = t[: len(t) - third] + following[:third]
+        assert found[i]["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+        assert 0 <= found[i]["near_next"] <= 1 and 0 <= found[i]["near_edited"] <= 1
+        same = next((j for j, (x, y) in enumerate(zip(t, changed, strict=False)) if x != y), min(len(t), len(changed)))
+        assert found[i]["same_start"] == same
+    texts = dict(corpus())
+    for i in texts:
+        for j in texts:
+            assert ((texts[i] or "") == (texts[j] or "")) == (found[i]["fingerprint"] == found[j]["fingerprint"])
+    assert not fingerprint.compare_with_next(empty).collect()
+
+
+def test_languages(spark, empty):
+    voice = {"en": "the and with from there which of is", "de": "der und mit von ich nicht ist eine", "fr": "le et avec dans une est pour que"}
+    rows = [(i, " ".join(random.Random(i).choices(voice[lang].split(), k=30)), lang) for i, lang in enumerate(list(voice) * 40)]
+    docs = spark.createDataFrame([*rows, (900, None, "en"), (901, "123 !", "en"), (902, "", None)], "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    model = langid.fit(docs.where("doc_id % 5 <> 0"))
+    found = {r["doc_id"]: r for r in langid.predict(docs, model).collect()}
+    assert all(found[i]["lang_pred"] == lang for i, _, lang in rows)
+    assert all(found[i]["lang_pred"] == "und" and found[i]["score"] == 0 for i in (900, 901, 902))
+    assert langid.fit(empty) is None
+    assert {r["lang_pred"] for r in langid.predict(docs, None).collect()} == {"und"}
+
+
+def test_quality(spark, empty):
+    good = lambda k: ". ".join(prose(1000 + k * 9 + j, 12).capitalize() for j in range(6)) + "."
+    bad = lambda k: "BUY NOW!!! $$$ " * (10 + k % 7)
+    rows = [(i, good(i) if i % 2 else bad(i)) for i in range(200)] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("statistics", F.lit("clash"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(300, None, None), (None, 1, 0), (5, 7, 0)], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r["score"] for r in quality.score_documents(docs, labels).collect()}
+    assert all((found[i] >= 0.5) == (i % 2 == 1) for i in range(200))
+    assert all(0 <= x <= 1 for x in found.values())
+    assert {r["score"] for r in quality.score_documents(docs, labels.limit(0)).collect()} == {0.5}
+    assert not quality.score_documents(empty, labels).collect()
+    kept = {r["doc_id"] for r in quality.keep_good(docs, labels).collect()}
+    assert kept >= {i for i in range(200) if i % 2}
+    assert not kept & {i for i in range(0, 200, 2)}
