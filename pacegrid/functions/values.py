@@ -120,13 +120,17 @@ def distance_label(km: Column) -> Column:
 
 def parse_distance(text: Column) -> tuple[Column, Column]:
     """Label and kilometres of a cleaned distance text; a text without a number is its own label."""
+
+    def measured(x: Column) -> Column:
+        miles = (F.abs(x.number - 70.3) < 0.01) | (F.abs(x.number - 140.6) < 0.01) | F.contains(x.key, F.lit("mile")) | F.regexp_like(x.key, F.lit(r"(?U)\bmi\b"))
+        metres = F.contains(x.key, F.lit("meter")) | F.contains(x.key, F.lit("metre")) | (F.regexp_like(x.key, F.lit(r"(?U)\d\s*m\b")) & (x.number >= 400))
+        km = F.when(miles, x.number * fixed.MILE_KM).when(metres, x.number / 1000.0).otherwise(x.number)
+        return F.round(F.coalesce(x.known, km), 3)
+
     key = F.lower(F.trim(text))
-    alias = F.create_map(*[F.lit(x) for kv in fixed.DISTANCE_ALIASES.items() for x in kv])[key]
-    number = parse_price(key)
-    miles = (F.abs(number - 70.3) < 0.01) | (F.abs(number - 140.6) < 0.01) | F.contains(key, F.lit("mile")) | F.regexp_like(key, F.lit(r"(?U)\bmi\b"))
-    metres = F.contains(key, F.lit("meter")) | F.contains(key, F.lit("metre")) | (F.regexp_like(key, F.lit(r"(?U)\d\s*m\b")) & (number >= 400))
-    km = F.round(F.coalesce(alias, F.when(miles, number * fixed.MILE_KM).when(metres, number / 1000.0).otherwise(number)), 3)
-    return F.when(alias.isNotNull(), distance_label(alias)).when(km.isNotNull(), distance_label(km)).otherwise(text), km
+    known = F.create_map(*[F.lit(x) for kv in fixed.DISTANCE_ALIASES.items() for x in kv])[key]
+    km = _bind(F.struct(key.alias("key"), parse_price(key).alias("number"), known.alias("known")), measured)
+    return F.coalesce(F.when(known.isNotNull(), _bind(known, distance_label)), _bind(km, distance_label), text), km
 
 
 def parse_distances(texts: Column) -> tuple[Column, Column]:
