@@ -10,7 +10,7 @@ Candidates never become all pairs of a bucket. Texts with equal sets collapse to
 Each node is then held against the centres of its buckets: the centre is the node with the most
 company in all its buckets, as the original of a group of copies has. Of what is still in different
 components, small buckets pair everything, and large ones are held against further centres, one
-a round, taken from the nodes that no earlier centre reached. Buckets that still hold such nodes are
+a round, taken from the nodes that no earlier centre reached. Buckets that still hold two components are
 settled exactly: their sets are joined on their rarest shingles. A pair goes on if the joint likelihood
 of its registers does not rule out the threshold, and counts as a link after an exact comparison of
 the full sets. A link of similarity 0.8 is in no common bucket with a chance of six in a hundred thousand, one of 0.85 of three in ten million.
@@ -168,17 +168,17 @@ def _with_component(rows: DataFrame, comps: DataFrame, node: str, name: str) ->
 
 def _small_buckets(members: DataFrame, comps: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Pairs of different components within buckets of up to PAIRED_AT_ONCE nodes."""
-    level = _with_component(members.where(F.col("n") <= PAIRED_AT_ONCE).select("key", "node", "size"), comps, "node", "comp")
+    level = _with_component(members.where(F.col("n") <= PAIRED_AT_ONCE).select("key", "node", "size", F.col("size").alias("most")), comps, "node", "comp")
     return _mixed_pairs(level, numerator, denominator)
 
 
 def _mixed_pairs(level: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Pairs of different components that share a key of ``level`` (key, node, size, comp) and whose sizes
-    allow the threshold: similarity is at most the smaller size over the larger."""
+    """Pairs of different components that share a key of ``level`` (key, node, size, most, comp) and whose
+    sizes allow the threshold, with an intersection of up to the smaller ``most``."""
     mixed = level.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     level = cut(level.join(mixed, "key"))
-    other = level.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"))
-    near = f"least(size, size_b) * {denominator}L >= greatest(size, size_b) * {numerator}L"
+    other = level.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"), F.col("most").alias("most_b"))
+    near = f"least(most, most_b) * {numerator + denominator}L >= (size + size_b) * {numerator}L"
     return level.withColumnRenamed("node", "a").join(other, "key").where(f"a < b and comp <> comp_b and {near}").select("a", "b").distinct()
 
 
@@ -186,7 +186,8 @@ def _rare_pairs(rest: DataFrame, comps: DataFrame, sets: DataFrame, numerator: i
     """Pairs of different components among ``rest`` (node) that share one of their rarest shingles.
 
     Two sets within the threshold always do: of n shingles, at most n - ceil(n * threshold) are missing
-    in the other set, so the rarest n - ceil(n * threshold) + 1 of each have one in common.
+    in the other set, so the rarest n - ceil(n * threshold) + 1 of each have one in common. At the rarest
+    one in common all of the intersection is still to come in both sets, which bounds it (most).
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +199,7 @@ def _rare_pairs(rest: DataFrame, comps: DataFrame, sets: DataFrame, numerator: i
     counted = each.join(each.groupBy("key").agg(F.count("*").alias("df")), "key")
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "key")))
     least = F.ceil(F.col("n") * numerator / denominator - 1e-9)
-    level = ranked.where((F.col("rank") <= F.col("n") - least + 1) & (F.col("df") > 1)).select("key", "node", F.col("n").alias("size"))
+    level = ranked.where((F.col("rank") <= F.col("n") - least + 1) & (F.col("df") > 1)).select("key", "node", F.col("n").alias("size"), (F.col("n") - F.col("rank") + 1).alias("most"))
     return _mixed_pairs(_with_component(level, comps, "node", "comp"), numerator, denominator)
 
 
@@ -230,20 +231,23 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
     stars = members.select("key", "size", F.col("node").alias("a")).join(pivots, "key").where(f"a <> node and {near}").select("a", F.col("node").alias("b")).distinct()
     comps = _merge(None, verify(stars.select("a", "b")))
     comps = _merge(comps, verify(_small_buckets(members, comps, numerator, denominator)))
-    waiting = members.where(F.col("n") > PAIRED_AT_ONCE).join(pivots.select("key", F.col("node").alias("pivot")), "key").select("key", "node", "weight", "pivot", F.lit(False).alias("closed"))
-    for turn in range(MORE_PIVOTS + 1):
+    large = members.where(F.col("n") > PAIRED_AT_ONCE)
+    waiting = large.join(pivots.select("key", F.col("node").alias("pivot")), "key").select("key", "node", "weight", "pivot", F.lit(False).alias("closed"))
+    for _ in range(MORE_PIVOTS):
         known = _with_component(_with_component(waiting, comps, "node", "comp"), comps, "pivot", "pivot_comp")
         known = cut(known.select("key", "node", "weight", "comp", (F.col("closed") | (F.col("comp") == F.col("pivot_comp"))).alias("closed")))
         waits = known.where("not closed")
         if not waits.limit(1).count():
             break
-        if turn == MORE_PIVOTS:
-            rest = known.join(waits.select("key").distinct(), "key", "left_semi").select("node").distinct()
-            comps = _merge(comps, verify(_rare_pairs(rest, comps, sets, numerator, denominator)))
-            break
         centre = waits.groupBy("key").agg(F.max(F.struct("weight", "node", "comp")).alias("next")).select("key", F.col("next.node").alias("pivot"), F.col("next.comp").alias("pivot_comp"))
         waiting = cut(known.join(centre, "key"))
         comps = _merge(comps, verify(waiting.where("comp <> pivot_comp").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()))
+    # two nodes that different centres reached were never compared: a bucket is settled only within one component
+    known = _with_component(large.select("key", "node"), comps, "node", "comp")
+    mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    rest = cut(known.join(mixed, "key", "left_semi").select("node").distinct())
+    if rest.limit(1).count():
+        comps = _merge(comps, verify(_rare_pairs(rest, comps, sets, numerator, denominator)))
     placed = nodes.select("node", "doc_id").join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     smallest = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(smallest, "comp").select("node", "component_id")

@@ -74,6 +74,20 @@ def test_near_duplicates(docs, monkeypatch, limits):
     assert found == brute_components(corpus(), 85)
 
 
+def test_stars_linked_by_members_only(spark, monkeypatch):
+    """One bucket of four texts in a row, each within the threshold of the next; the two ends are its first centres."""
+    monkeypatch.setattr(near_dedup, "PAIRED_AT_ONCE", 3)
+    monkeypatch.setattr(near_dedup, "BAND", 0)
+    for seed in range(1000):
+        line = [f"v{seed}x{k}" for k in range(130)]
+        texts = [" ".join(line[at : at + 100]) for at in (0, 10, 20, 30)]
+        nodes = [near_dedup._node(near_dedup.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))[0]) for t in texts]
+        if max(nodes[1:3]) < min(nodes[0], nodes[3]):
+            break
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["component_id"] for r in near_dedup.near_duplicates(docs, 80, 100).collect()} == {0}
+
+
 def test_near_duplicates_of_nothing(empty):
     assert not near_dedup.near_duplicates(empty).collect()
 
