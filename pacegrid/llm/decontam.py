@@ -1,10 +1,12 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words lose their outer punctuation and case; numbers, units behind numbers and names (capitalised words)
-become typed placeholders. Every window of ``WINDOW`` such tokens of a document is looked up by hash among the
-benchmark's windows. Matches of one item that go on at the same shift form a run as long as the
-slots agree: one value of the benchmark always stands for one value of the document and the
-other way round. A document is contaminated by a run of ``RUN`` words, or of a whole shorter item.
+become typed placeholders; a capitalised word also stands for itself in lower case, since it may only begin
+a sentence. Every window of ``WINDOW`` such tokens of a document is looked up by hash among the
+benchmark's windows. Matches of one item that go on at the same shift form a stretch, and in it a run goes as
+far as the slots agree: one value of the benchmark always stands for one value of the document and the
+other way round. A document is contaminated by a run of ``RUN`` words, or of a whole shorter item, with
+``LEAST_WORDS`` ordinary words (or all that a shorter item has, at least one) or the item's very values.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pacegrid.llm.common import BYTE_CODE, blocks, lower_bytes, mix, prefix_hash, span_hash, text_buffer, words
+from pacegrid.llm.common import BASE, BYTE_CODE, INVERSE, blocks, lower_bytes, mix, powers, prefix_hash, span_hash, text_buffer, words
 
 WINDOW, RUN = 8, 13
-#: A window with fewer ordinary words counts only if its slots hold the very values of the benchmark.
+#: A run with fewer ordinary words counts only if its slots hold the very values of the benchmark.
 LEAST_WORDS = 4
+#: Forms of windows that are looked up at once.
+FORMS_AT_ONCE = 1 << 21
 #: Benchmark bytes that one pass over the documents holds.
 BLOCK_BYTES = 2 << 20
 PIECE_BYTES = 2 << 20
@@ -64,14 +68,30 @@ class Tokens:
         self.slot = number | unit | name
         self.code = self.value.copy()
         self.code[name], self.code[unit], self.code[number] = _NAME, _UNIT, _NUMBER
+        self.name = self.code == np.uint64(_NAME)
         self.counts = np.bincount(rows, minlength=len(offsets) - 1)
         self.first = np.concatenate([[0], np.cumsum(self.counts)])
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens and hashes of all windows of ``length`` tokens."""
+    def windows(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """First tokens and hashes of all windows of ``length`` tokens, in all forms: each name as such and as its word."""
         at = np.arange(len(self.code))
         at = at[at + length <= self.first[self.rows + 1]] if len(at) else at
-        return at, span_hash(prefix_hash(self.code), at, at + length)
+        if not len(at):
+            return
+        prefix = prefix_hash(self.code)
+        names = np.concatenate([[0], np.cumsum(self.name)])
+        forms = np.cumsum(1 << (names[at + length] - names[at]))
+        low = 0
+        while low < len(at):
+            high = max(low + 1, int(np.searchsorted(forms, (forms[low - 1] if low else 0) + FORMS_AT_ONCE, side="right")))
+            own = at[low:high]
+            plain = (prefix[own + length] - prefix[own]) * powers(INVERSE, len(prefix))[own]
+            for k in range(length):
+                named = np.flatnonzero(self.name[own + k])
+                other = own[named] + k
+                own, plain = np.concatenate([own, own[named]]), np.concatenate([plain, plain[named] + (self.value[other] - self.code[other]) * powers(BASE, length)[k]])
+            yield own, mix(plain)
+            low = high
 
 
 _UNIT_VALUES = _hash_words(UNITS.split())
@@ -86,51 +106,58 @@ class Index:
         self.places: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         counts = self.tokens.counts
         for length in sorted({min(WINDOW, int(c)) for c in counts if c}):
-            at, hashes = self.tokens.windows(length)
-            for first, key in zip(at.tolist(), hashes.tolist(), strict=True):
-                item = int(self.tokens.rows[first])
-                if length == min(WINDOW, counts[item]):
-                    self.places[length][key].append((item, first))
+            for at, hashes in self.tokens.windows(length):
+                for first, key in zip(at.tolist(), hashes.tolist(), strict=True):
+                    item = int(self.tokens.rows[first])
+                    if length == min(WINDOW, counts[item]):
+                        self.places[length][key].append((item, first))
         self.places = {length: dict(x) for length, x in self.places.items()}
         self.keys = {length: np.sort(np.array(list(x), np.uint64)) for length, x in self.places.items()}
 
-    def slots(self, first: int, own: Tokens, at: int, length: int) -> list[tuple[int, int]] | None:
-        """(benchmark value, document value) of the window's slots; None if it says too little."""
-        slot = self.tokens.slot[first : first + length]
-        theirs, mine = self.tokens.value[first : first + length][slot], own.value[at : at + length][slot]
-        if length - int(slot.sum()) < min(LEAST_WORDS, length) and not (theirs == mine).all():
-            return None
-        return list(zip(theirs.tolist(), mine.tolist(), strict=True))
+    def longest(self, item: int, first: int, own: Tokens, at: int, length: int) -> int:
+        """Words of the longest run among ``length`` matching tokens from ``first`` of the item and ``at`` of the document that says enough."""
+        theirs, mine = slice(first, first + length), slice(at, at + length)
+        slots = (self.tokens.slot[theirs] & own.slot[mine] & (self.tokens.code[theirs] == own.code[mine])).tolist()
+        needed = min(LEAST_WORDS, max(1, int((~self.tokens.slot[self.tokens.first[item] : self.tokens.first[item + 1]]).sum())))
+        ordinary, start, same, most = [0], 0, 0, 0
+        there: dict[int, tuple[int, int]] = {}
+        back: dict[int, tuple[int, int]] = {}
+        for k, (slot, a, b) in enumerate(zip(slots, self.tokens.value[theirs].tolist(), own.value[mine].tolist(), strict=True)):
+            ordinary.append(ordinary[-1] + (not slot))
+            if slot:
+                for seen, x, y in ((there, a, b), (back, b, a)):
+                    if x in seen and seen[x][0] != y:
+                        start = max(start, seen[x][1] + 1)
+                    seen[x] = (y, k)
+                if a != b:
+                    same = k + 1
+            if ordinary[k + 1] - ordinary[start] >= needed:
+                most = max(most, k + 1 - start)
+            most = max(most, k + 1 - same)
+        return most
 
     def best(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, tuple[int, int]]:
         """Of each contaminated row: words of the longest run, and the item."""
         own = Tokens(data, offsets)
-        hits: dict[tuple[int, int, int], list[tuple[int, int, int]]] = defaultdict(list)
+        hits: dict[tuple[int, int, int], set[int]] = defaultdict(set)
         for length, keys in self.keys.items():
-            at, hashes = own.windows(length)
-            if not len(at):
-                continue
-            found = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)] == hashes)
-            for k in found.tolist():
-                for item, first in self.places[length][int(hashes[k])]:
-                    hits[(int(own.rows[at[k]]), item, int(at[k]) - first)].append((int(at[k]), first, length))
+            for at, hashes in own.windows(length):
+                found = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)] == hashes)
+                for k in found.tolist():
+                    for item, first in self.places[length][int(hashes[k])]:
+                        hits[(int(own.rows[at[k]]), item, int(at[k]) - first)].add(int(at[k]))
         out: dict[int, tuple[int, int]] = {}
-        for (row, item, _), windows in hits.items():
-            run = longest = 0
-            last, there, back = -2, {}, {}
-            for at, first, length in sorted(windows):
-                pairs = self.slots(first, own, at, length)
-                if pairs is None:
-                    continue
-                if at != last + 1 or any(there.get(a, b) != b or back.get(b, a) != a for a, b in pairs):
-                    run, there, back = 0, {}, {}
-                    if any(there.setdefault(a, b) != b or back.setdefault(b, a) != a for a, b in pairs):
-                        continue
-                for a, b in pairs:
-                    there[a], back[b] = b, a
-                run = run + 1 if run else length
-                last, longest = at, max(longest, run)
-            if longest >= min(RUN, int(self.tokens.counts[item])) > 0:
+        for (row, item, shift), windows in hits.items():
+            count = int(self.tokens.counts[item])
+            longest, begin, last = 0, None, None
+            for at in [*sorted(windows), None]:
+                if last is not None and at != last + 1:
+                    length = last + min(WINDOW, count) - begin
+                    if length >= min(RUN, count):
+                        longest = max(longest, self.longest(item, begin - shift, own, begin, length))
+                    begin = at
+                begin, last = at if begin is None else begin, at
+            if longest >= min(RUN, count) > 0:
                 out[row] = max(out.get(row, (0, 0)), (longest, -item))
         return {row: (longest, self.ids[-item]) for row, (longest, item) in out.items()}
 

@@ -179,6 +179,20 @@ def test_decontamination(spark):
     assert not any(r["contaminated"] for r in decontam.mark_contaminated(docs, benchmark.limit(0)).collect())
 
 
+def test_dense_slots(spark):
+    """Runs of few ordinary words, short items of slots, names in lower case and slots that stop to agree."""
+    item = "Alice paid 12 dollars for 3 kg of rice. How much does 1 kg cost?"
+    rows = [
+        (1, "Bob paid 20 dollars for 5 kg of rice. How much does 1 kg cost?"), (2, "Bob paid 20 dollars for 5 kg of rice. how much does 1 kg cost?"), (3, "Bob paid 20 dollars for 5 kg of rye. How much does 1 kg cost?"),
+        (4, "so Carol ate 9 of 11 figs"), (5, "so Carol ate 9 of 9 figs"), (6, "Bob met Carl in 1999 with 30 kg"), (7, "so Alice met Dan in 2024 with 12 kg"),
+        (8, "ALICE PAID 12 DOLLARS FOR 3 KG OF RICE. HOW MUCH DOES 1 KG COST?"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item), (2, "Dave ate 7 of 8 figs"), (3, "Alice 2024 Dan 12 kg")], "item_id long, text string")
+    found = {r["doc_id"]: (r["item_id"], r["run_words"]) for r in decontam.mark_contaminated(docs, benchmark).collect()}
+    assert found == {1: (1, 15), 2: (1, 15), 3: (None, 0), 4: (2, 6), 5: (None, 0), 6: (None, 0), 7: (None, 0), 8: (1, 15)}
+
+
 def test_mix(spark):
     rows = [(i, "abc"[0 if i % 2 else i % 3], "t") for i in range(400)] + [(400, None, None), (401, "other", "t"), (None, "a", "t"), (5, "a", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, mix_slot string")
