@@ -107,7 +107,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = registers(hashes, cuts)
             sizes = np.diff(cuts)
             nodes = [_node(hashes[x:y]) if y > x else None for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.array(sizes.astype(np.int64)), pa.array(nodes, pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())], ["doc_id", "n_shingles", "node", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("same")[a:b], pa.array(sizes.astype(np.int64)), pa.array(nodes, pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())], ["doc_id", "same", "n_shingles", "node", "registers"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,18 +203,10 @@ def _rare_pairs(rest: DataFrame, comps: DataFrame, sets: DataFrame, numerator: i
     return _mixed_pairs(_with_component(level, comps, "node", "comp"), numerator, denominator)
 
 
-def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
-
-    Two texts are linked if denominator * |A and B| >= numerator * |A or B| for their sets of distinct
-    five-word shingles (A-Z lower-cased, words are runs of bytes other than space and 0x09-0x0D; with
-    fewer words the whole sequence). component_id is the smallest doc_id that links reach; kept says
-    that it is the row's own. A null text, or one without words, has n_shingles 0 and is linked with
-    nothing. Repeated rows are linked with each other and share a doc_id, so all of them say kept. A
-    null doc_id is reached like any other and never the smallest, unless nothing else is there.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = cut(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, node long, registers binary"))
+def _grouped(docs: DataFrame, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``docs`` (doc_id, text, same) with words: doc_id, same, n_shingles, comp (component), component_id; and the others: doc_id, n_shingles."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "same")
+    sketches = cut(docs.mapInArrow(_sketch, "doc_id long, same string, n_shingles long, node long, registers binary"))
     some = sketches.where("n_shingles > 0")
     nodes = cut(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("registers").alias("registers")))
     keys = [F.xxhash64(F.lit(k), F.substring("registers", 2 * BAND * k + 1, 2 * BAND)) for k in range(BANDS)]
@@ -250,7 +242,35 @@ def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100
         comps = _merge(comps, verify(_rare_pairs(rest, comps, sets, numerator, denominator)))
     placed = nodes.select("node", "doc_id").join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     smallest = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    named = placed.join(smallest, "comp").select("node", "component_id")
-    linked = some.join(named, "node").select("doc_id", "n_shingles", "component_id")
-    alone = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = placed.join(smallest, "comp").select("node", "comp", "component_id")
+    return some.join(named, "node").select("doc_id", "same", "n_shingles", "comp", "component_id"), sketches.where("n_shingles = 0").select("doc_id", "n_shingles")
+
+
+def near_duplicates(docs: DataFrame, numerator: int = 80, denominator: int = 100) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Two texts are linked if denominator * |A and B| >= numerator * |A or B| for their sets of distinct
+    five-word shingles (A-Z lower-cased, words are runs of bytes other than space and 0x09-0x0D; with
+    fewer words the whole sequence). component_id is the smallest doc_id that links reach; kept says
+    that it is the row's own. A null text, or one without words, has n_shingles 0 and is linked with
+    nothing. Repeated rows are linked with each other and share a doc_id, so all of them say kept. A
+    null doc_id is reached like any other and never the smallest, unless nothing else is there.
+    """
+    linked, wordless = _grouped(docs.withColumn("same", F.lit(None).cast("string")), numerator, denominator)
+    alone = wordless.withColumn("component_id", F.col("doc_id"))
+    return linked.drop("same", "comp").unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, numerator: int = 80, denominator: int = 100) -> DataFrame:
+    """``docs`` (doc_id, text, any others) with one row of each component of near_duplicates().
+
+    The row of the smallest doc_id stays, null ids last; of equal ids that of the smallest MD5 of id and text,
+    of rows equal in both any one. Rows without words are linked with nothing: all of them stay.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.withColumn("_wordless", text.rlike(r"\A[\x20\x09-\x0D]*\z"))
+    worded = docs.where("not _wordless").withColumn("_same", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text).cast("binary")))
+    linked, _ = _grouped(worded.select("doc_id", "text", F.col("_same").alias("same")), numerator, denominator)
+    first = linked.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "same")).alias("first")).select(F.col("first.same").alias("_same"))
+    kept = worded.dropDuplicates(["_same"]).join(first, "_same", "left_semi").drop("_same")
+    return kept.unionByName(docs.where("_wordless")).drop("_wordless")

@@ -23,6 +23,18 @@ def test_stages(spark):
             assert out.count() <= frame.count()
 
 
+def test_one_of_each_group_goes_by_content(spark):
+    """Null and repeated ids with different texts stay; only copies and exact ties go."""
+    import corpus_pipeline
+
+    say = lambda k: " ".join(f"t{k}w{i}" for i in range(40))
+    rows = [(3, say("a")), (9, say("a") + " end"), (9, say("z")), (None, None), (None, say("b")), (None, say("c")), (None, say("c")), (7, say("d")), (7, say("e")), (7, say("e")), (8, " \n"), (8, " \n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect()]
+    expected = [rows[k] for k in (0, 2, 3, 4, 5, 7, 8, 10, 11)]
+    assert sorted(out, key=str) == sorted(expected, key=str)
+
+
 def test_run(spark):
     import corpus_pipeline
 
