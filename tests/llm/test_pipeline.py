@@ -1,6 +1,8 @@
 """The pipeline's stages on awkward rows, and as a whole on the smallest tables."""
 
+import hashlib
 import os
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +37,34 @@ def test_one_of_each_group_goes_by_content(spark):
     assert sorted(out, key=str) == sorted(expected, key=str)
 
 
+def test_shards_follow_the_mix(spark, tmp_path):
+    """Slots against a slot-by-slot schedule, and the rows of each shard in that order, also when read back."""
+    import corpus_pipeline
+    from pacegrid.llm.queries import MIX_WEIGHTS
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.limit(300).union(docs.limit(1).select(F.lit(-1).cast("long"), "text", "lang", F.lit(None).cast("string"), "n_chars"))
+    waiting = defaultdict(list)
+    for r in docs.select("doc_id", "source").collect():
+        waiting[r["source"] if r["source"] in MIX_WEIGHTS else None].append((int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:15], 16), r["doc_id"]))
+    total, slot, turn, done = sum(MIX_WEIGHTS.values()), {-1: None}, 0, dict.fromkeys(MIX_WEIGHTS, 0)
+    while any(done[s] < len(waiting[s]) for s in MIX_WEIGHTS):
+        ready = [s for s, w in MIX_WEIGHTS.items() if done[s] * total // w <= turn]
+        s = min(ready, key=lambda s: (-(-(done[s] + 1) * total // MIX_WEIGHTS[s]), s))
+        if done[s] < len(waiting[s]):
+            slot[sorted(waiting[s])[done[s]][1]] = turn
+        done[s], turn = done[s] + 1, turn + 1
+    corpus_pipeline.sharded(spark, corpus_pipeline.mixed(spark, docs, SF), SF).write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {r["doc_id"]: r["mix_slot"] for r in rows} == slot
+    shards = defaultdict(list)
+    for r in rows:
+        shards[(r["shard_bits"], r["shard_prefix"], r["shard_page"])].append(r)
+    for own in shards.values():
+        assert [r["shard_place"] for r in own] == list(range(len(own)))
+        assert own == sorted(own, key=lambda r: (r["mix_slot"] is None, r["mix_slot"], r["mix_place"]))
+
+
 def test_run(spark):
     import corpus_pipeline
 
