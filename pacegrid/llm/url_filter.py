@@ -1,7 +1,8 @@
 """URL rules and link-graph propagation over hosts.
 
 Pages that a rule fits follow the longest one. For the others their host decides: trust flows from
-hosts with allowed pages along links (personalised PageRank), distrust from hosts with blocked pages
+hosts with allowed pages along links (personalised PageRank, each host with the weight of its own seed, so
+that scores don't depend on the rest of the table), distrust from hosts with blocked pages
 against links, as a page that links to blocked ones is suspect itself. Besides the links found in the
 pages, a host and its parent domain are linked both ways, since a site speaks for its subdomains.
 """
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from pacegrid.llm.common import ascii_lower, cut
 
-DAMPING, ROUNDS = 0.85, 12
+DAMPING = 0.85
+#: Rounds between two looks at the scores, and the largest growth of a score over them, by its size, that ends the rounds.
+ROUNDS, LEAST_GROWTH = 8, 1e-6
 #: Labels that a parent domain has at least.
 PARENT_LABELS = 2
 HREF = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -42,17 +45,20 @@ def with_rules(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame
 
 
 def _spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(host, score) after ROUNDS rounds of personalised PageRank from ``seeds`` (host, seed)."""
-    degree = edges.groupBy("src").agg(F.sum("n").alias("all"))
-    steps = cut(edges.join(degree, "src").select("src", "dst", (F.col("n") / F.col("all") * DAMPING).alias("share")))
-    start = seeds.select("host", (F.col("seed") * (1 - DAMPING)).alias("score"))
+    """(kind, host, score) of personalised PageRank from ``seeds`` (kind, host, seed) along ``edges`` (kind, src, dst, n), run until no score still grows."""
+    degree = edges.groupBy("kind", "src").agg(F.sum("n").alias("all"))
+    steps = cut(edges.join(degree, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("n") / F.col("all") * DAMPING).alias("share")))
+    start = cut(seeds.select("kind", "host", (F.col("seed") * (1 - DAMPING)).alias("score")))
     scores = start
-    for turn in range(ROUNDS):
-        moved = scores.join(steps, scores.host == steps.src).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("score"))
-        scores = start.unionByName(moved).groupBy("host").agg(F.sum("score").alias("score"))
-        if turn % 4 == 3:
-            scores = cut(scores)
-    return scores
+    while True:
+        before = scores.withColumnRenamed("score", "was")
+        for _ in range(ROUNDS):
+            moved = scores.join(steps, ["kind", "host"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share")).alias("score"))
+            scores = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        grown = cut(scores.join(before, ["kind", "host"], "left"))
+        scores = grown.select("kind", "host", "score")
+        if not grown.where(F.col("score") - F.coalesce("was", F.lit(0.0)) > LEAST_GROWTH * F.col("score")).limit(1).count():
+            return scores
 
 
 def host_scores(pages: DataFrame) -> DataFrame:
@@ -67,25 +73,23 @@ def host_scores(pages: DataFrame) -> DataFrame:
     kin = parents.select(F.col("host").alias("src"), F.col("parent").alias("dst")).union(parents.select("parent", "host")).withColumn("n", F.lit(1.0))
     edges = cut(links.unionByName(kin).groupBy("src", "dst").agg(F.sum("n").alias("n")))
 
-    def seeds(of: str) -> DataFrame:
-        all_seeds = hosts.agg(F.sum(of)).first()[0] or 1.0
-        return hosts.where(F.col(of) > 0).select("host", (F.col(of) / all_seeds).alias("seed"))
-
-    trust = _spread(edges, seeds("good")).withColumnRenamed("score", "trust")
-    distrust = _spread(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeds("bad")).withColumnRenamed("score", "distrust")
-    return trust.join(distrust, "host", "full").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    good, bad = F.lit("good").alias("kind"), F.lit("bad").alias("kind")
+    seeds = hosts.select(good, "host", F.col("good").alias("seed")).union(hosts.select(bad, "host", "bad")).where("seed > 0")
+    ways = edges.select(good, "src", "dst", "n").union(edges.select(bad, "dst", "src", "n"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0.0))
+    return _spread(ways, seeds).groupBy("host").agg(of("good").alias("trust"), of("bad").alias("distrust"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], tolerance: float = 1e-9) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust.
 
     verdict is the longest fitting rule's, else block where the host's distrust exceeds its trust by
-    more than ``tolerance``, else allow; hosts that no seed reaches, and urls without a host, are
+    more than ``tolerance`` of their sum, else allow; hosts that no seed reaches, and urls without a host, are
     allowed. Null html has no links. Repeated rows and ids are judged each; other columns are ignored.
     """
     judged = with_rules(pages.select("page_id", "url", "html"), rules)
     scores = host_scores(judged)
     named = judged.select("page_id", "host", "path", "rule", "ruled").join(scores, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    verdict = F.coalesce("ruled", F.when(distrust > trust + tolerance, "block").otherwise("allow"))
+    verdict = F.coalesce("ruled", F.when(distrust - trust > tolerance * (trust + distrust), "block").otherwise("allow"))
     return named.select("page_id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

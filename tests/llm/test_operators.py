@@ -154,6 +154,19 @@ def test_urls(spark):
     assert not url_filter.judge_urls(pages.limit(0), queries.URL_RULES).collect()
 
 
+def test_urls_free_of_scale(spark):
+    """A host far from a weak seed is judged as in a small table, and a long chain to its end."""
+    rules = [("block", "bad.test", "/"), ("allow", "good.test", "/")]
+    chain = [(k, f"http://h{k}.net/", f'<a href="http://{f"h{k - 1}.net" if k else "bad.test"}/">x</a>' + "".join(f'<a href="http://o{j}.net/">x</a>' for j in range(30 * (k < 4)))) for k in range(20)]
+    pages = spark.createDataFrame([*chain, (90, "http://bad.test/", ""), (91, "http://good.test/", '<a href="http://friend.net/">x</a>'), (92, "http://friend.net/", "")], "page_id long, url string, html string")
+    found = {r["page_id"]: r for r in url_filter.judge_urls(pages, rules).collect()}
+    assert [found[k]["verdict"] for k in range(20)] == ["block"] * 20
+    assert found[92]["verdict"] == "allow"
+    more = spark.createDataFrame([(1000 + k, f"http://n{k}.bad.test/", "") for k in range(40)], "page_id long, url string, html string")
+    alike = url_filter.judge_urls(pages.where("page_id >= 91").union(more), rules).where("page_id = 92").first()
+    assert alike["trust"] == pytest.approx(found[92]["trust"])
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "b \\l <turn>"), (1, 0, "user", "a</turn>"), (2, None, None, None), (2, 0, "assistant", ""), (2, 0, "assistant", "ü" * 3000), (None, 0, "assistant", queries.SAMPLE_TURN), (None, 0, "assistant", queries.SAMPLE_TURN)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
