@@ -7,23 +7,27 @@ Registers of a union are the maxima, and two sets agree in a register with about
 similarity, so bands of registers serve as hash keys.
 
 Candidates never become all pairs of a bucket. Texts with equal sets collapse to one node first.
-Each node is then held against the centres of its buckets: the centre is the node with the most
-company in all its buckets, as the original of a group of copies has. Of what is still in different
-components, small buckets pair everything, and large ones are held against further centres, one
-a round, taken from the nodes that no earlier centre reached. Buckets that still hold two components are
-settled exactly: their sets are joined on their rarest shingles. A pair goes on if the joint likelihood
-of its registers does not rule out the threshold, and counts as a link after an exact comparison of
-the full sets. A link of similarity 0.8 is in no common bucket with a chance of six in a hundred thousand, one of 0.85 of three in ten million.
+Each node is then held against the centre of its buckets: the node with the most company in all its
+buckets, as the original of a group of copies has. Buckets that still hold two components are settled by
+an exact join of their sets. With the shingles of each set in one fixed order, the commonest last, two sets
+within the threshold share a shingle among their first few; at the first one in common, what either set has
+left bounds the intersection, and with it the sizes that still fit. Rows meet by (shingle, band of sizes)
+and only across components, so nodes that can't be within the threshold mostly never meet. A pair goes
+on if the joint likelihood of its registers does not rule out the threshold, and counts as a link after an
+exact comparison of the full sets. A link of similarity 0.8 is in no common bucket with a chance of six in a
+hundred thousand, one of 0.85 of three in ten million; the likelihood gives up a link with a chance of one in
+ten million (its ratio at SLACK, by the usual chi-square limit).
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacegrid.llm.common import BYTE_CODE, blocks, cut, distinct_by_row, lower_bytes, mix, prefix_hash, shingles, span_hash, text_buffer, words
@@ -36,8 +40,10 @@ BANDS = REGISTERS // BAND
 SPACING, RATE, LIMIT = 1.001, 20.0, 65535
 #: Pairs whose log-likelihood at the threshold is this far below the best are given up.
 SLACK = 14.0
-#: Nodes up to which all different components of a bucket are paired, and further centres that a larger bucket is held against.
-PAIRED_AT_ONCE, MORE_PIVOTS = 24, 3
+#: Bits of a shingle that name its counter in the table that orders shingles; 2**18 counters are 2 MB at any input.
+COUNTER_BITS = 18
+#: Step of the size bands, as a logarithm.
+SIZE_STEP = math.log(1.05)
 PIECE_BYTES = 2 << 20
 
 _seeds = mix(np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64))
@@ -107,7 +113,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = registers(hashes, cuts)
             sizes = np.diff(cuts)
             nodes = [_node(hashes[x:y]) if y > x else None for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], batch.column("same")[a:b], pa.array(sizes.astype(np.int64)), pa.array(nodes, pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())], ["doc_id", "same", "n_shingles", "node", "registers"])
+            kept = [batch.column(x)[a:b] for x in ("doc_id", "same", "row")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes.astype(np.int64)), pa.array(nodes, pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())], ["doc_id", "same", "row", "n_shingles", "node", "registers"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,80 +173,102 @@ def _with_component(rows: DataFrame, comps: DataFrame, node: str, name: str) ->
     return rows.join(comps.select(F.col("node").alias(node), F.col("comp").alias(f"_{name}")), node, "left").withColumn(name, F.coalesce(f"_{name}", node)).drop(f"_{name}")
 
 
-def _small_buckets(members: DataFrame, comps: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Pairs of different components within buckets of up to PAIRED_AT_ONCE nodes."""
-    level = _with_component(members.where(F.col("n") <= PAIRED_AT_ONCE).select("key", "node", "size", F.col("size").alias("most")), comps, "node", "comp")
-    return _mixed_pairs(level, numerator, denominator)
+def _counter(elements: np.ndarray, bits: int) -> np.ndarray:
+    return (elements >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _mixed_pairs(level: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Pairs of different components that share a key of ``level`` (key, node, size, most, comp) and whose
-    sizes allow the threshold, with an intersection of up to the smaller ``most``."""
-    mixed = level.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    level = cut(level.join(mixed, "key"))
-    other = level.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"), F.col("most").alias("most_b"))
-    near = f"least(most, most_b) * {numerator + denominator}L >= (size + size_b) * {numerator}L"
-    return level.withColumnRenamed("node", "a").join(other, "key").where(f"a < b and comp <> comp_b and {near}").select("a", "b").distinct()
+def _commonness(sets: DataFrame, bits: int) -> np.ndarray:
+    """Elements of ``sets`` (elements) by counter: a table of fixed size, summed up in Spark."""
 
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for batch in batches:
+            total += np.bincount(_counter(np.frombuffer(b"".join(batch.column("elements").to_pylist()), np.uint64), bits), minlength=len(total))
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["counter", "n"])
 
-def _rare_pairs(rest: DataFrame, comps: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Pairs of different components among ``rest`` (node) that share one of their rarest shingles.
+    found = sets.select("elements").mapInArrow(tally, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << bits, np.int64)
+    out[found.column("counter").to_numpy()] = found.column("n").to_numpy()
+    return out
 
-    Two sets within the threshold always do: of n shingles, at most n - ceil(n * threshold) are missing
-    in the other set, so the rarest n - ceil(n * threshold) + 1 of each have one in common. At the rarest
-    one in common all of the intersection is still to come in both sets, which bounds it (most).
-    """
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [np.frombuffer(x, np.int64) for x in batch.column("elements").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(own, pa.list_(pa.int64()))], ["node", "elements"])
+def _first_elements(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(key, node, comp, size, most): the first elements of each of ``sets`` (node, comp, elements), enough for one in
+    common with any set within the threshold. most: elements from this one on, itself included."""
+    bits = COUNTER_BITS
+    shared = sets.sparkSession.sparkContext.broadcast(_commonness(sets, bits))  # 2**COUNTER_BITS numbers at any input
 
-    each = rest.join(sets, "node").select("node", "elements").mapInArrow(listed, "node long, elements array<long>").select("node", F.size("elements").alias("n"), F.explode("elements").alias("key"))
-    counted = each.join(each.groupBy("key").agg(F.count("*").alias("df")), "key")
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "key")))
-    least = F.ceil(F.col("n") * numerator / denominator - 1e-9)
-    level = ranked.where((F.col("rank") <= F.col("n") - least + 1) & (F.col("df") > 1)).select("key", "node", F.col("n").alias("size"), (F.col("n") - F.col("rank") + 1).alias("most"))
-    return _mixed_pairs(_with_component(level, comps, "node", "comp"), numerator, denominator)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, most = [], []
+            for x in batch.column("elements").to_pylist():
+                own = np.frombuffer(x, np.uint64)
+                n = len(own) + (-numerator * len(own)) // denominator + 1
+                keys.append(own[np.lexsort((own, shared.value[_counter(own, bits)]))[:n]].view(np.int64))
+                most.append(len(own) - np.arange(n))
+            if keys:
+                each = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+                size = np.array([len(x) // 8 for x in batch.column("elements").to_pylist()])[each]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *[batch.column(c).take(pa.array(each)) for c in ("node", "comp")], pa.array(size), pa.array(np.concatenate(most))], ["key", "node", "comp", "size", "most"])
+
+    return sets.select("node", "comp", "elements").mapInArrow(work, "key long, node long, comp long, size long, most long")
+
+
+def _exact_pairs(sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (a, b) of different components of ``sets`` (node, comp, elements), all that are within the threshold among them.
+
+    The smaller set of a pair needs fewer first elements (as no partner of its size or more can do with a
+    smaller intersection), and the larger one knows from its ``most`` which sizes can still fit. Cells are
+    elements with a band of sizes: the smaller set is in its own size's cell, the larger one in those of all
+    sizes that fit. In each cell the commonest component doesn't meet itself.
+    """
+    both = numerator + denominator
+    first = cut(_first_elements(sets, numerator, denominator))
+    mixed = first.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    first = cut(first.join(mixed, "key"))
+    band = lambda size: F.floor(F.ln(size) / SIZE_STEP).cast("long")
+    columns = [F.xxhash64("key", "band").alias("cell"), "node", "comp", "size", "most"]
+    smaller = first.where(f"most * {both}L >= 2 * {numerator}L * size").withColumn("band", band(F.col("size"))).select(*columns, F.lit(True).alias("smaller"))
+    fitting = first.withColumns({"least": F.expr(f"({numerator}L * size + {denominator - 1}L) div {denominator}L"), "largest": F.expr(f"least(size, most * {both}L div {numerator}L - size)")}).where("largest >= least")
+    larger = fitting.withColumn("band", F.explode(F.sequence(band(F.col("least")), band(F.col("largest"))))).select(*columns, F.lit(False).alias("smaller"))
+    cells = cut(smaller.union(larger))
+    counts = cells.groupBy("cell", "comp").agg(F.count("*").alias("n"), F.max("smaller").alias("any_smaller"), F.min("smaller").alias("all_smaller"))
+    common = counts.groupBy("cell").agg(F.max(F.struct("n", "comp")).alias("most_common"), F.count("*").alias("comps"), F.max("any_smaller").alias("any_smaller"), F.min("all_smaller").alias("all_smaller"))
+    meeting = common.where("comps > 1 and any_smaller and not all_smaller").select("cell", F.col("most_common.comp").alias("common"))
+    cells = cut(cells.join(meeting, "cell").withColumn("common", F.col("comp") == F.col("common")))
+    a = cells.where("smaller").select("cell", F.col("node").alias("a"), "comp", "size", "most", "common")
+    b = cells.where("not smaller").select("cell", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("size").alias("size_b"), F.col("most").alias("most_b"), F.col("common").alias("common_b"))
+    near = f"comp <> comp_b and (size < size_b or size = size_b and a < b) and least(most, most_b) * {both}L >= (size + size_b) * {numerator}L"
+    met = a.where("not common").join(b, "cell").where(near).select("a", "b").union(a.where("common").join(b.where("not common_b"), "cell").where(near).select("a", "b"))
+    return met.distinct()
 
 
 def _grouped(docs: DataFrame, numerator: int, denominator: int) -> tuple[DataFrame, DataFrame]:
     """Rows of ``docs`` (doc_id, text, same) with words: doc_id, same, n_shingles, comp (component), component_id; and the others: doc_id, n_shingles."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "same")
-    sketches = cut(docs.mapInArrow(_sketch, "doc_id long, same string, n_shingles long, node long, registers binary"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "same").withColumn("row", F.xxhash64("doc_id", "text"))
+    sketches = cut(docs.mapInArrow(_sketch, "doc_id long, same string, row long, n_shingles long, node long, registers binary"))
     some = sketches.where("n_shingles > 0")
-    nodes = cut(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("registers").alias("registers")))
+    nodes = cut(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("registers").alias("registers")))
     keys = [F.xxhash64(F.lit(k), F.substring("registers", 2 * BAND * k + 1, 2 * BAND)) for k in range(BANDS)]
     bands = nodes.select("node", F.col("n_shingles").alias("size"), F.explode(F.array(*keys)).alias("key"))
     buckets = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = bands.join(buckets, "key")
     weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
     members = cut(shared.join(weights, "node"))
-    asked = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    sets = cut(docs.join(asked.withColumnRenamed("doc_id", "asked"), F.col("doc_id").eqNullSafe(F.col("asked"))).select("node", "text").mapInArrow(_sets, "node long, elements binary"))
+    asked = nodes.join(members.select("node"), "node", "left_semi").select("row", F.col("node"))
+    sets = cut(docs.select("row", "text").join(asked, "row").dropDuplicates(["row"]).select("node", "text").mapInArrow(_sets, "node long, elements binary"))
     verify = lambda pairs: _links(pairs, nodes, sets, numerator, denominator)
-    pivots = members.groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("pivot")).select("key", "pivot.weight", "pivot.node", F.col("pivot.size").alias("pivot_size"))
+    pivots = members.groupBy("key").agg(F.max(F.struct("weight", "node", "size")).alias("pivot")).select("key", "pivot.node", F.col("pivot.size").alias("pivot_size"))
     near = f"least(size, pivot_size) * {denominator}L >= greatest(size, pivot_size) * {numerator}L"
     stars = members.select("key", "size", F.col("node").alias("a")).join(pivots, "key").where(f"a <> node and {near}").select("a", F.col("node").alias("b")).distinct()
     comps = _merge(None, verify(stars.select("a", "b")))
-    comps = _merge(comps, verify(_small_buckets(members, comps, numerator, denominator)))
-    large = members.where(F.col("n") > PAIRED_AT_ONCE)
-    waiting = large.join(pivots.select("key", F.col("node").alias("pivot")), "key").select("key", "node", "weight", "pivot", F.lit(False).alias("closed"))
-    for _ in range(MORE_PIVOTS):
-        known = _with_component(_with_component(waiting, comps, "node", "comp"), comps, "pivot", "pivot_comp")
-        known = cut(known.select("key", "node", "weight", "comp", (F.col("closed") | (F.col("comp") == F.col("pivot_comp"))).alias("closed")))
-        waits = known.where("not closed")
-        if not waits.limit(1).count():
-            break
-        centre = waits.groupBy("key").agg(F.max(F.struct("weight", "node", "comp")).alias("next")).select("key", F.col("next.node").alias("pivot"), F.col("next.comp").alias("pivot_comp"))
-        waiting = cut(known.join(centre, "key"))
-        comps = _merge(comps, verify(waiting.where("comp <> pivot_comp").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()))
-    # two nodes that different centres reached were never compared: a bucket is settled only within one component
-    known = _with_component(large.select("key", "node"), comps, "node", "comp")
+    # a bucket is settled only within one component
+    known = _with_component(members.select("key", "node"), comps, "node", "comp")
     mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rest = cut(known.join(mixed, "key", "left_semi").select("node").distinct())
+    rest = cut(sets.join(known.join(mixed, "key", "left_semi").select("node", "comp").distinct(), "node"))
     if rest.limit(1).count():
-        comps = _merge(comps, verify(_rare_pairs(rest, comps, sets, numerator, denominator)))
+        comps = _merge(comps, verify(_exact_pairs(rest, numerator, denominator)))
     placed = nodes.select("node", "doc_id").join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     smallest = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(smallest, "comp").select("node", "comp", "component_id")
@@ -272,5 +301,5 @@ def one_of_each(docs: DataFrame, numerator: int = 80, denominator: int = 100) ->
     worded = docs.where("not _wordless").withColumn("_same", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), text).cast("binary")))
     linked, _ = _grouped(worded.select("doc_id", "text", F.col("_same").alias("same")), numerator, denominator)
     first = linked.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "same")).alias("first")).select(F.col("first.same").alias("_same"))
-    kept = worded.dropDuplicates(["_same"]).join(first, "_same", "left_semi").drop("_same")
+    kept = worded.join(first, "_same", "left_semi").dropDuplicates(["_same"]).drop("_same")
     return kept.unionByName(docs.where("_wordless")).drop("_wordless")
