@@ -1,8 +1,10 @@
 """Helpers shared by the corpus operators: table access, lineage cuts and vectorised text hashing.
 
-Text work inside tasks is done on UTF-8 byte buffers with numpy. Hashes are prefix
-polynomials modulo 2**64: with prefix array ``H`` the hash of any span is
-``(H[end] - H[start]) * B**-start``, so one pass over the bytes answers every span.
+Text work inside tasks is done on UTF-8 byte buffers with numpy. Hashes are pairs of prefix
+polynomials modulo the prime 2**31 - 1, at two points drawn at random: with prefix array ``H`` the
+value of any span is ``(H[end] - H[start]) * B**-start``, so one pass over the bytes answers every
+span. Two different spans of n codes have equal pairs with a chance of (n / 2**31)**2 at most,
+whatever they hold; modulo a power of two, texts exist that collide at every point.
 """
 
 from __future__ import annotations
@@ -15,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+PRIME = (1 << 31) - 1
+#: The two points that polynomials are taken at.
+POINTS = (1_482_937_611, 1_906_215_733)
+_P, _SHIFT = np.uint64(PRIME), np.uint64(31)
+#: Elements that are hashed at once, so that they stay in a core's cache.
+BLOCK = 1 << 14
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -30,13 +36,16 @@ def cut(df: DataFrame) -> DataFrame:
 
     This cuts the lineage like a checkpoint; besides, the optimizer starts from a plain scan, while
     rows of a checkpoint keep all constraints of the plan that made them, which multiply round by round.
-    ``spark.checkpoint.dir`` is honoured; a private folder is only set where the session has none. The
-    files stay until that folder is cleared.
+    ``spark.checkpoint.dir`` is honoured. A private folder is set only where a local session has none: on a
+    cluster, where others could not read it, that is an error. The files stay until the folder is cleared.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-"))
     path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -63,15 +72,26 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(data) if data else np.zeros(0, np.uint8), np.concatenate(offsets)
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for x below 2**63; works in place."""
+    for _ in range(2):
+        high = x >> _SHIFT
+        x &= _P
+        x += high
+    return np.minimum(x, x - _P, out=x)  # below PRIME the difference wraps round
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for the next call."""
+    """base**0 .. base**(n-1) modulo PRIME; kept for the next call."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        out = np.full(max(n, 1 << 16), base, np.uint64)
-        out[0] = 1
-        have = _powers[base] = np.cumprod(out, dtype=np.uint64)
-        if n > 1 << 23:  # a very long text: its tables aren't kept
-            del _powers[base]
+        have = np.ones(1 << max(16, (n - 1).bit_length()), np.uint64)
+        done = 1
+        while done < len(have):
+            have[done : 2 * done] = _reduced(have[:done] * np.uint64(pow(base, done, PRIME)))
+            done *= 2
+        if n <= 1 << 23:  # a very long text's tables aren't kept
+            _powers[base] = have
     return have[:n]
 
 
@@ -86,15 +106,42 @@ BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def prefix_hash(codes: np.ndarray) -> np.ndarray:
-    """Prefix polynomial of uint64 codes; element i covers codes[:i]."""
-    out = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * powers(BASE, len(codes)), out=out[1:], dtype=np.uint64)
+    """Both prefix polynomials (2 x n + 1) of uint64 codes; element i covers codes[:i]."""
+    out = np.zeros((2, len(codes) + 1), np.uint64)
+    for k, point in enumerate(POINTS):
+        weights = powers(point, len(codes))
+        for a in range(0, len(codes), BLOCK):
+            b = min(a + BLOCK, len(codes))
+            own = codes[a:b] >> np.uint64(31 * k)
+            own &= _P
+            own *= weights[a:b]
+            found = np.cumsum(_reduced(own), out=out[k, a + 1 : b + 1], dtype=np.uint64)
+            found += out[k, a]
+            _reduced(found)
     return out
 
 
+def spliced(head: np.ndarray, n: int, tail: np.ndarray, m: int) -> np.ndarray:
+    """Prefix polynomials of the first n codes of ``head`` and the first m of ``tail`` behind them, from those of both."""
+    moved = [_reduced(head[k, n] + _reduced(tail[k, 1 : m + 1] * np.uint64(pow(point, n, PRIME)))) for k, point in enumerate(POINTS)]
+    return np.concatenate([head[:, : n + 1], np.stack(moved)], 1)
+
+
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Position-free hash of each span [start, end)."""
-    return mix((prefix[end] - prefix[start]) * powers(INVERSE, len(prefix))[start])
+    out = np.zeros(len(start), np.uint64)
+    backs = [powers(pow(point, -1, PRIME), prefix.shape[1]) for point in POINTS]
+    for a in range(0, len(start), BLOCK):
+        some, low, high = out[a : a + BLOCK], start[a : a + BLOCK], end[a : a + BLOCK]
+        for own, back in zip(prefix, backs, strict=True):
+            value = own[high]
+            value += _P
+            value -= own[low]
+            value *= back[low]
+            some <<= _SHIFT
+            some |= _reduced(value)
+        some[:] = mix(some)
+    return out
 
 
 def blocks(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:

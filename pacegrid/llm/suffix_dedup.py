@@ -108,7 +108,7 @@ class Chunk:
             low = np.maximum(local[doc], at - COVER_PERIOD + 1)
             high = np.minimum(at, local[doc + 1] - self.width)
             fits = low <= high
-            change = np.bincount(low[fits], minlength=len(prefix) + 1) - np.bincount(high[fits] + 1, minlength=len(prefix) + 1)
+            change = np.bincount(low[fits], minlength=prefix.shape[1] + 1) - np.bincount(high[fits] + 1, minlength=prefix.shape[1] + 1)
             at = np.flatnonzero(np.cumsum(change))
             bucket = (span_hash(prefix, at, at + BUCKET_BYTES) >> np.uint64(8)) % np.uint64(self.tie_buckets)
             yield rows, local, at, bucket.astype(np.uint32), span_hash(prefix, at, at + self.width) >> np.uint64(1)

@@ -65,10 +65,10 @@ def brute_components(rows, numerator):
     return {i: (len(sets[i]), top(i), top(i) == i) for i in sets}
 
 
-@pytest.mark.parametrize("limits", [(24, 3), (1, 0)])
-def test_near_duplicates(docs, monkeypatch, limits):
-    monkeypatch.setattr(near_dedup, "PAIRED_AT_ONCE", limits[0])
-    monkeypatch.setattr(near_dedup, "MORE_PIVOTS", limits[1])
+@pytest.mark.parametrize("bits", [18, 1])
+def test_near_duplicates(docs, monkeypatch, bits):
+    """Also where the counters tell next to nothing of how common a shingle is."""
+    monkeypatch.setattr(near_dedup, "COUNTER_BITS", bits)
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs.withColumn("node", F.lit(1)), 85, 100).collect()}
     assert found.pop(None) == (3, None, True)
     assert found == brute_components(corpus(), 85)
@@ -76,7 +76,6 @@ def test_near_duplicates(docs, monkeypatch, limits):
 
 def test_stars_linked_by_members_only(spark, monkeypatch):
     """One bucket of four texts in a row, each within the threshold of the next; the two ends are its first centres."""
-    monkeypatch.setattr(near_dedup, "PAIRED_AT_ONCE", 3)
     monkeypatch.setattr(near_dedup, "BAND", 0)
     for seed in range(1000):
         line = [f"v{seed}x{k}" for k in range(130)]
@@ -88,6 +87,39 @@ def test_stars_linked_by_members_only(spark, monkeypatch):
     assert {r["component_id"] for r in near_dedup.near_duplicates(docs, 80, 100).collect()} == {0}
 
 
+@pytest.mark.parametrize("numerator", [80, 85])
+def test_exact_pairs(spark, numerator):
+    """All pairs within the threshold, and no more than meet, in one bucket of sets of many sizes around a common text."""
+    draw = np.random.default_rng(numerator)
+    base = draw.integers(1, 1 << 62, 60, dtype=np.uint64)
+    sets = []
+    for k in range(150):
+        own = np.concatenate([draw.permutation(base)[: 60 - k % 14], draw.integers(1, 1 << 62, k % 9, dtype=np.uint64)])
+        sets.append(np.sort(own))
+    rows = [(k, k if k % 10 else 0, x.tobytes()) for k, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node long, comp long, elements binary")
+    found = {tuple(sorted((r["a"], r["b"]))) for r in near_dedup._exact_pairs(df, numerator, 100).collect()}
+    within = set()
+    for a in range(150):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if rows[a][1] != rows[b][1] and 100 * both >= numerator * (len(sets[a]) + len(sets[b]) - both):
+                within.add((b, a))
+    assert within and found >= within
+
+
+def test_near_duplicates_with_equal_ids(spark):
+    """Rows that share a null id are linked by their texts alone, each pair of texts once."""
+    say = lambda k: " ".join(f"n{k}w{i}" for i in range(60))
+    texts = [say(k % 20) + (" end" if k >= 20 else "") for k in range(40)] + [say(0)] * 5
+    docs = spark.createDataFrame([(None, x) for x in texts], "doc_id long, text string")
+    linked, _ = near_dedup._grouped(docs.withColumn("same", F.col("text")), 80, 100)
+    rows = linked.collect()
+    assert len(rows) == 45
+    assert len({r["comp"] for r in rows}) == 20
+    assert {r["same"].split()[0] for r in rows if r["comp"] == rows[0]["comp"]} == {rows[0]["same"].split()[0]}
+
+
 def test_near_duplicates_of_nothing(empty):
     assert not near_dedup.near_duplicates(empty).collect()
 
@@ -206,6 +238,58 @@ def test_dense_slots(spark):
     assert found == {1: (1, 15), 2: (1, 15), 3: (None, 0), 4: (2, 6), 5: (None, 0), 6: (None, 0), 7: (None, 0), 8: (1, 15)}
 
 
+PROBLEM = "Last spring Karim planted 14 rows of beans in the garden behind Oslo station, and each row needed 3 kg of compost."
+
+
+@pytest.mark.parametrize("change", [str.lower, str.upper, str.title, lambda x: x.replace("Karim", "Wanda").replace("14", "25").replace("Oslo", "Bergen"), lambda x: x.lower().replace("14", "8").replace("3 kg", "6 kg"), lambda x: "Élan: «" + x + "» ütf"])
+def test_rewritten_copies(spark, change):
+    docs = spark.createDataFrame([(1, prose(8, 40) + ". " + change(PROBLEM) + " " + prose(9, 40)), (2, prose(10, 90)), (3, change(PROBLEM.replace("in the garden", "on a wall")))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(4, PROBLEM), (3, "Wholly other words stand here, in a line as long as the one above it, but they tell of nothing.")], "item_id long, text string")
+    found = {r["doc_id"]: r["item_id"] for r in decontam.mark_contaminated(docs, benchmark).collect()}
+    assert (found[1], found[2], found[3]) == (4, None, None)
+
+
+def test_item_ties_and_a_full_filter(spark, monkeypatch):
+    """The smallest id among equal runs, however the filter is sized and whatever it lets through."""
+    docs = spark.createDataFrame([(1, PROBLEM), (2, PROBLEM), (None, PROBLEM), (3, prose(11, 300))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(9, PROBLEM), (5, PROBLEM + " More."), (None, PROBLEM + " End."), (7, "w1 w2")], "item_id long, text string")
+    plain = sorted(decontam.mark_contaminated(docs, benchmark).collect(), key=str)
+    assert [(r["doc_id"], r["item_id"]) for r in plain] == [(1, 5), (2, 5), (3, None), (None, 5)]
+    monkeypatch.setattr(decontam, "_passes", lambda found, bits, hashes: np.arange(len(hashes)))
+    assert sorted(decontam.mark_contaminated(docs, benchmark).collect(), key=str) == plain
+
+
+def brute_contaminated(text, items):
+    """Whether 13 words in a row of an item, or all words of a shorter one, stand in the text, numbers aside."""
+    plain = lambda x: [re.sub(r"^\W+|\W+$", "", w) for w in (x or "").lower().split()]
+    same = lambda a, b: len(a) == len(b) and all(x == y or (x[:1].isdigit() and y[:1].isdigit()) for x, y in zip(a, b, strict=True))
+    own = [w for w in plain(text) if w]
+    for item in items:
+        theirs = [w for w in plain(item) if w]
+        n = min(13, len(theirs))
+        if n and any(same(own[k : k + n], theirs[j : j + n]) for j in range(len(theirs) - n + 1) for k in range(len(own) - n + 1)):
+            return True
+    return False
+
+
+def test_contaminated_like_brute_force(spark):
+    """Copies of whole and partial items among prose, in words without names, against a plain search."""
+    draw = random.Random(3)
+    items = [" ".join(draw.choices(WORDS, k=draw.choice([4, 9, 13, 20, 40]))) for _ in range(30)]
+    texts = []
+    for k in range(120):
+        own, item = prose(500 + k, 60).split(), draw.choice(items).split()
+        cut = draw.randint(1, len(item))
+        start = draw.randint(0, len(item) - cut)
+        at = draw.randint(0, 60)
+        texts.append(" ".join(own[:at] + item[start : start + cut] + own[at:]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["contaminated"] for r in decontam.mark_contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    expected = {k: brute_contaminated(t, items) for k, t in enumerate(texts)}
+    assert found == expected
+    assert 10 < sum(expected.values()) < 110
+
+
 def test_mix(spark):
     rows = [(i, "abc"[0 if i % 2 else i % 3], "t") for i in range(400)] + [(400, None, None), (401, "other", "t"), (None, "a", "t"), (5, "a", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, mix_slot string")
