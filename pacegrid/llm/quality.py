@@ -1,8 +1,8 @@
 """Quality classifier: Gaussian-kernel ridge regression by random Fourier features, then isotonic calibration.
 
 A text becomes some twenty statistics; random cosines of them approximate a Gaussian kernel. Every
-partition sums its part of the normal equations, the sums are added up in two steps, and only the
-final matrices (bounded by the number of features) reach the driver. Ridge scores made out of
+partition of a bounded sample of labelled rows sums its part of the normal equations, the sums are added up
+in two steps, and only the final matrices (bounded by the number of features) reach the driver. Ridge scores made out of
 fold are binned, and pool-adjacent-violators turns the bins into a calibrated probability.
 """
 
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pacegrid.llm.common import BYTE_CODE, blocks, cut, distinct_by_row, lower_bytes, prefix_hash, shingles, span_hash, text_buffer, words
 
 FEATURES, RIDGE = 160, 0.3
+#: Labelled rows that the model is fitted on at most: those with the least hashes of doc_id and label.
+FIT_ROWS = 50_000
 #: Score bins a unit, and the range that they cover.
 BINS, LOWEST, HIGHEST = 256, -1.0, 2.0
 PIECE_BYTES = 1 << 20
@@ -79,17 +81,18 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     )
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, statistics) of each row of ``docs`` (doc_id, text)."""
+def with_statistics(docs: DataFrame, kept: str) -> DataFrame:
+    """The columns ``kept`` (names and types) and statistics of each row of ``docs`` (text and those)."""
+    names = [x.split()[0] for x in kept.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             for a, b in blocks(offsets, PIECE_BYTES):
                 found = statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[a:b], pa.FixedSizeListArray.from_arrays(found.ravel(), found.shape[1]).cast(pa.list_(pa.float64()))], ["doc_id", "statistics"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(x)[a:b] for x in names], pa.FixedSizeListArray.from_arrays(found.ravel(), found.shape[1]).cast(pa.list_(pa.float64()))], [*names, "statistics"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, statistics array<double>")
+    return docs.select(*names, F.col("text").cast("string").alias("text")).mapInArrow(work, f"{kept}, statistics array<double>")
 
 
 def fold(doc_id: Column) -> Column:
@@ -141,11 +144,15 @@ def isotonic(x: np.ndarray, n: np.ndarray, positive: np.ndarray) -> tuple[np.nda
     return np.array([s[2] / s[0] for s in stack]), np.array([s[1] / s[0] for s in stack])
 
 
-def fit(stats: DataFrame, labels: DataFrame) -> Model | None:
-    """Model from ``stats`` (doc_id, statistics) and the labels (doc_id, quality 0 or 1) of folds 0 and 2;
-    None without any. Null and other labels are left out; each row of labels counts."""
-    marks = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y"), fold(F.col("doc_id")).cast("int").alias("fold")).where("fold <> 1")
-    known = cut(stats.join(marks, "doc_id").select("statistics", "y", "fold"))
+def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Model from ``docs`` (doc_id, text) and FIT_ROWS labels (doc_id, quality 0 or 1) of folds 0 and 2 at most;
+    None without any. Null and other labels are left out; each row of labels counts. Only the texts of the drawn
+    labels are read: they are few enough to be broadcast."""
+    doc_id = F.col("doc_id").cast("long")
+    marks = labels.where("quality in (0, 1)").select(doc_id.alias("doc_id"), F.col("quality").cast("double").alias("y"), fold(F.col("doc_id")).cast("int").alias("fold")).where("fold <> 1 and doc_id is not null")
+    drawn = marks.orderBy(F.xxhash64("doc_id", "y"), "doc_id", "y").limit(FIT_ROWS)
+    labelled = docs.select(doc_id.alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+    known = cut(with_statistics(labelled, "y double, fold int"))
     size = len(STATISTICS)
     moments = known.agg(F.count("*"), *[f(F.col("statistics")[k]) for k in range(size) for f in (F.avg, F.stddev_pop)]).first()
     if not moments[0]:
@@ -191,38 +198,44 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model | None:
     return model
 
 
-def score(stats: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score) for each row of ``stats``; 0.5 without a model."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = model.score(_matrix(batch.column("statistics"), len(STATISTICS))) if model and batch.num_rows else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
-
-    return stats.mapInArrow(work, "doc_id long, score double")
+def _scores(texts: pa.Array, model: Model | None) -> np.ndarray:
+    """Score of each text; 0.5 without a model."""
+    out = np.full(len(texts), 0.5)
+    if model is not None:
+        data, offsets = text_buffer(texts)
+        for a, b in blocks(offsets, PIECE_BYTES):
+            out[a:b] = model.score(statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+    return out
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id and score, the chance of label 1 from 0 to 1.
 
-    The model is fitted on the labelled rows of folds 0 and 2. Whole texts are read, nothing but the
+    The model is fitted on labelled rows of folds 0 and 2. Whole texts are read, nothing but the
     text counts; null and empty texts have all statistics 0 and get a score too. Without usable labels
-    all scores are 0.5. Other columns are ignored.
+    all scores are 0.5. Repeated rows and ids are scored each; other columns are ignored. An empty table
+    gives an empty result.
     """
-    stats = cut(with_statistics(docs))
-    return score(stats, fit(stats, labels))
+    model = fit(docs, labels)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_scores(batch.column("text"), model))], ["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose score is at least ``least``, with all their columns."""
-    model = fit(with_statistics(docs), labels)
+    """The rows of ``docs`` (doc_id, text, any others) whose score is at least ``least``, with all their columns.
+
+    Null and empty texts are scored like others, so they stay or go together; equal texts share their fate, and
+    repeated rows all stay or all go. Ids count for nothing but the labels. Without usable labels all scores
+    are 0.5. An empty table gives an empty result.
+    """
+    model = fit(docs, labels)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            good = np.zeros(batch.num_rows, bool)
-            for a, b in blocks(offsets, PIECE_BYTES):
-                good[a:b] = model is None or model.score(statistics(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) >= least
-            yield batch.filter(pa.array(good))
+            yield batch.filter(pa.array(_scores(batch.column("text"), model) >= least))
 
     return docs.mapInArrow(work, docs.schema)
