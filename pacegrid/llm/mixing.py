@@ -49,8 +49,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], block_rows: int = 1) -
     All rows stay. Ordered by (mix_slot, mix_place), every prefix of whole blocks up to the first slot
     that its source can't fill follows the weights within a block (in_mix); later slots hold what the
     longer sources still have. Rows whose source is null or without a weight come after all others:
-    mix_slot null. Within a source rows stand in the order of an MD5 of their ids, then the ids; rows
-    with equal ids, in any order. A weighted source without rows leaves in_mix false throughout. Input
+    mix_slot null. Within a source rows stand in the order of an MD5 of their ids, then the ids, then a hash of
+    all plain columns; rows equal in all of these are alike. A weighted source without rows leaves in_mix false throughout. Input
     columns named like the four new ones are replaced. An empty table gives an empty result.
     """
     spark, extra = docs.sparkSession, ("mix_block", "mix_slot", "mix_place", "in_mix")
@@ -67,11 +67,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], block_rows: int = 1) -
 
     key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, KEY_BITS // 4), 16, 10).cast("long")
     bits = max(0, (docs.count() // RUN_ROWS).bit_length())
-    keyed = docs.withColumns({"_key": key, "_run": F.shiftright(key, KEY_BITS - bits) if bits else F.lit(0).cast("long")})
+    plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
+    keyed = docs.withColumns({"_key": key, "_tie": F.xxhash64(*plain), "_run": F.shiftright(key, KEY_BITS - bits) if bits else F.lit(0).cast("long")})
     sizes = keyed.groupBy("source", "_run").count()
     before = Window.partitionBy("source").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).select(F.col("source").alias("_source"), F.col("_run").alias("_start"), "_before")
-    order = Window.partitionBy("source", "_run").orderBy("_key", "doc_id")
+    order = Window.partitionBy("source", "_run").orderBy("_key", "doc_id", "_tie")
     numbered = keyed.withColumn("_number", F.row_number().over(order)).join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_run") == F.col("_start")))
     rank = F.col("_before") + F.col("_number") - 1
     blocked = numbered.withColumns({"mix_block": F.floor(rank / block_rows), "mix_place": (rank % block_rows).cast("long")})

@@ -79,8 +79,8 @@ def shard(docs: DataFrame, limit: int) -> DataFrame:
     columns = [*docs.columns, *extra]
     if not any(directory.where("alone or bits is null").limit(1).count() for _, directory, _ in passes):
         return plain.select(*columns)
-    # equal rows: numbered within their scan task, after the rows of earlier tasks
-    equal = found.where(single).withColumn("_task", F.spark_partition_id())
+    # equal rows: written once with their task, then numbered within it, after the rows of earlier tasks
+    equal = cut(found.where(single).withColumn("_task", F.spark_partition_id()))
     before = Window.partitionBy("_key").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     tasks = equal.groupBy("_key", "_task").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     numbered = equal.withColumn("_number", F.row_number().over(Window.partitionBy("_key", "_task").orderBy("doc_id"))).join(tasks, ["_key", "_task"])
