@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pacegrid.llm.common import mix, prefix_hash, span_hash
+from pacegrid.llm.common import mix, prefix_hash, span_hash, spliced
 
 SPAN, KEPT = 16, 64
-#: Text bytes that a group is planned for.
-GROUP_BYTES = 8 << 20
+#: Text bytes that a range of ids is planned for, and ranges at most: the driver holds a bound and an id of each.
+#: A task reads its range row by row, so larger ranges take longer but no more memory.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 50_000
+#: Rows of the result that are handed on at once.
+ROWS_AT_ONCE = 256
 _END = (1 << 63) - 1
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_start long"
@@ -31,9 +34,18 @@ _RESULT_ARROW = pa.schema(
 class PrefixHashes:
     """Span equality and longest common extensions of one text."""
 
-    def __init__(self, text: str) -> None:
+    def __init__(self, prefix: np.ndarray) -> None:
+        self.n, self.prefix = prefix.shape[1] - 1, prefix
+
+    @classmethod
+    def of(cls, text: str) -> PrefixHashes:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.n, self.prefix = len(points), prefix_hash(mix(points.astype(np.uint64) + np.uint64(1)))
+        return cls(prefix_hash(mix(points.astype(np.uint64) + np.uint64(1))))
+
+    def edited(self, following: PrefixHashes) -> PrefixHashes:
+        """Those of edited(): spliced from the prefix arrays of both texts, without reading them again."""
+        third = self.n // 3
+        return PrefixHashes(spliced(self.prefix, self.n - third, following.prefix, min(third, following.n)))
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of [start, end)."""
@@ -98,21 +110,21 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     equal ids stand in order of their texts, a null id comes last. Null text is empty. near_edited and
     near_next compare with the edited text's and the next document's fingerprint; same_start is how
     many code points text and edited text have in common from the start. A single row is its own next.
-    Texts move once, to groups of neighbouring ids; each group also gets the rows of the id after its
-    last. The driver holds one bound and one id a group. Other columns are ignored.
+    Texts move once, to ranges of ids, and stand in order there; each range also gets the rows of the id after
+    its last. Other columns are ignored. An empty table gives an empty result.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-_END)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // GROUP_BYTES + 1)
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / groups for k in range(1, groups)] or [0.5], 100 * groups)).first()[0]
+    ranges = min(MOST_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_BYTES + 1))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 20 * ranges)).first()[0]
     bounds = np.unique(np.array(cuts or [0], np.int64))
 
-    def group_of(ids: np.ndarray) -> np.ndarray:
+    def range_of(ids: np.ndarray) -> np.ndarray:
         return np.searchsorted(bounds, ids, side="left").astype(np.int32)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(group_of(batch.column("doc_id").to_numpy())), batch.column("doc_id")], ["owner", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(range_of(batch.column("doc_id").to_numpy())), batch.column("doc_id")], ["owner", "doc_id"])
 
     firsts = dict(docs.select("doc_id").mapInArrow(number, "owner int, doc_id long").groupBy("owner").agg(F.max("doc_id")).collect())
     used = sorted(firsts)
@@ -123,7 +135,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            own = pa.array(group_of(ids))
+            own = pa.array(range_of(ids))
             yield pa.RecordBatch.from_arrays([own, pa.array(np.ones(len(ids), bool)), batch.column("doc_id"), batch.column("text")], ["owner", "own", "doc_id", "text"])
             at = np.minimum(np.searchsorted(asked, ids), len(asked) - 1)
             extra = np.flatnonzero(asked[at] == ids)
@@ -131,37 +143,36 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
                 rows = batch.take(pa.array(extra))
                 yield pa.RecordBatch.from_arrays([pa.array(askers[at[extra]]), pa.array(np.zeros(len(extra), bool)), rows.column("doc_id"), rows.column("text")], ["owner", "own", "doc_id", "text"])
 
-    def compare(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(group.column("doc_id").to_pylist(), group.column("text").to_pylist(), group.column("own").to_pylist(), strict=True), key=lambda x: (not x[2], -x[0], x[1]))
-        n = sum(x[2] for x in rows)
-        out, prints = [], {}
-
-        def fingerprint(k: int) -> tuple[PrefixHashes, tuple[int, np.ndarray]]:
-            if k not in prints:
-                hashes = PrefixHashes(rows[k][1])
-                prints[k] = (hashes, hashes.fingerprint())
-            return prints[k]
-
-        for k in range(n):
-            doc_id, text, _ = rows[k]
-            following = k + 1
-            changed = edited(text, rows[following][1])
-            hashes, own = fingerprint(k)
-            new_hashes = PrefixHashes(changed)
-            new, after = new_hashes.fingerprint(), fingerprint(following)[1]
-            prints.pop(k, None)
-            out.append(
-                {
-                    "doc_id": None if doc_id == -_END else doc_id,
-                    "n_chars": len(text),
-                    "edited_sha256": hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
-                    "fingerprint": as_text(own),
-                    "edited_fingerprint": as_text(new),
-                    "near_edited": likeness(own, new),
-                    "near_next": likeness(own, after),
-                    "same_start": hashes.common_extension(0, new_hashes, 0),
-                }
-            )
-        return pa.Table.from_pylist(out, schema=_RESULT_ARROW)
-
-    return docs.mapInArrow(deal, "owner int, own boolean, doc_id long, text string").groupBy("owner").applyInArrow(compare, RESULT)
+    def result(doc_id: int, text: str, hashes: PrefixHashes, own: tuple[int, np.ndarray], following: str, next_hashes: PrefixHashes, after: tuple[int, np.ndarray]) -> dict:
+        changed, new_hashes = edited(text, following), hashes.edited(next_hashes)
+        new = new_hashes.fingerprint()
+        return {
+            "doc_id": None if doc_id == -_END else doc_id,
+            "n_chars": len(text),
+            "edited_sha256": hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
+            "fingerprint": as_text(own),
+            "edited_fingerprint": as_text(new),
+            "near_edited": likeness(own, new),
+            "near_next": likeness(own, after),
+            "same_start": hashes.common_extension(0, new_hashes, 0),
+        }
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a range come in order, then those of the next id; a row waits for the one behind it."""
+        waiting, out = None, []
+        for batch in batches:
+            for owner, own, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("owner", "own", "doc_id", "text")], strict=True):
+                if not own and waiting is None:
+                    continue
+                hashes = PrefixHashes.of(text)
+                found = hashes.fingerprint()
+                if waiting is not None and waiting[0] == owner:
+                    out.append(result(*waiting[1:], text, hashes, found))
+                    if len(out) >= ROWS_AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(out, schema=_RESULT_ARROW)
+                        out = []
+                waiting = (owner, doc_id, text, hashes, found) if own else None
+        yield pa.RecordBatch.from_pylist(out, schema=_RESULT_ARROW)
+
+    dealt = docs.mapInArrow(deal, "owner int, own boolean, doc_id long, text string").repartition(ranges, "owner")
+    return dealt.sortWithinPartitions("owner", F.desc("own"), F.desc("doc_id"), "text").mapInArrow(compare, RESULT)
