@@ -24,9 +24,7 @@ _ESCAPED = re.compile(r"\\([\\l])")
 _TURN = re.compile(re.escape(OPEN) + r"(.*?)" + re.escape(SAYS) + r"(.*?)" + re.escape(CLOSE), re.S)
 
 FORMATTED = "conv_id long, formatted string, token_ids array<int>, token_starts array<int>, token_ends array<int>, loss_mask array<boolean>"
-_FORMATTED_ARROW = pa.schema(
-    [("conv_id", pa.int64()), ("formatted", pa.string()), ("token_ids", pa.list_(pa.int32())), ("token_starts", pa.list_(pa.int32())), ("token_ends", pa.list_(pa.int32())), ("loss_mask", pa.list_(pa.bool_()))]
-)
+_FORMATTED_NAMES = [x.split()[0] for x in FORMATTED.split(", ")]
 
 
 def escape(text: str) -> str:
@@ -67,15 +65,13 @@ def token_mask(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> np.nd
 
 def masked_texts(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> str:
     """All text under the loss mask, unescaped; each character once, however many tokens share it."""
-    out, done, run = [], 0, []
-    for start, end in zip(starts[mask].tolist(), ends[mask].tolist(), strict=True):
-        start = max(start, done)
-        if start > done and run:
-            out.append(unescape("".join(run)))
-            run = []
-        run.append(formatted[start:end])
-        done = max(done, end)
-    return "".join([*out, unescape("".join(run))])
+    starts, ends = starts[mask], ends[mask]
+    if not len(starts):
+        return ""
+    done = np.maximum.accumulate(ends)
+    before = np.concatenate([[-1], done[:-1]])
+    first = np.flatnonzero(starts > before)  # a gap in the mask starts a run
+    return "".join(unescape(formatted[a:b]) for a, b in zip(starts[first].tolist(), done[np.append(first[1:], len(done)) - 1].tolist(), strict=True))
 
 
 @cache
@@ -101,13 +97,16 @@ def format_conversations(turns: DataFrame, tokenizer_path: str) -> DataFrame:
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
 
     def finish(found: list[tuple[int | None, list[tuple[str, str]]]]) -> pa.RecordBatch:
-        out = []
-        for conv_id, said in found:
-            formatted, spans = render(said)
-            encoded = _tokenizer(tokenizer_path).encode(formatted, add_special_tokens=False)
-            starts, ends = np.array(encoded.offsets, np.int64).reshape(-1, 2).T
-            out.append({"conv_id": conv_id, "formatted": formatted, "token_ids": encoded.ids, "token_starts": starts.tolist(), "token_ends": ends.tolist(), "loss_mask": token_mask(starts, ends, spans).tolist()})
-        return pa.RecordBatch.from_pylist(out, schema=_FORMATTED_ARROW)
+        rendered = [render(said) for _, said in found]
+        encoded = _tokenizer(tokenizer_path).encode_batch([formatted for formatted, _ in rendered], add_special_tokens=False)
+        counts = np.array([len(x) for x in encoded], np.int64)
+        edges = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        spans = [np.array(x.offsets, np.int32).reshape(-1, 2) for x in encoded]
+        masks = [token_mask(own[:, 0], own[:, 1], trained) for own, (_, trained) in zip(spans, rendered, strict=True)]
+        both = np.concatenate([*spans, np.zeros((0, 2), np.int32)])
+        flat = [np.array([i for x in encoded for i in x.ids], np.int32), np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), np.concatenate([*masks, np.zeros(0, bool)])]
+        heads = [pa.array([conv_id for conv_id, _ in found], pa.int64()), pa.array([formatted for formatted, _ in rendered], pa.string())]
+        return pa.RecordBatch.from_arrays([*heads, *[pa.ListArray.from_arrays(edges, pa.array(x)) for x in flat]], _FORMATTED_NAMES)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted; a conversation may go on in the next batch."""

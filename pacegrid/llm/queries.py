@@ -14,6 +14,8 @@ from pacegrid.llm import chat, decontam, fingerprint, langid, mixing, near_dedup
 from pacegrid.llm.common import table
 
 SHARD_BYTES = 8 << 20
+#: Limit of the sharding query: small enough for buckets to split on tables of any size.
+SMALL_SHARD_BYTES = 128 << 10
 #: Shares of the sources in the mix, of a sum of 24.
 MIX_WEIGHTS = {"src0": 5} | {f"src{k}": 1 for k in range(1, 20)}
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -23,23 +25,28 @@ SAMPLE_TURN = "\\### Assistant: </turn> ok"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"), SHARD_BYTES).select("doc_id", "n_bytes", "shard_bits", "shard_prefix", "shard_page")
+    """The shard of each document, of at most SMALL_SHARD_BYTES of text; see sharding.shard() for nulls, ties and repeated rows."""
+    return sharding.shard(table(spark, sf_dir, "documents"), SMALL_SHARD_BYTES).select("doc_id", "n_bytes", "shard_bits", "shard_prefix", "shard_page")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document under repeated 200-byte strings; see suffix_dedup.repeated_spans()."""
     found = suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of each document at a similarity of 0.85; see near_dedup.near_duplicates()."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), 85, 100)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of each page; see url_filter.judge_urls()."""
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str, tokenizer_path: str = TOKENIZER) -> DataFrame:
+    """Digests of each formatted conversation, read back from the output, with one of awkward texts added; see chat.format_conversations()."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     sample = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.inline(F.array(*[F.struct(F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(SAMPLE_TURN).alias("text")) for k, r in enumerate(("user", "assistant"))])))
     formatted = chat.format_conversations(turns.unionByName(sample), tokenizer_path)
@@ -47,26 +54,31 @@ def op5_chat_format(spark: SparkSession, sf_dir: str, tokenizer_path: str = TOKE
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in batches:
+            lists = [batch.column(c) for c in ("token_starts", "token_ends", "loss_mask")]
+            edges = lists[0].offsets.to_numpy()
+            starts, ends, mask = (x.values.to_numpy(zero_copy_only=False) for x in lists)
             out = []
-            for x in batch.to_pylist():
-                said = chat.read_back(x["formatted"])
-                trained = chat.masked_texts(x["formatted"], np.array(x["token_starts"], np.int64), np.array(x["token_ends"], np.int64), np.array(x["loss_mask"], bool))
-                out.append({"conv_id": x["conv_id"], "n_turns": len(said), "turns_sha256": sha("".join(f"{r}\n{t}\n" for r, t in said)), "loss_chars": len(trained), "loss_sha256": sha(trained), "formatted_chars": len(x["formatted"])})
+            for conv_id, text, a, b in zip(batch.column("conv_id").to_pylist(), batch.column("formatted").to_pylist(), edges[:-1], edges[1:], strict=True):
+                said, trained = chat.read_back(text), chat.masked_texts(text, starts[a:b], ends[a:b], mask[a:b])
+                out.append({"conv_id": conv_id, "n_turns": len(said), "turns_sha256": sha("".join(f"{r}\n{t}\n" for r, t in said)), "loss_chars": len(trained), "loss_sha256": sha(trained), "formatted_chars": len(text)})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]))
 
     return formatted.mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark item, if any, that each document holds; see decontam.mark_contaminated()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.mark_contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_id", "run_words")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of each document in a mix by MIX_WEIGHTS; see mixing.mix_sources()."""
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX_WEIGHTS)
 
 
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and its edited text, and their likenesses; see fingerprint.compare_with_next()."""
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
@@ -75,6 +87,7 @@ def _crc(doc_id: Column, modulus: int) -> Column:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document, learned from four fifths of those with lang; see langid.predict()."""
     docs = table(spark, sf_dir, "documents")
     held_out = _crc(F.col("doc_id"), 5) == 0
     model = langid.fit(docs.where(~held_out))
@@ -82,6 +95,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, learned from the labels of two thirds; see quality.score_documents()."""
     scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (quality.fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -104,7 +118,7 @@ WITH keyed AS (
   SELECT doc_id, strlen(coalesce(text, '')) AS n_bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')), 1, 15) AS BIGINT) AS k
   FROM documents),
 levels AS (SELECT doc_id, n_bytes, k, d, k >> (60 - d) AS p FROM keyed, range(0, 61) AS t(d)),
-sums AS (SELECT d, p FROM levels GROUP BY d, p HAVING sum(n_bytes) <= {SHARD_BYTES} OR min(k) = max(k)),
+sums AS (SELECT d, p FROM levels GROUP BY d, p HAVING sum(n_bytes) <= {SMALL_SHARD_BYTES} OR min(k) = max(k)),
 found AS (SELECT doc_id, n_bytes, k, min(d) AS d FROM levels JOIN sums USING (d, p) GROUP BY doc_id, n_bytes, k)
 SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(d AS INTEGER) AS shard_bits, k >> (60 - d) AS shard_prefix, CAST(0 AS BIGINT) AS shard_page FROM found""",
     "op3_near_dedup": r"""
