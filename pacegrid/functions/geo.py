@@ -51,7 +51,7 @@ def distance_text(km: Column, approximate: Column) -> Column:
 
 def short_place(label: Column) -> Column:
     """First three comma-separated parts of a place name."""
-    return F.array_join(F.slice(F.transform(F.split(label, ","), F.trim), 1, 3), ", ")
+    return F.array_join(F.slice(F.transform(F.split(label, ","), lambda x: F.trim(x)), 1, 3), ", ")
 
 
 def brand_city(title: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from urllib.parse import urljoin, urlparse
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from pacegrid.functions.text import clean_text
 
@@ -45,6 +45,27 @@ def absolute_url(url: Column, base: Column | None = None, full_entities: bool =
     return F.when(F.regexp_like(text, F.lit(r"(?i)^https?://[^/?#]+")), collapse_slashes(text))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _join_all(urls: pd.Series, base: pd.Series) -> pd.Series:
+    def one(u: str | None, b: str) -> str | None:
+        try:
+            return None if u is None else urljoin(b, u)
+        except ValueError:
+            return None
+
+    return pd.Series([None if own is None or b is None else [one(u, b) for u in own] for own, b in zip(urls, base, strict=True)], dtype=object)
+
+
+def with_links(df: DataFrame, columns: list[str], base: Column) -> DataFrame:
+    """``df`` with the cleaned links ``columns`` made absolute. Rows with a relative one go through one Arrow function, with all
+    their links; relative links without a base become null."""
+    df = df.withColumn("_links", F.array(*columns))
+    relative = F.exists("_links", lambda x: ~F.regexp_like(x, F.lit(r"(?i)^https?://")))
+    df = df.withColumn("_whole", F.coalesce(_join_all(F.when(relative, F.col("_links")), F.when(relative, base)), F.col("_links")))
+    whole = lambda k: F.get("_whole", k)
+    return df.withColumns({c: F.when(F.regexp_like(whole(k), F.lit(r"(?i)^https?://[^/?#]+")), collapse_slashes(whole(k))) for k, c in enumerate(columns)}).drop("_links", "_whole")
+
+
 def fill_template(template: Column, slug: Column) -> Column:
     """``{slug}`` of a link template filled in."""
     return F.replace(template, F.lit("{slug}"), slug)

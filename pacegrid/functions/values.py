@@ -5,12 +5,13 @@ from __future__ import annotations
 from datetime import date, datetime
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from pacegrid.functions import fixed
-from pacegrid.functions.text import blank_to_null, clean_text, coerce_list, strip
+from pacegrid.functions.text import blank_to_null, clean_text, coerce_list
+from pacegrid.functions.urls import absolute_url
 
 NUMBER = r"-?\d+(?:\.\d+)?"
 
@@ -36,12 +37,20 @@ def price_range(values: Column) -> tuple[Column, Column]:
     return F.array_min(values), F.array_max(values)
 
 
-def offers_fold(offers: Column) -> tuple[Column, Column, Column, Column]:
-    """price_min, price_max, currency and url of a JSON offer or list of offers."""
+def offers_parts(offers: Column) -> tuple[Column, Column, Column, Column]:
+    """price_min, price_max, currency and link of a JSON offer or list of offers: least and largest of all prices,
+    the first currency, and the first link, as it is, that is no mail address or the like."""
     each = F.filter(coerce_list(offers), lambda o: F.ltrim(o).startswith("{"))
     prices = F.flatten(F.transform(each, lambda o: F.array(*[json_number(F.get_json_object(o, f"$.{k}")) for k in fixed.OFFER_PRICE_KEYS])))
-    first = lambda key: F.get(F.filter(F.transform(each, lambda o: blank_to_null(strip(F.get_json_object(o, f"$.{key}")))), lambda x: x.isNotNull()), 0)
-    return F.array_min(prices), F.array_max(prices), first("priceCurrency"), first("url")
+    said = lambda key: F.filter(F.transform(each, lambda o: clean_text(F.get_json_object(o, f"$.{key}"), full_entities=False)), lambda x: x.isNotNull())
+    link = F.get(F.filter(said("url"), lambda x: ~F.regexp_like(x, F.lit(r"(?i)^(?!https?:)[a-z][a-z0-9+.-]*:"))), 0)
+    return F.array_min(prices), F.array_max(prices), F.get(said("priceCurrency"), 0), link
+
+
+def offers_fold(offers: Column, base: Column | None = None, full_entities: bool = True) -> tuple[Column, Column, Column, Column]:
+    """offers_parts() with the link made absolute against ``base``."""
+    low, high, currency, link = offers_parts(offers)
+    return low, high, currency, absolute_url(link, base, full_entities)
 
 
 def _fallback(run_date: date, day_first: bool):
@@ -62,51 +71,69 @@ def _fallback(run_date: date, day_first: bool):
     return parse
 
 
-def _bind(value: Column, work) -> Column:
-    """work(value) with ``value`` worked out once, however often ``work`` names it."""
-    return F.get(F.transform(F.array(value), work), 0)
+#: Forms that are read in the JVM: ISO-8601 without fractions of seconds, and month or day first.
+_ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+_SLASHED = r"^\d{1,2}/\d{1,2}/\d{4}(?: (?:[01]\d|2[0-3]):[0-5]\d)?$"
 
 
-_ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:\.(\d{1,6}))?(Z|[+-]\d{2}:?\d{2})?)?$"
-_MONTH_FIRST = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?: (\d{2}:\d{2}))?$"
+def parse_iso(text: Column) -> Column:
+    """ISO-8601 and month-first dates in ISO form (day first where the month can't be one); null for other texts and for
+    fractions of seconds. Stays in the JVM."""
+    iso = text
+    for pattern, into in ((r"^(.{10})$", "$1T00:00:00"), (r"^(.{10}) ", "$1T"), (r"^(.{16})(?!:)", "$1:00"), ("Z$", "+00:00"), (r"([+-]\d{2})(\d{2})$", "$1:$2")):
+        iso = F.regexp_replace(iso, pattern, into)
+    one, two, late = (F.split_part(text, F.lit("/"), F.lit(k)) for k in (1, 2, 3))
+    swapped = one.try_cast("int") > 12
+    slashed = F.concat_ws("-", F.substring(late, 1, 4), F.lpad(F.when(swapped, two).otherwise(one), 2, "0"), F.lpad(F.when(swapped, one).otherwise(two), 2, "0"))
+    at = F.when(F.length(late) > 4, F.substring(late, 6, 5)).otherwise("00:00")
+    fits = F.regexp_like(text, F.lit(_ISO)) & F.substring(text, 1, 10).try_cast("date").isNotNull()
+    return F.when(fits, iso).when(F.regexp_like(text, F.lit(_SLASHED)) & slashed.try_cast("date").isNotNull(), F.concat(slashed, F.lit("T"), at, F.lit(":00")))
+
+
+def _date_text(c: Column, full_entities: bool) -> Column:
+    text = clean_text(c, full_entities=full_entities)
+    return F.when(~F.lower(text).isin("null", "none", "tbd", "tba"), text)
 
 
-def _iso(x: Column) -> Column:
-    clock = F.concat(F.when(x.minute == "", "00:00").otherwise(x.minute), F.when(x.second == "", ":00").otherwise(x.second))
-    micro = F.rpad(x.micro, 6, "0")
-    fraction = F.when(F.regexp_like(micro, F.lit("[1-9]")), F.concat(F.lit("."), micro)).otherwise("")
-    zone = F.when(x.zone == "Z", "+00:00").otherwise(F.regexp_replace(x.zone, r"^([+-]\d{2})(\d{2})$", "$1:$2"))
-    valid = F.try_to_timestamp(F.concat(x.day, F.lit(" "), clock), F.lit("yyyy-MM-dd HH:mm:ss")).isNotNull()
-    return F.when((x.day != "") & valid, F.concat(x.day, F.lit("T"), clock, fraction, zone))
+def parse_date(c: Column, run_date: date, day_first: bool = False, full_entities: bool = True) -> Column:
+    """Date text in ISO form; null for empty, ``null``, ``none``, ``tbd``, ``tba`` and what can't be read.
 
+    Common forms are read in the JVM; the rest goes to dateutil, where parts that the text lacks are
+    taken from ``run_date``. with_dates() does the same with each step worked out once.
+    """
+    text = _date_text(c, full_entities)
+    fast = F.lit(None).cast("string") if day_first else parse_iso(text)
+    return F.coalesce(fast, _fallback(run_date, day_first)(F.when(fast.isNull(), text)))
 
-def _month_first(x: Column) -> Column:
-    swapped = x.first.try_cast("int") > 12
-    day = F.concat_ws("-", x.year, F.lpad(F.when(swapped, x.second).otherwise(x.first), 2, "0"), F.lpad(F.when(swapped, x.first).otherwise(x.second), 2, "0"))
-    clock = F.when(x.minute == "", "00:00").otherwise(x.minute)
-    valid = F.try_to_timestamp(F.concat(day, F.lit(" "), clock), F.lit("yyyy-MM-dd HH:mm")).isNotNull()
-    return F.when((x.year != "") & valid, F.concat(day, F.lit("T"), clock, F.lit(":00")))
 
+def with_dates(df: DataFrame, columns: dict[str, Column], run_date: date, full_entities: bool = True) -> DataFrame:
+    """``df`` with parse_date() of each of ``columns`` under its name, in steps that each stand once in the plan."""
+    names = list(columns)
+    df = df.withColumns({f"_said_{k}": _date_text(c, full_entities) for k, c in columns.items()})
+    df = df.withColumns({f"_fast_{k}": parse_iso(F.col(f"_said_{k}")) for k in names})
+    slow = _fallback(run_date, False)
+    df = df.withColumns({k: F.coalesce(f"_fast_{k}", slow(F.when(F.col(f"_fast_{k}").isNull(), F.col(f"_said_{k}")))) for k in names})
+    return df.drop(*[f"_{step}_{k}" for k in names for step in ("said", "fast")])
 
-def _groups(text: Column, pattern: str, names: str) -> Column:
-    return F.struct(*[F.regexp_extract(text, pattern, k).alias(name) for k, name in enumerate(names.split(), 1)])
 
+def date_list(texts: Column, run_date: date) -> Column:
+    """parse_date() of each text of an array, unread ones left out."""
 
-def parse_iso(text: Column) -> Column:
-    """ISO-8601 and month-first dates in ISO form; null for other texts. Stays in the JVM."""
-    return _bind(text, lambda said: F.coalesce(_bind(_groups(said, _ISO, "day minute second micro zone"), _iso), _bind(_groups(said, _MONTH_FIRST, "first second year minute"), _month_first)))
+    @F.pandas_udf("array<string>")
+    def read(lists: pd.Series) -> pd.Series:
+        from dateutil import parser
 
+        default = datetime(run_date.year, run_date.month, run_date.day)
 
-def parse_date(c: Column, run_date: date, day_first: bool = False, full_entities: bool = True) -> Column:
-    """Date text in ISO form; null for empty, ``null``, ``none``, ``tbd``, ``tba`` and what can't be read.
+        def one(text: str) -> str | None:
+            try:
+                return parser.parse(text, default=default).isoformat()
+            except (ValueError, OverflowError, TypeError):
+                return None
 
-    Common forms are read in the JVM; the rest goes to dateutil, where parts that the text lacks are
-    taken from ``run_date``.
-    """
-    text = clean_text(c, full_entities=full_entities)
-    text = F.when(~F.lower(text).isin("null", "none", "tbd", "tba"), text)
-    fast = F.lit(None).cast("string") if day_first else parse_iso(text)
-    return F.coalesce(fast, _fallback(run_date, day_first)(F.when(fast.isNull(), text)))
+        return lists.map(lambda own: [x for x in map(one, own) if x], na_action="ignore")
+
+    return read(F.filter(F.transform(texts, lambda x: _date_text(x, False)), lambda x: x.isNotNull()))
 
 
 def distance_label(km: Column) -> Column:
@@ -118,21 +145,36 @@ def distance_label(km: Column) -> Column:
     return label.when(F.abs(km - whole) < 0.05, F.concat(whole.cast("long").cast("string"), F.lit("K"))).otherwise(F.format_string("%.1fK", km))
 
 
-def parse_distance(text: Column) -> tuple[Column, Column]:
-    """Label and kilometres of a cleaned distance text; a text without a number is its own label."""
+def _known_km(key: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in fixed.DISTANCE_ALIASES.items() for x in kv])[key]
+
 
-    def measured(x: Column) -> Column:
-        miles = (F.abs(x.number - 70.3) < 0.01) | (F.abs(x.number - 140.6) < 0.01) | F.contains(x.key, F.lit("mile")) | F.regexp_like(x.key, F.lit(r"(?U)\bmi\b"))
-        metres = F.contains(x.key, F.lit("meter")) | F.contains(x.key, F.lit("metre")) | (F.regexp_like(x.key, F.lit(r"(?U)\d\s*m\b")) & (x.number >= 400))
-        km = F.when(miles, x.number * fixed.MILE_KM).when(metres, x.number / 1000.0).otherwise(x.number)
-        return F.round(F.coalesce(x.known, km), 3)
+def _measured_km(key: Column, number: Column) -> Column:
+    miles = (F.abs(number - 70.3) < 0.01) | (F.abs(number - 140.6) < 0.01) | F.contains(key, F.lit("mile")) | F.regexp_like(key, F.lit(r"(?U)\bmi\b"))
+    metres = F.contains(key, F.lit("meter")) | F.contains(key, F.lit("metre")) | (F.regexp_like(key, F.lit(r"(?U)\d\s*m\b")) & (number >= 400))
+    return F.when(miles, number * fixed.MILE_KM).when(metres, number / 1000.0).otherwise(number)
 
+
+def _bind(value: Column, work) -> Column:
+    """work(value) with ``value`` worked out once, however often ``work`` names it: for use inside arrays."""
+    return F.get(F.transform(F.array(value), work), 0)
+
+
+def parse_distance(text: Column) -> tuple[Column, Column]:
+    """Label and kilometres of a cleaned distance text; a text without a number is its own label."""
     key = F.lower(F.trim(text))
-    known = F.create_map(*[F.lit(x) for kv in fixed.DISTANCE_ALIASES.items() for x in kv])[key]
-    km = _bind(F.struct(key.alias("key"), parse_price(key).alias("number"), known.alias("known")), measured)
+    known = _known_km(key)
+    km = _bind(F.struct(key.alias("key"), parse_price(key).alias("number"), known.alias("known")), lambda x: F.round(F.coalesce(x.known, _measured_km(x.key, x.number)), 3))
     return F.coalesce(F.when(known.isNotNull(), _bind(known, distance_label)), _bind(km, distance_label), text), km
 
 
+def with_distance(df: DataFrame, text: Column, label: str, km: str) -> DataFrame:
+    """``df`` with parse_distance() of a cleaned text, in steps that each stand once in the plan."""
+    df = df.withColumn("_key", F.lower(F.trim(text))).withColumns({"_known": _known_km(F.col("_key")), "_number": parse_price(F.col("_key"))})
+    df = df.withColumn(km, F.round(F.coalesce("_known", _measured_km(F.col("_key"), F.col("_number"))), 3))
+    return df.withColumn(label, F.coalesce(distance_label(F.coalesce("_known", km)), text)).drop("_key", "_known", "_number")
+
+
 def parse_distances(texts: Column) -> tuple[Column, Column]:
     """Distinct labels in order, and distinct kilometres ascending, of an array of cleaned texts."""
     pairs = F.transform(texts, lambda x: F.struct(parse_distance(x)[0].alias("label"), parse_distance(x)[1].alias("km")))
@@ -153,15 +195,15 @@ def distinct_parts(*parts: Column) -> Column:
     return blank_to_null(F.array_join(kept, ", "))
 
 
-def address_parts(json: Column, full_entities: bool = True) -> dict[str, Column]:
-    """street, city, region, postal and country of a JSON address object."""
+def address_parts(json: Column) -> dict[str, Column]:
+    """street, city, region, postal and country of a JSON address object, uncleaned: of each, the first key with more than blanks."""
 
     def pick(keys: tuple[str, ...]) -> Column:
         found = []
         for key in keys:
             value = F.get_json_object(json, f"$.{key}")
             named = F.when(F.ltrim(value).startswith("{"), F.get_json_object(json, f"$.{key}.name")).otherwise(value)
-            found.append(clean_text(named, full_entities=full_entities))
+            found.append(F.when(F.regexp_like(named, F.lit(r"(?U)\S")), named))
         return F.coalesce(*found)
 
     return {part: pick(keys) for part, keys in fixed.ADDRESS_KEYS.items()}
@@ -170,7 +212,7 @@ def address_parts(json: Column, full_entities: bool = True) -> dict[str, Column]
 def flatten_address(json: Column, full_entities: bool = True) -> tuple[Column, Column, Column, Column]:
     """address, city, region and country of a JSON address: an object's parts, or a text as it is."""
     is_object = F.ltrim(json).startswith("{")
-    parts = {k: F.when(is_object, v) for k, v in address_parts(json, full_entities).items()}
+    parts = {k: clean_text(F.when(is_object, v), full_entities=full_entities) for k, v in address_parts(json).items()}
     joined = distinct_parts(parts["street"], parts["city"], parts["region"], parts["postal"], parts["country"])
     return F.when(is_object, joined).otherwise(clean_text(json, full_entities=full_entities)), parts["city"], parts["region"], parts["country"]
 

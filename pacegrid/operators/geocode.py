@@ -1,7 +1,8 @@
 """Coordinates from a table of known places.
 
 Only place texts that the table lacks are looked up, each once, by one task that keeps the service's
-pace and gives up after several failures. Failures are not stored; places not found are, as null.
+pace. After several failures in a row it makes no requests for a while. Failures are not stored; places not found
+are, as null, with the version of the rules that they were judged by: rows of other versions don't count.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pacegrid.functions import fixed, geo
 
-PLACE = "key string, query string, country string, latitude double, longitude double, found boolean"
+PLACE = "key string, query string, country string, latitude double, longitude double, found boolean, version int"
 #: A finder takes (query, country code or empty) and returns (latitude, longitude, extent in km or None, kind) or None.
 Finder = Callable[[str, str], tuple[float, float, float | None, str] | None]
 
@@ -27,30 +28,32 @@ def place_keys(events: DataFrame) -> DataFrame:
     return each.select("id", "rank", geo.place_key(F.col("query"), F.col("country")).alias("key"), "query", F.coalesce("country", F.lit("")).alias("country"))
 
 
-def look_up(keys: DataFrame, places: DataFrame, find: Finder, pause: float = fixed.LOOKUP_SECONDS) -> DataFrame:
-    """``places`` with the answers for keys that it lacks. The distinct new keys go to one task: a service's
-    pace is kept in one place."""
+def look_up(keys: DataFrame, places: DataFrame, find: Finder, pause: float = fixed.LOOKUP_SECONDS, rest: float = fixed.RETRY_SECONDS) -> DataFrame:
+    """``places`` of the present version with the answers for keys that it lacks. The distinct new keys go to one task:
+    a service's pace is kept in one place. After MAX_FAILURES failures in a row keys are passed over until ``rest``
+    seconds are gone; passed over or failed, they are not stored and come up again in the next run."""
+    places = places.where(F.col("version") == fixed.CACHE_VERSION)
     new = keys.join(places.select("key"), "key", "left_anti").groupBy("key").agg(F.min("query").alias("query"), F.min("country").alias("country"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        failures = 0
+        failures, failed_at = 0, 0.0
         for batch in batches:
             out = []
             for x in batch.to_pylist():
-                if failures >= fixed.MAX_FAILURES:
-                    break
+                if failures >= fixed.MAX_FAILURES and time.monotonic() - failed_at <= rest:
+                    continue
                 try:
                     hit = find(x["query"], x["country"])
                     failures = 0
                 except OSError:
-                    failures += 1
+                    failures, failed_at = failures + 1, time.monotonic()
                     continue
                 finally:
                     time.sleep(pause)
                 if hit and not (hit[2] <= fixed.MAX_EXTENT_KM if hit[2] is not None else hit[3] not in fixed.COARSE_TYPES):
                     hit = None
-                out.append(x | {"latitude": round(hit[0], 6) if hit else None, "longitude": round(hit[1], 6) if hit else None, "found": hit is not None})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("query", pa.string()), ("country", pa.string()), ("latitude", pa.float64()), ("longitude", pa.float64()), ("found", pa.bool_())]))
+                out.append(x | {"latitude": round(hit[0], 6) if hit else None, "longitude": round(hit[1], 6) if hit else None, "found": hit is not None, "version": fixed.CACHE_VERSION})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("query", pa.string()), ("country", pa.string()), ("latitude", pa.float64()), ("longitude", pa.float64()), ("found", pa.bool_()), ("version", pa.int32())]))
 
     return places.unionByName(new.repartition(1).mapInArrow(work, PLACE))
 
@@ -58,9 +61,14 @@ def look_up(keys: DataFrame, places: DataFrame, find: Finder, pause: float = fix
 def annotate(events: DataFrame, places: DataFrame) -> DataFrame:
     """``events`` with coordinates of the first of their keys that is a found place. Listed coordinates stay
     and are marked ``listing`` where unmarked; new ones are marked ``geocoded``."""
-    hits = place_keys(events).join(places.where("found").select("key", "latitude", "longitude"), "key")
+    hits = place_keys(events).join(places.where(F.col("found") & (F.col("version") == fixed.CACHE_VERSION)).select("key", "latitude", "longitude"), "key")
     best = hits.groupBy("id").agg(F.min_by(F.struct("latitude", "longitude"), "rank").alias("hit"))
     had = geo.located(F.col("latitude"), F.col("longitude"))
     joined = events.join(best, "id", "left")
     marked = F.when(had, F.coalesce("coords_source", F.lit("listing"))).when(F.col("hit").isNotNull(), "geocoded").otherwise(F.col("coords_source"))
     return joined.withColumns({"coords_source": marked, "latitude": F.when(had | F.col("hit").isNull(), F.col("latitude")).otherwise(F.col("hit.latitude")), "longitude": F.when(had | F.col("hit").isNull(), F.col("longitude")).otherwise(F.col("hit.longitude"))}).select(*events.columns)
+
+
+def coordinate_counts(events: DataFrame) -> DataFrame:
+    """One row: geocoded (rows whose coordinates were looked up) and without_coords."""
+    return events.agg(F.count_if(F.coalesce(F.col("coords_source") == "geocoded", F.lit(False))).alias("geocoded"), F.count_if(~geo.located(F.col("latitude"), F.col("longitude"))).alias("without_coords"))

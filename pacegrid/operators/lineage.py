@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder of ``spark.checkpoint.dir`` and read again; a
-    private folder is only set where the session has none."""
+    """``df`` written as Parquet to the shared folder of ``spark.checkpoint.dir`` and read again. A private
+    folder is set only where a local session has none; on a cluster that is an error."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-"))
     path = f"{context.getCheckpointDir()}/round-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

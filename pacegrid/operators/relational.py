@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pacegrid.operators.lineage import written
 
+#: Rounds that settle most rows of a dedupe in parallel, and rows of a conflict group that one task may walk.
+PARALLEL_ROUNDS, GROUP_ROWS = 3, 1_000_000
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], limit: int = 1) -> DataFrame:
     """The first ``limit`` rows of each key in the given order. Null is a key of its own."""
@@ -77,30 +81,92 @@ def site_status(sites: DataFrame, events: DataFrame) -> DataFrame:
     return sites.join(counts, "source", "left").select("source", n.alias("n"), status.alias("status"))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with its global place, from 0, in the given order, which must be total to be reproducible.
+
+    Rows are range-partitioned and numbered within each part; only the counts of the parts are added up in one
+    place, so no task sees all rows.
+    """
+    parts = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_own", own).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_own") - 1).drop("_part", "_start", "_own")
+
+
+def conflict_groups(edges: DataFrame) -> DataFrame:
+    """(node, comp) for all nodes of ``edges`` (a, b): comp is the smallest node that edges reach. Labels spread to
+    neighbours and then jump to their labels' labels, so rounds grow with the logarithm of a chain's length."""
+    both = written(edges.union(edges.select("b", "a")).where("a <> b").distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    while True:
+        # hook: the least label around a component's nodes goes to its root, then every root's label is followed
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        seen = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("near"))
+        roots = seen.groupBy("comp").agg(F.min("near").alias("top")).select(F.col("comp").alias("node"), "top")
+        hooked = written(seen.join(roots, "node", "left").select("node", "comp", F.least("near", F.coalesce("top", "near")).alias("lower")))
+        above = hooked.select(F.col("node").alias("lower"), F.col("lower").alias("top"))
+        moved = written(hooked.join(above, "lower").select("node", F.col("top").alias("comp"), (F.col("top") < F.col("comp")).alias("moved")))
+        labels = moved.select("node", "comp")
+        if not moved.where("moved").limit(1).count():
+            return labels
+
+
+def _greedy_round(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (_seq, _id, _key): those that come first for both keys, and what neither is nor conflicts with these."""
+    by_id = undecided.groupBy("_id").agg(F.min("_seq").alias("_seq")).select("_seq")
+    by_key = undecided.where("_key is not null").groupBy("_key").agg(F.min("_seq").alias("_seq")).select("_seq")
+    free = undecided.where("_key is null").select("_seq")
+    chosen = written(undecided.join(by_id, "_seq", "left_semi").join(by_key.union(free), "_seq", "left_semi"))
+    ids = chosen.select(F.col("_id").alias("_kept_id"))
+    keys = chosen.where("_key is not null").select(F.col("_key").alias("_kept_key"))
+    left = undecided.join(ids, F.col("_id").eqNullSafe(F.col("_kept_id")), "left_anti").join(keys, F.col("_key") == F.col("_kept_key"), "left_anti")
+    return chosen, written(left)
+
+
+def _walk_group(rows: pa.Table) -> pa.Table:
+    """Kept rows of one conflict group, row by row."""
+    rows = rows.sort_by("_seq")
+    ids, keys, kept = set(), set(), []
+    for place, (row_id, key) in enumerate(zip(rows.column("_id").to_pylist(), rows.column("_key").to_pylist(), strict=True)):
+        if row_id not in ids and (key is None or key not in keys):
+            ids.add(row_id)
+            keys.add(key)
+            kept.append(place)
+    return rows.take(pa.array(kept, pa.int64())).select(["_seq", "_id", "_key"])
+
+
 def dual_key_dedupe(df: DataFrame, row_id: str, key: str, seq: str) -> DataFrame:
     """Rows of an ordered greedy dedupe over two keys: a row is dropped if its id or its key already
     stands on a kept row; dropped rows count for nothing. A null or empty key never conflicts.
 
-    ``seq`` is unique and gives the order. Every round keeps the undecided rows that come first for both
-    of their keys and drops what conflicts with them; that gives the same rows as the row-by-row
-    walk. Per-key minima are combined before the shuffle, so a key with a third of all rows is no
-    hot spot; rounds are written to the shared folder.
+    ``seq`` is unique and gives the order. A few parallel rounds keep the undecided rows that come first for
+    both of their keys and drop what conflicts with them; that gives the same rows as the row-by-row walk. What
+    long chains leave open falls into conflict groups, each of which one task walks; only groups of over
+    GROUP_ROWS rows go on in rounds. Per-key minima are combined before shuffles.
     """
-    rows = df.select(F.col(seq).alias("_seq"), F.col(row_id).alias("_id"), F.nullif(F.col(key), F.lit("")).alias("_key"))
-    undecided, kept = written(rows), None
-    while undecided.limit(1).count():
-        by_id = undecided.groupBy("_id").agg(F.min("_seq").alias("_seq")).select("_seq")
-        by_key = undecided.where("_key is not null").groupBy("_key").agg(F.min("_seq").alias("_seq")).select("_seq")
-        free = undecided.where("_key is null").select("_seq")
-        chosen = written(undecided.join(by_id, "_seq", "left_semi").join(by_key.union(free), "_seq", "left_semi"))
-        kept = chosen if kept is None else kept.union(chosen)
-        ids = chosen.select(F.col("_id").alias("_kept_id"))
-        keys = chosen.where("_key is not null").select(F.col("_key").alias("_kept_key"))
-        left = undecided.join(ids, F.col("_id").eqNullSafe(F.col("_kept_id")), "left_anti").join(keys, F.col("_key") == F.col("_kept_key"), "left_anti")
-        undecided = written(left)
-    if kept is None:
+    rows = df.select(F.col(seq).cast("long").alias("_seq"), F.col(row_id).cast("string").alias("_id"), F.nullif(F.col(key).cast("string"), F.lit("")).alias("_key"))
+    undecided, kept = written(rows), []
+    for _ in range(PARALLEL_ROUNDS):
+        if not undecided.limit(1).count():
+            break
+        chosen, undecided = _greedy_round(undecided)
+        kept.append(chosen)
+    if undecided.limit(1).count():
+        first = lambda c: undecided.where(f"{c} is not null").groupBy(c).agg(F.min("_seq").alias("b"))
+        edges = [undecided.join(first(c), c).select(F.col("_seq").alias("a"), "b") for c in ("_id", "_key")]
+        groups = conflict_groups(edges[0].union(edges[1]))
+        grouped = written(undecided.join(groups.withColumnRenamed("node", "_seq"), "_seq", "left").withColumn("comp", F.coalesce("comp", "_seq")))
+        sizes = grouped.groupBy("comp").count()
+        small = grouped.join(sizes.where(F.col("count") <= GROUP_ROWS).select("comp"), "comp", "left_semi")
+        kept.append(written(small.groupBy("comp").applyInArrow(_walk_group, "_seq long, _id string, _key string")))
+        large = written(grouped.join(sizes.where(F.col("count") > GROUP_ROWS).select("comp"), "comp", "left_semi").select("_seq", "_id", "_key"))
+        while large.limit(1).count():
+            chosen, large = _greedy_round(large)
+            kept.append(chosen)
+    if not kept:
         return df.limit(0)
-    return df.join(kept.select(F.col("_seq").alias(seq)), seq, "left_semi")
+    return df.join(reduce(DataFrame.union, kept).select(F.col("_seq").alias(seq)), seq, "left_semi")
 
 
 def facets(df: DataFrame, column: str, missing: str) -> DataFrame:

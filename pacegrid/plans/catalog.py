@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pacegrid.functions import fixed, geo, sports, text, urls, values
-from pacegrid.operators import relational
+from pacegrid.operators import relational, search
 
 RUN_DAY = "1998-01-01"
 #: White space as the engine sees it, for DuckDB.
@@ -60,7 +60,7 @@ def _sql_clean(expression: str) -> str:
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, event_type")
 def facet_counts(t):
     """Events by type, most frequent first."""
-    return t("events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
+    return relational.facets(t("events"), "event_type", "other")
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (ts IS NULL) AS dateless, count(*) FILTER (value IS NULL) AS unpriced, count(*) FILTER (event_type = 'error') AS errors FROM events")
@@ -125,20 +125,21 @@ def distance_parse(t):
     """Quantities as texts of several units, read back as label and kilometres."""
     whole, n = F.col("l_quantity").cast("int"), F.col("l_linenumber") % 5
     said = F.when(n == 0, "half marathon").when(n == 1, F.concat(whole.cast("string"), F.lit("K"))).when(n == 2, F.concat(whole.cast("string"), F.lit(" miles"))).when(n == 3, F.concat((whole * 100).cast("string"), F.lit("m"))).otherwise(F.concat(whole.cast("string"), F.lit(".5 km")))
-    label, km = values.parse_distance(F.col("said"))
-    return t("lineitem").withColumn("said", said).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", km.alias("km"), label.alias("label"))
+    return values.with_distance(t("lineitem").withColumn("said", said), F.col("said"), "label", "km").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "km", "label")
 
 
 @query("SELECT l_orderkey, min(l_extendedprice) AS price_min, max(l_extendedprice) AS price_max FROM lineitem GROUP BY l_orderkey")
 def price_range(t):
-    return t("lineitem").groupBy("l_orderkey").agg(F.min("l_extendedprice").alias("price_min"), F.max("l_extendedprice").alias("price_max"))
+    """Least and largest of the prices that each order lists."""
+    low, high = values.price_range(F.col("prices"))
+    return t("lineitem").groupBy("l_orderkey").agg(F.collect_list("l_extendedprice").alias("prices")).select("l_orderkey", low.alias("price_min"), high.alias("price_max"))
 
 
-@query("SELECT p_partkey, least(p_retailprice, CAST(p_size AS DOUBLE)) AS price_min, greatest(p_retailprice, CAST(p_size AS DOUBLE)) AS price_max, 'USD' AS currency, '/p/' || p_partkey AS link FROM part")
+@query("SELECT p_partkey, least(p_retailprice, CAST(p_size AS DOUBLE)) AS price_min, greatest(p_retailprice, CAST(p_size AS DOUBLE)) AS price_max, 'USD' AS currency, 'https://shop.test/p/' || p_partkey AS link FROM part")
 def offers_fold(t):
     """Offers as JSON, folded to a price range, a currency and a link."""
     offers = F.concat(F.lit('[{"price":"'), F.col("p_retailprice").cast("string"), F.lit('","priceCurrency":"USD"},{"lowPrice":'), F.col("p_size").cast("string"), F.lit(',"url":"/p/'), F.col("p_partkey").cast("string"), F.lit('"}]'))
-    low, high, currency, link = values.offers_fold(F.col("offers"))
+    low, high, currency, link = values.offers_fold(F.col("offers"), F.lit("https://shop.test/list/all"))
     return t("part").withColumn("offers", offers).select("p_partkey", low.alias("price_min"), high.alias("price_max"), currency.alias("currency"), link.alias("link"))
 
 
@@ -166,9 +167,16 @@ def funnel_report(t):
     return relational.funnel(_dated_orders(t), [("no_url", F.col("o_orderkey") % 17 == 0), ("non_sport", F.col("o_orderstatus") == "P"), ("past", past)])
 
 
-@query()
+@query("""WITH RECURSIVE keyed AS (
+  SELECT event_id, user_id || '|' || event_type AS id, CAST(value AS VARCHAR) || '|' || CAST(CAST(ts AS DATE) AS VARCHAR) AS key, row_number() OVER (ORDER BY event_id) AS n, hash(user_id, event_type) AS i, hash(value, CAST(ts AS DATE)) AS k FROM events),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS event_id, CAST([] AS UBIGINT[]) AS ids, CAST([] AS UBIGINT[]) AS keys
+  UNION ALL
+  SELECT x.n, CASE WHEN free THEN x.event_id END, CASE WHEN free THEN list_append(ids, i) ELSE ids END, CASE WHEN free THEN list_append(keys, k) ELSE keys END
+  FROM (SELECT e.n, e.event_id, e.i, e.k, w.ids, w.keys, NOT list_contains(w.ids, e.i) AND NOT list_contains(w.keys, e.k) AS free FROM walk w JOIN keyed e ON e.n = w.n + 1) x)
+SELECT event_id, id, key FROM walk JOIN keyed USING (event_id)""")
 def dual_key_dedupe(t):
-    """Ordered greedy dedupe of events by (user, type) and by (value, day); held against a row-by-row walk in the tests."""
+    """Ordered greedy dedupe of events by (user, type) and by (value, day); the SQL walks row by row."""
     keyed = t("events").withColumns({"id": F.concat_ws("|", "user_id", "event_type"), "key": F.concat_ws("|", F.col("value").cast("string"), F.to_date("ts").cast("string"))})
     return relational.dual_key_dedupe(keyed, "id", "key", "event_id").select("event_id", "id", "key")
 
@@ -229,11 +237,11 @@ def fallback_lookup(t):
     return relational.lookup_with_fallback(keyed, ["first_key", "second_key"], places, "place", "code").select("c_custkey", "code")
 
 
-@query("SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate IS NULL, o_orderdate, lower(o_orderstatus), o_orderkey) AS place FROM orders")
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate IS NULL, o_orderdate, lower(o_orderstatus), o_orderkey) - 1 AS place FROM orders")
 def event_sort(t):
-    """Place of each row by start, undated last, then title; numbered within a group, so that no task sorts all rows."""
+    """Place of each row among all by start, undated last, then title."""
     start = F.col("o_orderdate")
-    return t("orders").select("o_orderkey", "o_orderpriority", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(start.isNull(), start, F.lower("o_orderstatus"), "o_orderkey")).alias("place"))
+    return relational.numbered(t("orders").select("o_orderkey", "o_orderdate", "o_orderstatus"), [start.isNull(), start, F.lower("o_orderstatus"), F.col("o_orderkey")], "place").select("o_orderkey", "place")
 
 
 _LAT, _LON = "(c_custkey * 37 % 180 - 90)", "(c_custkey * 91 % 360 - 180)"
@@ -253,15 +261,25 @@ def bbox_extent(t):
     return t("nation").select(key.alias("n_nationkey"), F.round(km, 6).alias("km"), geo.precise_enough(km, F.lit("city")).alias("precise"))
 
 
-@query("SELECT p_partkey FROM part WHERE contains(lower(coalesce(p_name, '') || ' ' || coalesce(p_brand, '') || ' ' || coalesce(p_type, '')), 'ring brand#1')")
+def _listed(t) -> DataFrame:
+    """Customers as event rows: names as titles, nations as cities, made-up coordinates."""
+    lat, lon = (F.expr(x).cast("double") for x in (_LAT, _LON))
+    named = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    blank = F.lit(None).cast("string")
+    return named.select("c_custkey", F.col("c_name").alias("title"), F.col("n_name").alias("city"), blank.alias("venue_name"), blank.alias("region"), blank.alias("country"), F.array(F.lit("10K")).alias("distances"), F.when(F.col("c_custkey") % 3 > 0, "2030-01-01").alias("start"), F.lower("c_mktsegment").alias("sport"), F.lit("s").alias("source"), lat.alias("latitude"), lon.alias("longitude"))
+
+
+@query("SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE contains(lower(c_name || ' ' || n_name || '    ' || '10K'), 'nation_1')")
 def text_search(t):
-    joined = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("p_name", "p_brand", "p_type")])
-    return t("part").where(F.contains(F.lower(joined), F.lit("ring brand#1"))).select("p_partkey")
+    """Events that hold a term in title, place or distances."""
+    return search.search(_listed(t), term="Nation_1").select("c_custkey")
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND user_id % 5 = 0 AND ts IS NOT NULL AND contains(lower(props), '\"k\": 1')")
+@query("""SELECT c_custkey FROM (SELECT *, 2 * 6371.0 * asin(sqrt(pow(sin(radians((c_custkey * 37 % 180 - 90) - 18.5) / 2), 2) + cos(radians(18.5)) * cos(radians((c_custkey * 37 % 180 - 90))) * pow(sin(radians((c_custkey * 91 % 360 - 180) - 73.9) / 2), 2))) AS km FROM customer)
+WHERE lower(c_mktsegment) = 'machinery' AND c_custkey % 3 > 0 AND km <= 6000""")
 def viewer_filter(t):
-    return t("events").where((F.col("event_type") == "purchase") & (F.col("user_id") % 5 == 0) & F.col("ts").isNotNull() & F.contains(F.lower("props"), F.lit('"k": 1'))).select("event_id", "user_id")
+    """Dated events of one sport within a radius."""
+    return search.search(_listed(t), sport="machinery", source="s", dated=True, origin=(18.5, 73.9), radius_km=6000).select("c_custkey")
 
 
 @query("SELECT l_orderkey, string_agg(DISTINCT l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS subtypes FROM lineitem GROUP BY l_orderkey")
@@ -300,4 +318,4 @@ def date_parse(t):
     """Order dates in three forms, read back as ISO texts."""
     n = F.col("o_orderkey") % 3
     said = F.when(n == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(n == 1, F.date_format("o_orderdate", "MM/dd/yyyy")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'"))
-    return t("orders").withColumn("said", said).select("o_orderkey", values.parse_date(F.col("said"), date(2026, 1, 1), full_entities=False).alias("start"))
+    return values.with_dates(t("orders").withColumn("said", said), {"start": F.col("said")}, date(2026, 1, 1), full_entities=False).select("o_orderkey", "start")

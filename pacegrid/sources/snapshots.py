@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from pacegrid.operators.lineage import written
 from pacegrid.schema import EVENT_DDL, as_events
 
 
@@ -24,3 +25,8 @@ def write_snapshot(events: DataFrame, path: str, format: str = "parquet") -> Non
     """Replaces the snapshot at ``path``; JSON keeps null fields. Not for a path that ``events`` reads."""
     writer = as_events(events).write.mode("overwrite")
     writer.option("ignoreNullFields", False).json(path) if format == "json" else writer.format(format).save(path)
+
+
+def replace_snapshot(events: DataFrame, path: str, format: str = "parquet") -> None:
+    """write_snapshot() for ``events`` that were read from ``path`` itself: they are written to the shared folder first."""
+    write_snapshot(written(as_events(events)), path, format)

@@ -2,19 +2,27 @@
 
 One partition holds all links of a host, so that a single task keeps that host's pace. Options: ``urls``
 (separated by white space), ``delay`` (seconds between requests to a host), ``timeout``, ``retries``,
-``agent``, ``robots`` (true or false).
+``agent``, ``robots`` (true or false). fetched() takes links from a DataFrame instead, of any number.
+
+Paged services: ``spark.read.format("paged")`` with ``url`` (``{kind}`` and ``{page}`` are filled in), ``kinds``,
+``per_page``, ``pages`` and ``list`` (the key of the rows in an answer; empty if the answer is the list).
 """
 
 from __future__ import annotations
 
+import json
 import time
 import urllib.error
 import urllib.request
 import urllib.robotparser
 from collections import defaultdict
 from collections.abc import Iterator
-from urllib.parse import urlsplit
+from datetime import date, timedelta
+from urllib.parse import urlencode, urlsplit
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "url string, status int, html string, error string"
@@ -60,23 +68,29 @@ class PagesReader(DataSourceReader):
         rules.parse((text or "").splitlines())
         return rules
 
+    def open(self, url: str) -> dict:
+        """What a host's requests share: its rules, their pause and when the last one was."""
+        rules = self._rules(url) if self.robots else None
+        return {"rules": rules, "pause": max(self.delay, float((rules and rules.crawl_delay(self.agent)) or 0)), "last": 0.0}
+
+    def fetch(self, url: str, state: dict) -> tuple:
+        """(url, status, text, error); answers of 200 and 4xx are final, others are tried again."""
+        if state["rules"] and not state["rules"].can_fetch(self.agent, url):
+            return url, None, None, "disallowed by robots.txt"
+        for attempt in range(self.retries + 1):
+            time.sleep(max(0.0, state["last"] + state["pause"] - time.monotonic()))
+            state["last"] = time.monotonic()
+            status, text, error = self._get(url)
+            if status == 200 or (status is not None and 400 <= status < 500):
+                break
+            if attempt < self.retries:
+                time.sleep(1.5 * (attempt + 1))
+        return url, status, text, error
+
     def read(self, partition: HostPartition) -> Iterator[tuple]:
-        rules = self._rules(partition.urls[0]) if self.robots and partition.urls else None
-        pause = max(self.delay, float((rules and rules.crawl_delay(self.agent)) or 0))
-        last = 0.0
+        state = self.open(partition.urls[0]) if partition.urls else {}
         for url in partition.urls:
-            if rules and not rules.can_fetch(self.agent, url):
-                yield url, None, None, "disallowed by robots.txt"
-                continue
-            for attempt in range(self.retries + 1):
-                time.sleep(max(0.0, last + pause - time.monotonic()))
-                last = time.monotonic()
-                status, text, error = self._get(url)
-                if status == 200 or (status is not None and 400 <= status < 500):
-                    break
-                if attempt < self.retries:
-                    time.sleep(1.5 * (attempt + 1))
-            yield url, status, text, error
+            yield self.fetch(url, state)
 
 
 class PagesSource(DataSource):
@@ -91,3 +105,86 @@ class PagesSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return PagesReader(self.options)
+
+
+def fetched(links: DataFrame, options: dict | None = None, tasks: int | None = None) -> DataFrame:
+    """(url, status, html, error) of the distinct ``url`` of ``links``, read by tasks that each own whole hosts.
+
+    A host's links reach one task in order, one after another, so they need no room; nothing passes through the driver.
+    """
+    reader = PagesReader(options or {})
+    host = F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1)
+    owned = links.select("url").where("url is not null").distinct().withColumn("host", host)
+    owned = owned.repartition(tasks, "host") if tasks else owned.repartition("host")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for batch in batches:
+            for owner, url in zip(batch.column("host").to_pylist(), batch.column("url").to_pylist(), strict=True):
+                if owner != at:
+                    at, state = owner, reader.open(url)
+                row = reader.fetch(url, state)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], ["url", "status", "html", "error"])
+
+    return owned.sortWithinPartitions("host", "url").select("host", "url").mapInArrow(work, SCHEMA)
+
+
+def not_cached(links: DataFrame, cache: DataFrame) -> DataFrame:
+    """``links`` (url) that the page table ``cache`` (key: SHA-1 of the link) lacks."""
+    return links.join(cache.select("key"), F.sha1(F.col("url").cast("binary")) == F.col("key"), "left_anti")
+
+
+def as_cache(pages: DataFrame) -> DataFrame:
+    """Rows for the page table: pages that were read, with their key."""
+    return pages.where("status = 200").select(F.sha1(F.col("url").cast("binary")).alias("key"), "url", "status", "html", "error")
+
+
+def date_window(run_day: date, date_from: str | None = None, date_to: str | None = None, days_ahead: int | None = None) -> dict[str, str]:
+    """Parameters that narrow a race service's answer: from the given day or the run's, to the given day or so many days on."""
+    last = date_to or (run_day + timedelta(days=days_ahead) if days_ahead else None)
+    return {"race_event_days_from": str(date_from or run_day)} | ({"race_event_days_to": str(last)} if last else {})
+
+
+def service_url(base: str, parameters: dict) -> str:
+    """``base`` with encoded parameters; ``{kind}`` and ``{page}`` stay to be filled in."""
+    return f"{base}?{urlencode(parameters, safe='{}')}"
+
+
+class PagedReader(DataSourceReader):
+    """One partition a kind; its pages are read in turn until one fails, is empty or is short."""
+
+    def __init__(self, options: dict) -> None:
+        self.pages, self.url, self.key = PagesReader(options), options["url"], options.get("list", "")
+        self.kinds, self.most, self.per_page = (options.get("kinds") or "all").split(), int(options.get("pages", 2)), int(options.get("per_page", 50))
+
+    def partitions(self) -> list[InputPartition]:
+        return [HostPartition(kind, [self.url.replace("{kind}", kind).replace("{page}", str(k)) for k in range(1, self.most + 1)]) for kind in self.kinds]
+
+    def read(self, partition: HostPartition) -> Iterator[tuple]:
+        state = self.pages.open(partition.urls[0])
+        for place, url in enumerate(partition.urls, 1):
+            _, status, text, error = self.pages.fetch(url, state)
+            try:
+                found = json.loads(text or "null")
+                rows = found.get(self.key) if self.key and isinstance(found, dict) else found
+            except ValueError:
+                rows = None
+            ended = status == 400 and place > 1  # past the last page
+            if not ended:
+                yield partition.host, place, url, status, text, error
+            if status != 200 or not isinstance(rows, list) or len(rows) < self.per_page:
+                return
+
+
+class PagedSource(DataSource):
+    """Registered by ``spark.dataSource.register(PagedSource)``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "paged"
+
+    def schema(self) -> str:
+        return "kind string, place int, url string, status int, json string, error string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return PagedReader(self.options)

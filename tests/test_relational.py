@@ -45,3 +45,15 @@ def test_search(spark):
     assert titles(dated=True) == ["City Run"]
     assert titles(sport="running", origin=(18.0, 73.0)) == ["City Run", "Nowhere"]
     assert titles(origin=(18.0, 73.0), radius_km=500) == ["City Run"]
+
+
+def test_long_chains_end_soon(spark):
+    """A chain of conflicts, each row with the next by id or by key, in a bounded number of jobs."""
+    rows = [(k, f"i{k // 2}", f"k{(k + 1) // 2}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "seq long, id string, key string")
+    assert sorted(r["seq"] for r in relational.dual_key_dedupe(df, "id", "key", "seq").collect()) == walk(rows)
+
+
+def test_numbered(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
+    assert all(r["place"] == r["x"] for r in relational.numbered(df, [F.col("x")], "place").collect())
