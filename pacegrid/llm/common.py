@@ -21,6 +21,7 @@ PRIME = (1 << 31) - 1
 #: The two points that polynomials are taken at.
 POINTS = (1_482_937_611, 1_906_215_733)
 _P, _SHIFT = np.uint64(PRIME), np.uint64(31)
+_BACKS = tuple(pow(point, -1, PRIME) for point in POINTS)
 #: Elements that are hashed at once, so that they stay in a core's cache.
 BLOCK = 1 << 14
 _powers: dict[int, np.ndarray] = {}
@@ -130,7 +131,7 @@ def spliced(head: np.ndarray, n: int, tail: np.ndarray, m: int) -> np.ndarray:
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Position-free hash of each span [start, end)."""
     out = np.zeros(len(start), np.uint64)
-    backs = [powers(pow(point, -1, PRIME), prefix.shape[1]) for point in POINTS]
+    backs = [powers(point, prefix.shape[1]) for point in _BACKS]
     for a in range(0, len(start), BLOCK):
         some, low, high = out[a : a + BLOCK], start[a : a + BLOCK], end[a : a + BLOCK]
         for own, back in zip(prefix, backs, strict=True):

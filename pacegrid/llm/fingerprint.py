@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pacegrid.llm.common import mix, prefix_hash, span_hash, spliced
+from pacegrid.llm.common import POINTS, PRIME, mix, prefix_hash, span_hash, spliced
 
 SPAN, KEPT = 16, 64
 #: Text bytes that a range of ids is planned for, and ranges at most: the driver holds a bound and an id of each.
@@ -24,6 +24,8 @@ RANGE_BYTES, MOST_RANGES = 8 << 20, 50_000
 #: Rows of the result that are handed on at once.
 ROWS_AT_ONCE = 256
 _END = (1 << 63) - 1
+#: Odd factor that spreads a text's length over its whole hash.
+LENGTH_MARK = 0x9E3779B97F4A7C15
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, same_start long"
 _RESULT_ARROW = pa.schema(
@@ -52,8 +54,12 @@ class PrefixHashes:
         return span_hash(self.prefix, start, end)
 
     def same(self, start: int, other: PrefixHashes, other_start: int, length: int) -> bool:
-        """Whether two spans are equal."""
-        return bool(self.spans(np.array([start]), np.array([start + length]))[0] == other.spans(np.array([other_start]), np.array([other_start + length]))[0])
+        """Whether two spans are equal: their polynomials, each moved to where the other starts."""
+        for point, own, theirs in zip(POINTS, self.prefix, other.prefix, strict=True):
+            a, b = int(own[start + length]) - int(own[start]), int(theirs[other_start + length]) - int(theirs[other_start])
+            if (a * pow(point, other_start, PRIME) - b * pow(point, start, PRIME)) % PRIME:
+                return False
+        return True
 
     def common_extension(self, start: int, other: PrefixHashes, other_start: int) -> int:
         """Length of the longest common text from two positions, by binary search."""
@@ -78,8 +84,8 @@ class PrefixHashes:
 
     def fingerprint(self) -> tuple[int, np.ndarray]:
         """Hash of the whole text, and smallest()."""
-        whole = self.spans(np.array([0]), np.array([self.n]))[0] ^ mix(np.array([self.n], np.uint64))[0]
-        return int(whole), self.smallest()
+        first, second = self.prefix[:, self.n].tolist()
+        return ((first << 31 | second) ^ self.n * LENGTH_MARK) % (1 << 64), self.smallest()
 
 
 def as_text(fingerprint: tuple[int, np.ndarray]) -> str:
@@ -91,9 +97,10 @@ def likeness(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> float:
     """Share of spans in common, from 0 to 1 (Dice coefficient of the estimated Jaccard similarity); 1 for equal texts."""
     if a[0] == b[0]:
         return 1.0
-    both = np.union1d(a[1], b[1])[:KEPT]
-    shared = np.isin(both, a[1], assume_unique=True) & np.isin(both, b[1], assume_unique=True)
-    similar = shared.sum() / len(both)
+    both = np.sort(np.concatenate([a[1], b[1]]))
+    new = np.append(True, both[1:] != both[:-1])
+    last = both[new][:KEPT][-1]  # the KEPT smallest of both; those that stand twice are in common
+    similar = ((~new) & (both <= last)).sum() / min(int(new.sum()), KEPT)
     return float(2 * similar / (1 + similar))
 
 
