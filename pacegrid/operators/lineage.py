@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder of ``spark.checkpoint.dir`` and read again. A private
-    folder is set only where a local session has none; on a cluster that is an error."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``. A private folder is set only where a local session has
+    none; on a cluster that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    path = f"{context.getCheckpointDir()}/round-{uuid.uuid4().hex}"
+    return f"{context.getCheckpointDir()}/round-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again."""
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -83,12 +83,17 @@ sites:
 """
 
 
-def _crawl(t) -> crawl.Crawl:
+def fair_pages(t) -> DataFrame:
+    """Suppliers on five listing pages."""
     day = F.when(F.col("s_suppkey") % 7 == 0, "1999-05-01").otherwise(F.date_format(F.date_add(F.lit("2030-01-01").cast("date"), F.col("s_suppkey").cast("int")), "yyyy-MM-dd"))
     node = F.struct(F.lit("Event").alias("@type"), F.concat(F.when(F.col("s_suppkey") % 11 == 0, "Gala ").otherwise("Run "), F.col("s_name")).alias("name"), F.concat(F.lit("/e/"), F.col("s_suppkey") % 40).alias("url"), day.alias("startDate"))
     listed = t("supplier").groupBy((F.col("s_suppkey") % 5).alias("seed")).agg(F.array_sort(F.collect_list(F.struct("s_suppkey", node.alias("node")))).alias("rows"))
-    pages = listed.select(F.concat(F.lit("https://fair.test/"), F.col("seed")).alias("url"), F.lit(200).alias("status"), _script(F.to_json(F.transform("rows", lambda x: x.node)), "application/ld+json").alias("html"), F.lit(None).cast("string").alias("error"))
-    return crawl.crawl(sites.read_sites(listed.sparkSession, SITES), pages, RUN_AT)
+    return listed.select(F.concat(F.lit("https://fair.test/"), F.col("seed")).alias("url"), F.lit(200).alias("status"), _script(F.to_json(F.transform("rows", lambda x: x.node)), "application/ld+json").alias("html"), F.lit(None).cast("string").alias("error"))
+
+
+def _crawl(t) -> crawl.Crawl:
+    pages = fair_pages(t)
+    return crawl.crawl(sites.read_sites(pages.sparkSession, SITES), pages, RUN_AT)
 
 
 _RAW = """raw AS (SELECT s_suppkey AS k, (CASE WHEN s_suppkey % 11 = 0 THEN 'Gala ' ELSE 'Run ' END) || s_name AS title, 'https://fair.test/e/' || (s_suppkey % 40) AS source_url,

@@ -14,7 +14,11 @@ def read_snapshot(spark: SparkSession, path: str, format: str = "json") -> DataF
     fields are left out, unreadable records dropped."""
     reader = spark.read.schema(EVENT_DDL)
     try:
-        return as_events(reader.option("multiLine", True).option("mode", "DROPMALFORMED").json(path) if format == "json" else reader.format(format).load(path))
+        if format != "json":
+            return as_events(reader.format(format).load(path))
+        # lines can be split among tasks; only an array that goes over several lines must be read as one
+        first = spark.read.text(path).where("trim(value) <> ''").first()
+        return as_events(reader.option("multiLine", first is not None and first["value"].lstrip().startswith("[")).option("mode", "DROPMALFORMED").json(path))
     except AnalysisException as problem:
         if "PATH_NOT_FOUND" not in str(problem):
             raise

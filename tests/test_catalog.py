@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from pacegrid.plans import catalog, pages  # noqa: F401  pages registers its queries in catalog
+from pacegrid.plans import catalog, pages, places, runs  # noqa: F401  the others register their queries in catalog
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")

@@ -33,11 +33,14 @@ def test_pages_over_http(spark):
 
 
 def test_snapshots(spark, tmp_path):
-    events = as_events(spark.createDataFrame([("Run", "s", "https://x.test/1", "1")], "title string, source string, source_url string, id string"))
+    events = as_events(spark.createDataFrame([("Run", "s", "https://x.test/1", "1"), ("Ride", "s", "https://x.test/2", "2")], "title string, source string, source_url string, id string")).coalesce(1)
     for format in ("json", "parquet"):
         snapshots.write_snapshot(events, str(tmp_path / format), format)
         assert snapshots.read_snapshot(spark, str(tmp_path / format), format).collect() == events.collect()
     assert not snapshots.read_snapshot(spark, str(tmp_path / "none")).collect()
+    for name, array in (("wide", '[\n {"title": "Run",\n  "id": "1"},\n {"title": "Ride", "id": "2", "more": 1}\n]\n'), ("flat", '[{"title": "Run", "id": "1"}, {"title": "Ride", "id": "2"}]'), ("empty", "")):
+        (tmp_path / name).write_text(array)
+        assert [r["title"] for r in snapshots.read_snapshot(spark, str(tmp_path / name)).collect()] == ([] if name == "empty" else ["Run", "Ride"])
 
 
 PLACES = {("Tralee, Kerry", "IN"): None, ("Tralee", "IN"): (25.0, 73.8, 30.0, "city"), ("Atlantica", "IN"): (20.0, 78.0, 3000.0, "country"), ("Sligo", "IN"): (18.52, 73.85, None, "city")}
