@@ -53,34 +53,45 @@ def shard(docs: DataFrame, limit: int) -> DataFrame:
     extra = ("n_bytes", "shard_bits", "shard_prefix", "shard_page")
     docs = docs.drop(*extra)
     measured = docs.withColumns({"_key": shard_key(), "n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")})
-    keys = cut(measured.groupBy(F.col("_key").alias("key")).agg(F.sum("n_bytes").alias("n_bytes")))
+    keys = cut(measured.groupBy(F.col("_key").alias("key")).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("rows")))
     total = keys.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     depth = min(KEY_BITS, max(0, math.ceil(math.log2(max(total, 1) / limit))) + SPARE_BITS)
-    placed, left, floor_bits, passes = measured, keys, 0, []
+    left, floor_bits, passes = keys, 0, []
     while True:
         directory = cut(_directory(left, floor_bits, depth, limit))
         open_cells = directory.where("bits is null").select("cell")
-        count = directory.count()
-        passes.append((depth, directory, count))
+        passes.append((depth, directory))
         if depth == KEY_BITS or not open_cells.limit(1).count():
             break
         at = F.shiftright("key", KEY_BITS - depth)
         left = left.join(open_cells, at == F.col("cell"), "left_semi")
         floor_bits, depth = depth + 1, min(KEY_BITS, depth + MORE_BITS)
-    bits, prefix, alone = [], [], []
-    for k, (depth, directory, count) in enumerate(passes):
-        named = directory.select(F.col("cell").alias(f"_cell{k}"), *[F.col(c).alias(f"_{c}{k}") for c in ("bits", "prefix", "alone")])
-        on = F.shiftright("_key", KEY_BITS - depth) == F.col(f"_cell{k}")
-        placed = placed.join(F.broadcast(named) if count <= BROADCAST_ENTRIES else named, on, "left")
-        bits, prefix, alone = bits + [f"_bits{k}"], prefix + [f"_prefix{k}"], alone + [f"_alone{k}"]
-    found = placed.withColumns({"shard_bits": F.coalesce(*bits, F.lit(KEY_BITS)).cast("int"), "shard_prefix": F.coalesce(*prefix, F.col("_key")), "_crowded": F.coalesce(*alone, F.lit(True))})
+    # one lookup a row: cells that later passes divide carry these passes' entries, a few hundred at most
+    entry = F.struct("bits", "prefix", "alone")
+    top, first = passes[0]
+    lookup = first.select(F.col("cell").alias("_cell"), F.when(F.col("bits").isNotNull(), entry).alias("_entry0"))
+    for k, (depth, directory) in enumerate(passes[1:], 1):
+        divided = directory.where("bits is not null").groupBy(F.shiftright("cell", depth - top).alias("_cell")).agg(F.map_from_entries(F.collect_list(F.struct("cell", entry))).alias(f"_entries{k}"))
+        lookup = lookup.join(divided, "_cell", "left")
+    lookup = cut(lookup)
+    lookup = F.broadcast(lookup) if sum(directory.count() for _, directory in passes) <= BROADCAST_ENTRIES else lookup
+    cell = lambda depth: F.shiftright("_key", KEY_BITS - depth)
+    entries = ["_entry0", *[F.try_element_at(f"_entries{k}", cell(depth)) for k, (depth, _) in enumerate(passes[1:], 1)]]
+
+    def found(rows: DataFrame) -> DataFrame:
+        own = rows.join(lookup, cell(top) == F.col("_cell"), "left").withColumn("_entry", F.coalesce(*entries))
+        return own.withColumns({"shard_bits": F.coalesce("_entry.bits", F.lit(KEY_BITS)).cast("int"), "shard_prefix": F.coalesce("_entry.prefix", F.col("_key")), "_crowded": F.coalesce("_entry.alone", F.lit(True))})
+
     single = F.col("_crowded") & (F.col("n_bytes") <= limit)
-    plain = found.where(~single).withColumn("shard_page", F.lit(0).cast("long"))
     columns = [*docs.columns, *extra]
-    if not any(directory.where("alone or bits is null").limit(1).count() for _, directory, _ in passes):
-        return plain.select(*columns)
+    crowds = keys.where((F.col("n_bytes") > limit) & (F.col("rows") > 1)).select(F.col("key").alias("_key"))
+    crowded = crowds.count()
+    if not crowded:
+        return found(measured).withColumn("shard_page", F.lit(0).cast("long")).select(*columns)
+    plain = found(measured).where(~single).withColumn("shard_page", F.lit(0).cast("long"))
     # equal rows: written once with their task, then numbered within it, after the rows of earlier tasks
-    equal = cut(found.where(single).withColumn("_task", F.spark_partition_id()))
+    equal = measured.join(F.broadcast(crowds) if crowded <= BROADCAST_ENTRIES else crowds, "_key", "left_semi")
+    equal = cut(found(equal).where(single).withColumn("_task", F.spark_partition_id()))
     before = Window.partitionBy("_key").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     tasks = equal.groupBy("_key", "_task").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     numbered = equal.withColumn("_number", F.row_number().over(Window.partitionBy("_key", "_task").orderBy("doc_id"))).join(tasks, ["_key", "_task"])
