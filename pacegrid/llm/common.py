@@ -52,6 +52,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that cut() wrote, once no later table is to be read from it."""
+    context = df.sparkSession.sparkContext
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if path.rsplit("/", 1)[1].startswith("cut-"):
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pacegrid.llm import chat, decontam, fingerprint, langid, mixing, near_dedup, quality, sharding, suffix_dedup, url_filter
+from pacegrid.llm import chat, decontam, fingerprint, langid, lm_score, merkle, mixing, near_dedup, quality, sharding, suffix_dedup, url_filter, vector_codes
 from pacegrid.llm.common import table
 
 SHARD_BYTES = 8 << 20
@@ -100,6 +100,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and errors of each vector under codebooks fitted to all; see vector_codes.compress()."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each document under a model of four fifths of them; see lm_score.score_documents()."""
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), _crc(F.col("doc_id"), 5) == 1)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verification of each document; see merkle.manifest()."""
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -111,7 +126,72 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprint": op8_fingerprint,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_lm_score": op12_lm_score,
+    "op13_merkle": op13_merkle,
 }
+def _codes_sql() -> str:
+    """SQL of op11: the six rounds, each a table of entries, written one after the other."""
+    parts, entries, rounds = vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS
+    nearest = """near{k} AS MATERIALIZED (
+  SELECT row_no, part, min(struct_pack(d := d, entry := entry)) AS best FROM (
+    SELECT x.row_no, x.part, c.entry, sum((x.v - c.v) * (x.v - c.v)) AS d FROM cells x JOIN book{k} c USING (part, place) GROUP BY x.row_no, x.part, c.entry) GROUP BY row_no, part)"""
+    moved = """book{n} AS MATERIALIZED (
+  SELECT c.part, c.entry, c.place, coalesce(s.v, c.v) AS v FROM book{k} c LEFT JOIN (
+    SELECT x.part, n.best.entry AS entry, x.place, CAST(floor(sum(x.v) / count(*)) AS BIGINT) AS v FROM cells x JOIN near{k} n USING (row_no, part) GROUP BY x.part, n.best.entry, x.place) s USING (part, entry, place))"""
+    steps = ",\n".join([text.format(k=k, n=k + 1) for k in range(rounds) for text in (nearest, moved)] + [nearest.format(k=rounds)])
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding, label NULLS FIRST) - 1 AS row_no FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS MATERIALIZED (
+  SELECT row_no, g // (len(embedding) // {parts}) AS part, g % (len(embedding) // {parts}) AS place, CAST(floor(4096 * CAST(embedding[g + 1] AS DOUBLE)) AS BIGINT) AS v
+  FROM kept, unnest(range(0, len(embedding))) AS t(g)),
+book0 AS MATERIALIZED (SELECT part, row_no AS entry, place, v FROM cells WHERE row_no < {entries}),
+{steps},
+coded AS (
+  SELECT k.vec_id, k.label, string_agg(lpad(lower(hex(n.best.entry)), 2, '0'), '' ORDER BY n.part) AS code, CAST(sum(n.best.d) AS BIGINT) AS error
+  FROM kept k JOIN near{rounds} n USING (row_no) GROUP BY k.row_no, k.vec_id, k.label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, place)) FROM book{rounds}) AS codebooks_sha256 FROM coded"""
+
+
+def _merkle_sql() -> str:
+    """SQL of op13. crc32 is worked out byte by byte; 3988292384 is its reversed polynomial, a fixed value."""
+    said = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(said, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH RECURSIVE crc AS (
+  SELECT list(c ORDER BY n) AS steps FROM (
+    SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) t(n))),
+leaves AS (
+  SELECT doc_id, lang, {leaf("text")} AS leaf,
+    CASE WHEN xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+      lambda c, b: xor(c >> 8, steps[1 + (xor(c, b) & 255)])), 4294967295) % 3 = 0 THEN {leaf(lower)} END AS changed FROM documents, crc),
+own AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS row_no, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes AS (
+  SELECT lang, 0 AS k, i, leaf AS h, n FROM own
+  UNION ALL SELECT lang, k + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY lang, k, i // 8, n),
+subroots AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS k, i, h, n FROM subroots
+  UNION ALL SELECT k + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY k, i // 8, n),
+runs AS (
+  SELECT o.row_no, t.k, t.i, t.h, o.i >> CAST(3 * t.k AS BIGINT) AS mine FROM own o JOIN nodes t ON t.lang IS NOT DISTINCT FROM o.lang AND t.n > 1 AND t.i // 8 = (o.i >> CAST(3 * t.k AS BIGINT)) // 8
+  UNION ALL SELECT o.row_no, 100 + t.k, t.i, t.h, s.i >> CAST(3 * t.k AS BIGINT) FROM own o JOIN subroots s ON s.lang IS NOT DISTINCT FROM o.lang JOIN tops t ON t.n > 1 AND t.i // 8 = (s.i >> CAST(3 * t.k AS BIGINT)) // 8),
+paths AS (
+  SELECT row_no, list(sides ORDER BY k) AS path, string_agg(siblings, '' ORDER BY k) AS siblings FROM (
+    SELECT row_no, k, coalesce(string_agg(h, '' ORDER BY i) FILTER (i < mine), '') || '|' || coalesce(string_agg(h, '' ORDER BY i) FILTER (i > mine), '') AS sides,
+      coalesce(string_agg(h, '' ORDER BY i) FILTER (i <> mine), '') AS siblings FROM runs GROUP BY row_no, k) GROUP BY row_no),
+folded AS (
+  SELECT o.doc_id, o.leaf, s.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256,
+    list_reduce(list_prepend(coalesce(o.changed, o.leaf), coalesce(p.path, [])), lambda c, x: sha256(split_part(x, '|', 1) || c || split_part(x, '|', 2))) AS folded_root
+  FROM own o JOIN subroots s ON s.lang IS NOT DISTINCT FROM o.lang LEFT JOIN paths p USING (row_no))
+SELECT *, folded_root = root AS verified FROM folded"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": f"""
 WITH keyed AS (
@@ -158,4 +238,6 @@ placed AS (
   SELECT r.doc_id, r.source, r.mix_block, r.mix_block // share * (SELECT count(*) FROM turns) + turn AS mix_slot
   FROM ranked r LEFT JOIN shares s ON s.source = r.source LEFT JOIN turns t ON t.source = r.source AND t.step = r.mix_block % s.share)
 SELECT doc_id, source, mix_block, mix_slot, CAST(0 AS BIGINT) AS mix_place, coalesce(mix_slot < first_gap, false) AS in_mix FROM placed, gap""",
+    "op11_vector_codes": _codes_sql(),
+    "op13_merkle": _merkle_sql(),
 }
