@@ -25,10 +25,12 @@ from pacegrid.llm.common import BYTE_CODE, blocks, cut, lower_bytes, mix, prefix
 
 #: Bits of the filter for each insertion: with five bits a probe and 64-bit words, about one absent pair in a hundred passes.
 BITS, PROBE_BITS = 12, 5
-#: Bytes of training text that a segment is planned for, and of text that is split into words at once.
-SEGMENT_BYTES, PIECE_BYTES = 1 << 20, 2 << 20
+#: Bytes of training text that a segment is planned for, bytes of text that are split into words at once, and rows that are worked on at once.
+SEGMENT_BYTES, PIECE_BYTES, PIECE_ROWS = 1 << 20, 1 << 20, 250
 #: Words and filter of up to so many bytes are broadcast; larger ones are joined by shuffle.
 BROADCAST_BYTES = 256 << 20
+#: They pass through the driver in parts of about so many bytes.
+PART_BYTES = 16 << 20
 #: A key in one of so many rows or more is hot: there are at most so many of them, and they are broadcast.
 HOT_SHARE = 1 << 15
 #: What stands for the start of a text and for its end.
@@ -62,6 +64,26 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return found[order], rows[order]
 
 
+def cut_by_small_batches(df: DataFrame) -> DataFrame:
+    """cut(), with Arrow batches of so few rows meanwhile that a batch of texts takes little memory next to the model."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(4 * PIECE_ROWS))
+    try:
+        return cut(df)
+    finally:
+        conf.set(name, before)
+
+
+def pieces(batch: pa.RecordBatch, size: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Consecutive rows of ``batch`` (text, any others), with their texts' tokens and the tokens' rows, so few that memory is bounded by the longest text."""
+    for low in range(0, batch.num_rows, size * PIECE_ROWS):
+        some = batch.slice(low, size * PIECE_ROWS)
+        data, offsets = text_buffer(some.column("text"))
+        for a, b in blocks(offsets, size * PIECE_BYTES):
+            yield some.slice(a, b - a), *token_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+
+
 def pairs_of(tokens: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First words and hashes of the pairs that end in each token."""
     firsts = np.empty_like(tokens)
@@ -111,6 +133,10 @@ def probe(bits: np.ndarray, firsts: np.ndarray, tags: np.ndarray, starts: np.nda
     return out
 
 
+#: A pair of a segment with its count in a piece; a piece's pairs of one segment go to it together.
+_COUNTED = np.dtype([("first", "<u8"), ("tag", "<u4"), ("n", "<u4")])
+
+
 class Model:
     """Tables of a fitted model: ``segments`` (segment, bits) and ``words`` (word, count, followers), and the totals."""
 
@@ -135,63 +161,83 @@ def fit(docs: DataFrame) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            for a, b in blocks(offsets, 8 * PIECE_BYTES):
-                firsts, pairs = pairs_of(*token_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+            for _, hashes, rows in pieces(batch, 4):  # more rows, fewer repeats to shuffle
+                firsts, pairs = pairs_of(hashes, rows)
                 order = np.argsort(pairs)
                 pairs = pairs[order]
                 new = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-                n, firsts, pairs = np.diff(np.append(new, len(pairs))), firsts[order[new]], pairs[new]
-                columns = [segment_of(pairs, n_segments).astype(np.int32), firsts.view(np.int64), tag_of(pairs).astype(np.uint32).view(np.int32), n]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["segment", "first", "tag", "n"])
-
-    def build(found: pa.Table) -> pa.Table:
-        firsts, tags = found.column("first").to_numpy().view(np.uint64), found.column("tag").to_numpy().astype(np.int32).view(np.uint32).astype(np.uint64)
+                found = np.empty(len(new), _COUNTED)
+                found["n"], found["first"], found["tag"] = np.diff(np.append(new, len(pairs))), firsts[order[new]], tag_of(pairs[new])
+                segment = segment_of(pairs[new], n_segments).astype(np.int32)
+                heads = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+                edges = np.append(heads, len(found)) * _COUNTED.itemsize
+                packed = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(found)])
+                yield pa.RecordBatch.from_arrays([pa.array(segment[heads]), packed], ["segment", "pairs"])
+
+    def build(parts: pa.Table) -> pa.Table:
+        found = np.frombuffer(b"".join(x.as_buffer() for x in parts.column("pairs")), _COUNTED)
+        firsts, tags, n = found["first"].copy(), found["tag"].astype(np.uint64), found["n"].astype(np.int64)
         order = np.lexsort((tags, firsts))
-        firsts, tags, n = firsts[order], tags[order], found.column("n").to_numpy()[order]
+        firsts, tags, n = firsts[order], tags[order], n[order]
         new = np.flatnonzero(np.concatenate([[True], (firsts[1:] != firsts[:-1]) | (tags[1:] != tags[:-1])]))
         firsts, tags, n = firsts[new], tags[new], np.add.reduceat(n, new)
         heads = np.flatnonzero(np.concatenate([[True], firsts[1:] != firsts[:-1]]))
         empty = lambda column, kind: pa.concat_arrays([pa.nulls(1, kind), column])  # noqa: E731  the first row holds the filter
         bits = pa.array([segment_filter(firsts, tags, n).tobytes(), *[None] * len(heads)], pa.binary())
-        segment = pa.array(np.full(1 + len(heads), found.column("segment")[0].as_py(), np.int32))
+        segment = pa.array(np.full(1 + len(heads), parts.column("segment")[0].as_py(), np.int32))
         columns = [segment, bits, *(empty(pa.array(x), pa.int64()) for x in (firsts[heads].view(np.int64), np.add.reduceat(n, heads), np.diff(np.append(heads, len(firsts)))))]
         return pa.Table.from_arrays(columns, ["segment", "bits", "word", "count", "followers"])
 
-    pairs = docs.mapInArrow(count, "segment int, first long, tag int, n long")
-    built = cut(pairs.groupBy("segment").applyInArrow(build, "segment int, bits binary, word long, count long, followers long"))
+    pairs = docs.mapInArrow(count, "segment int, pairs binary")
+    built = cut_by_small_batches(pairs.groupBy("segment").applyInArrow(build, "segment int, bits binary, word long, count long, followers long"))
     words_ = cut(built.where("word is not null").groupBy("word").agg(F.sum("count").alias("count"), F.sum("followers").alias("followers")))
     return Model(built.where("bits is not null").select("segment", "bits"), words_, n_segments)
 
 
 def _broadcast_scores(docs: DataFrame, model: Model) -> DataFrame:
-    segments = model.segments.toArrow().sort_by("segment")
-    sizes = np.zeros(model.n_segments, np.uint64)
-    sizes[segments.column("segment").to_numpy()] = [len(x.as_buffer()) // 8 for x in segments.column("bits")]
-    filter_ = np.frombuffer(b"".join(x.as_buffer() for x in segments.column("bits")), np.uint64)
-    table = model.words.toArrow()
-    order = np.argsort(table.column("word").to_numpy().view(np.uint64))
-    vocabulary = table.column("word").to_numpy().view(np.uint64)[order]
-    small = lambda name: (x := table.column(name).to_numpy()[order]).astype(np.min_scalar_type(int(x.max(initial=0))))
-    shared = docs.sparkSession.sparkContext.broadcast((filter_, sizes, vocabulary, small("count"), small("followers")))
+    context, n_parts = docs.sparkSession.sparkContext, -(-model.bytes() // PART_BYTES) or 1
+    bounds = [k * model.n_segments // n_parts for k in range(n_parts + 1)]
+    filters, vocabularies = [], []
+    for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        table = model.segments.where(F.col("segment").between(low, high - 1)).orderBy("segment").toArrow()
+        bits = table.column("bits").combine_chunks()
+        sizes = np.zeros(high - low, np.uint64)
+        sizes[table.column("segment").to_numpy() - low] = np.diff(np.frombuffer(bits.buffers()[1], np.int32)[: len(bits) + 1]) // 8
+        filters.append(context.broadcast((np.frombuffer(bits.buffers()[2], np.uint64), sizes)))
+        table = model.words.where(F.shiftright(F.shiftrightunsigned("word", 32) * n_parts, 32) == k).toArrow()
+        order = np.argsort(table.column("word").to_numpy().view(np.uint64))
+        columns = [table.column(name).to_numpy()[order] for name in ("word", "count", "followers")]
+        vocabularies.append(context.broadcast((columns[0].view(np.uint64), *(x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in columns[1:]))))
+        del table, bits, order, columns
     n_segments, tokens_, kinds = model.n_segments, model.tokens, model.kinds
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, sizes, vocabulary, counts, followers = shared.value
-        starts = np.cumsum(sizes) - sizes
-
-        def looked_up(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(vocabulary, hashes), max(0, len(vocabulary) - 1))
-            found = vocabulary[at] == hashes if len(vocabulary) else np.zeros(len(hashes), bool)
-            return tuple(np.where(found, x[at], 0).astype(float) if len(x) else np.zeros(len(hashes)) for x in (counts, followers))
+        def looked_up(hashes: np.ndarray) -> np.ndarray:
+            """Counts and numbers of followers of sorted hashes."""
+            out = np.zeros((2, len(hashes)))
+            part = ((hashes >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
+            edges = np.searchsorted(part, np.arange(n_parts + 1))
+            for (vocabulary, *facts), a, b in zip((x.value for x in vocabularies), edges, edges[1:], strict=False):
+                at = np.searchsorted(vocabulary, hashes[a:b])
+                found = np.flatnonzero(vocabulary[np.minimum(at, len(vocabulary) - 1)] == hashes[a:b]) if len(vocabulary) else np.zeros(0, int)
+                for own, fact in zip(out, facts, strict=True):
+                    own[a + found] = fact[at[found]]
+            return out
+
+        def levels(firsts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+            out, segment = np.zeros(len(pairs), np.int64), segment_of(pairs, n_segments).astype(np.int64)
+            for (bits, sizes), low, high in zip((x.value for x in filters), bounds, bounds[1:], strict=False):
+                some = np.flatnonzero((segment >= low) & (segment < high))
+                starts, own = np.cumsum(sizes) - sizes, segment[some] - low
+                some, own = some[sizes[own] > 0], own[sizes[own] > 0]
+                out[some] = probe(bits, firsts[some], tag_of(pairs[some]), starts[own], sizes[own])
+            return out
 
         for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            out = []
-            for a, b in blocks(offsets, 4 * PIECE_BYTES):
-                hashes, rows = token_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for docs_, hashes, rows in pieces(batch):
                 kinds_, of = np.unique(hashes, return_inverse=True)
-                count, follow = looked_up(np.where(kinds_ == END, BEGIN, kinds_))
+                asked, back = np.unique(np.where(kinds_ == END, BEGIN, kinds_), return_inverse=True)
+                count, follow = looked_up(asked)[:, back]
                 firsts, pairs = pairs_of(hashes, rows)
                 before = np.concatenate([[0], of[:-1]])
                 # the start of a text follows an end and has its counts; other tokens follow words
@@ -200,16 +246,18 @@ def _broadcast_scores(docs: DataFrame, model: Model) -> DataFrame:
                 own, context, spread = count[of], count[before], follow[before]
                 ask = np.flatnonzero((own > 0) & (context > 0))
                 level = np.zeros(len(hashes), np.int64)
-                segment = segment_of(pairs[ask], n_segments).astype(np.int64)
-                level[ask] = probe(bits, firsts[ask], tag_of(pairs[ask]), starts[segment], sizes[segment])
+                level[ask] = levels(firsts[ask], pairs[ask])
                 single = (own + 0.5) / (tokens_ + 0.5 * (kinds + 1))
                 both = np.minimum(MEANS[level], np.minimum(own, context))
                 score = np.log10((both + spread * single) / np.maximum(context + spread, 1), where=context > 0, out=np.log10(single))
-                n = b - a
-                out.append([np.bincount(rows, minlength=n), np.bincount(rows, own > 0, n).astype(np.int64), np.bincount(rows, np.log10(single), n), np.bincount(rows, score, n)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.concatenate(x)) for x in zip(*out, strict=True))], _NAMES)
+                n = docs_.num_rows
+                sums = [np.bincount(rows, minlength=n), np.bincount(rows, own > 0, n).astype(np.int64), np.bincount(rows, np.log10(single), n), np.bincount(rows, score, n)]
+                yield pa.RecordBatch.from_arrays([docs_.column("doc_id"), *map(pa.array, sums)], _NAMES)
 
-    return docs.mapInArrow(work, _SCORES)
+    scores = cut_by_small_batches(docs.mapInArrow(work, _SCORES))
+    for part in filters + vocabularies:  # they are of no more use, and need not stay in memory
+        part.destroy()
+    return scores
 
 
 _NAMES = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
@@ -229,16 +277,14 @@ def _shuffled_scores(docs: DataFrame, model: Model) -> DataFrame:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            for a, b in blocks(offsets, 4 * PIECE_BYTES):
-                hashes, rows = token_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for docs_, hashes, rows in pieces(batch):
                 firsts, pairs = pairs_of(hashes, rows)
                 order = np.lexsort((pairs, rows))
                 new = np.flatnonzero(np.concatenate([[True], (np.diff(rows[order]) != 0) | (pairs[order][1:] != pairs[order][:-1])]))
                 at, n = order[new], np.diff(np.append(new, len(order)))
                 second = np.where(hashes[at] == END, BEGIN, hashes[at])  # an end's counts are those of the starts
                 columns = [*(x.view(np.int64) for x in (firsts[at], second, tag_of(pairs[at]))), segment_of(pairs[at], n_segments).astype(np.int32), n]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(a + rows[at])) for c in ("row", "doc_id")), *map(pa.array, columns)], ["row", "doc_id", "first", "second", "tag", "segment", "n"])
+                yield pa.RecordBatch.from_arrays([*(docs_.column(c).take(pa.array(rows[at])) for c in ("row", "doc_id")), *map(pa.array, columns)], ["row", "doc_id", "first", "second", "tag", "segment", "n"])
 
     rows = cut(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(split, "row long, doc_id long, first long, second long, tag long, segment int, n long"))
     used = rows.select(F.explode(F.array("first", "second")).alias("word")).groupBy("word").agg(F.count("*").alias("uses"))

@@ -126,6 +126,7 @@ def test_scores(spark, monkeypatch, broadcast_bytes):
     """Both ways; the filter may take an absent pair for a present one, so only sums over many texts are held to 1 %."""
     monkeypatch.setattr(lm_score, "SEGMENT_BYTES", 1 << 10)
     monkeypatch.setattr(lm_score, "HOT_SHARE", 8)
+    monkeypatch.setattr(lm_score, "PART_BYTES", 1 << 9)
     rng = random.Random(5)
     rows = [(1, None), (2, ""), (None, "a B c"), (3, " \n"), (3, " \n"), (4, "The cat sat on the mat " * 50), (6, "x" * 100_000)]
     rows += [(i, " ".join(rng.choices("the dog Sat on a mat and Élan".split(), k=30))) for i in range(10, 90)]
