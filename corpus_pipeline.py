@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pacegrid.llm import decontam, mixing, near_dedup, quality, sharding
-from pacegrid.llm.common import table
+from pacegrid.llm.common import cut, table
 from pacegrid.llm.queries import MIX_WEIGHTS, SHARD_BYTES
 
 
@@ -55,13 +55,14 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("source mixing", mixed),
     ("sharding", sharded),
 ]
-#: Ridge scores, sketches and slot runs can't be expressed in SQL; the stages are tested against brute force.
+#: Ridge scores, sketches and slot runs can't be expressed in SQL. Near-duplicates, mixing and sharding are tested against brute
+#: force, decontamination against a brute force by words and the classifier against held-out labels.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the result has their columns, n_bytes, the shard of each row and its place in the mix and in the shard."""
+    """All stages over ``documents``, each written once to the shared folder and read again by the next; the result has their columns, n_bytes, the shard of each row and its place in the mix and in the shard."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = cut(stage(spark, docs, sf_dir))
     return docs
