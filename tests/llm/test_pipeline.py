@@ -72,3 +72,23 @@ def test_run(spark):
     assert len({r["doc_id"] for r in rows}) == len(rows) > 50
     texts = [r["text"] for r in rows]
     assert len(set(texts)) == len(texts)
+
+
+def test_each_stage_works_once(spark, monkeypatch):
+    """What a stage returns is computed once, however often later stages read it."""
+    import corpus_pipeline
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(stage):
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return lambda spark, docs, sf_dir: (out := stage(spark, docs, sf_dir)).mapInArrow(count, out.schema)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, watched(stage) if k == 0 else stage) for k, (name, stage) in enumerate(corpus_pipeline.STAGES)])
+    corpus_pipeline.run(spark, SF).collect()
+    kept = corpus_pipeline.good_quality(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).count()
+    assert seen.value == kept
