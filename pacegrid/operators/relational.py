@@ -41,6 +41,20 @@ def prefer_details(listings: DataFrame, details: DataFrame, key: str) -> DataFra
     return merged.select(key, "_row.*", F.col("_detail").isNotNull().alias("from_detail"))
 
 
+def ordered_upsert(listings: DataFrame, details: DataFrame, key: str, place: str) -> DataFrame:
+    """One row of each key, as if the rows came one by one, all listings before all details: the key keeps the
+    place where it first came, the first listing stands until a detail comes, and the last detail stays. ``position``
+    (side, place) sorts like that; ``from_detail`` says whose row it is. Both sides have the same columns, and ``place`` is
+    unique on each side. Rows are combined by key before the shuffle; a null key is a key of its own."""
+    rest = [c for c in listings.columns if c != key]
+    sides = [df.select(key, F.lit(side).alias("_side"), F.struct(*rest).alias("_row")) for side, df in enumerate((listings, details))]
+    at = F.struct("_side", F.col(f"_row.{place}").alias("place"))
+    listed, told = F.when(F.col("_side") == 0, at), F.when(F.col("_side") == 1, at)
+    merged = sides[0].union(sides[1]).groupBy(key).agg(F.min(at).alias("_at"), F.min_by("_row", listed).alias("_listing"), F.max_by("_row", told).alias("_detail"))
+    chosen = merged.withColumn("_row", F.coalesce("_detail", "_listing"))
+    return chosen.select(key, "_row.*", F.struct(F.col("_at._side").alias("side"), F.col("_at.place").alias("place")).alias("position"), F.col("_detail").isNotNull().alias("from_detail"))
+
+
 def lookup_with_fallback(df: DataFrame, keys: list[str], known: DataFrame, key: str, value: str) -> DataFrame:
     """``df`` with ``value`` of the first of ``keys`` that ``known`` (key, value) has a non-null value for."""
     found = []

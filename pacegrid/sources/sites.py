@@ -10,8 +10,10 @@ from pacegrid.operators.relational import first_per_key
 
 SITE = (
     "site_no long, key string, name string, type string, enabled boolean, requires_js boolean, note string, default_country string, url_template string, use_js boolean, "
-    "selectors map<string,string>, seeds array<string>, sports_only boolean, drop_past boolean"
+    "selectors map<string,string>, seeds array<string>, sports_only boolean, drop_past boolean, settings map<string,string>"
 )
+#: Bits of a page id that number the seeds or pages of a site.
+PAGE_BITS = 40
 TYPES = ("jsonld", "css", "api", "nextdata")
 
 
@@ -26,10 +28,16 @@ def read_sites(spark: SparkSession, text: str) -> DataFrame:
         site = defaults | own
         key = str(site.get("key", "?"))
         yes = lambda name, otherwise, site=site: bool(site.get(name, otherwise))
-        rows.append((number, key, site.get("name", key), site.get("type", "jsonld"), yes("enabled", True), yes("requires_js", False), site.get("note"), site.get("default_country"), site.get("url_template"), yes("use_js", True), site.get("selectors"), site.get("seeds") or [], bool(defaults.get("sports_only", True)), bool(defaults.get("drop_past", True))))
+        rows.append((number, key, site.get("name", key), site.get("type", "jsonld"), yes("enabled", True), yes("requires_js", False), site.get("note"), site.get("default_country"), site.get("url_template"), yes("use_js", True), site.get("selectors"), site.get("seeds") or [], bool(defaults.get("sports_only", True)), bool(defaults.get("drop_past", True)), _settings(site)))
     return spark.createDataFrame(rows, SITE)
 
 
+def _settings(site: dict) -> dict[str, str]:
+    """All scalars of a site and its lists of scalars, joined by spaces, as texts."""
+    flat = {k: " ".join(map(str, v)) if isinstance(v, list) else v for k, v in site.items() if not isinstance(v, dict)}
+    return {str(k): str(v) for k, v in flat.items() if v is not None}
+
+
 def select_sites(sites: DataFrame, only: list[str] | None = None) -> DataFrame:
     """The sites that a run is asked for; all without a wish."""
     return sites.where(F.col("key").isin(*only)) if only else sites
@@ -39,7 +47,7 @@ def seed_pages(sites: DataFrame, pages: DataFrame) -> DataFrame:
     """Seeds of enabled sites with what was read of them: page_id (in order of sites and seeds), source, url, html, status, error
     and the site's url_template, use_js, selectors, requires_js. Of a site that needs a browser only the first seed is tried."""
     seeds = sites.where("enabled").select("site_no", "key", "url_template", "use_js", "selectors", "requires_js", F.posexplode("seeds").alias("seed_no", "url")).where("not requires_js or seed_no = 0")
-    numbered = seeds.withColumn("page_id", F.col("site_no") * 1_000_000 + F.col("seed_no"))
+    numbered = seeds.withColumn("page_id", F.shiftleft("site_no", PAGE_BITS) + F.col("seed_no"))
     return numbered.join(pages.select("url", "status", "html", "error"), "url", "left").select("page_id", F.col("key").alias("source"), "url", "html", "status", "error", "url_template", "use_js", "selectors", "requires_js")
 
 

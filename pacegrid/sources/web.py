@@ -5,27 +5,46 @@ One partition holds all links of a host, so that a single task keeps that host's
 ``agent``, ``robots`` (true or false). fetched() takes links from a DataFrame instead, of any number.
 
 Paged services: ``spark.read.format("paged")`` with ``url`` (``{kind}`` and ``{page}`` are filled in), ``kinds``,
-``per_page``, ``pages`` and ``list`` (the key of the rows in an answer; empty if the answer is the list).
+``per_page``, ``pages`` and ``list`` (the key of the rows in an answer; empty if the answer is the list). Conditions that
+pick kinds or set ``date_from`` and ``date_to`` become parameters of the requests; options ``from`` and ``to`` name the latter.
+
+Both take ``cache``, a folder of store_answers() that is asked first, and ``offline`` (true: nothing else is asked).
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import time
 import urllib.error
 import urllib.request
 import urllib.robotparser
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from datetime import date, timedelta
 from urllib.parse import urlencode, urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull
+
+SCHEMA = "url string, status int, html string, error string, attempts int"
+
+
+def register(spark: SparkSession) -> None:
+    """Makes both formats known; conditions reach the services only with Spark's setting for Python sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(PagesSource)
+    spark.dataSource.register(PagedSource)
 
-SCHEMA = "url string, status int, html string, error string"
+
+def store_answers(answers: DataFrame, folder: str) -> None:
+    """Adds ``answers`` (url, status, text) to a cache folder: a file a link, under the SHA-1 of it."""
+    key = F.sha1(F.col("url").cast("binary")).alias("key")
+    answers.select(key, F.to_json(F.struct("status", "text")).alias("value")).write.mode("append").partitionBy("key").text(folder)
 
 
 class HostPartition(InputPartition):
@@ -41,6 +60,7 @@ class PagesReader(DataSourceReader):
         self.delay, self.timeout = float(options.get("delay", 2.0)), float(options.get("timeout", 25.0))
         self.retries, self.robots = int(options.get("retries", 2)), str(options.get("robots", "true")).lower() == "true"
         self.agent = options.get("agent", "pacegrid/1.0")
+        self.cache, self.offline = options.get("cache"), str(options.get("offline", "false")).lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
         hosts = defaultdict(list)
@@ -48,7 +68,21 @@ class PagesReader(DataSourceReader):
             hosts[urlsplit(url).netloc].append(url)
         return [HostPartition(host, urls) for host, urls in sorted(hosts.items())]
 
+    def _stored(self, url: str) -> tuple[int, str | None, str | None] | None:
+        """The cache's answer for a link, the last written one; the folder may be in any store that pyarrow opens."""
+        files, root = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "/", self.cache))
+        found = files.get_file_info(pyarrow.fs.FileSelector(f"{root}/key={hashlib.sha1(url.encode()).hexdigest()}", allow_not_found=True))
+        parts = sorted((x for x in found if x.base_name.startswith("part-")), key=lambda x: x.mtime)
+        if not parts:
+            return None
+        with files.open_input_stream(parts[-1].path) as stream:
+            answer = json.loads(stream.read().decode().splitlines()[-1])
+        return answer.get("status"), answer.get("text"), None if answer.get("status") == 200 else f"HTTP {answer.get('status')}"
+
     def _get(self, url: str) -> tuple[int | None, str | None, str | None]:
+        stored = self._stored(url) if self.cache else None
+        if stored or self.offline:
+            return stored or (404, None, "not stored")
         request = urllib.request.Request(url, headers={"User-Agent": self.agent})
         try:
             with urllib.request.urlopen(request, timeout=self.timeout) as answer:
@@ -74,9 +108,9 @@ class PagesReader(DataSourceReader):
         return {"rules": rules, "pause": max(self.delay, float((rules and rules.crawl_delay(self.agent)) or 0)), "last": 0.0}
 
     def fetch(self, url: str, state: dict) -> tuple:
-        """(url, status, text, error); answers of 200 and 4xx are final, others are tried again."""
+        """(url, status, text, error, attempts); answers of 200 and 4xx are final, others are tried again."""
         if state["rules"] and not state["rules"].can_fetch(self.agent, url):
-            return url, None, None, "disallowed by robots.txt"
+            return url, None, None, "disallowed by robots.txt", 0
         for attempt in range(self.retries + 1):
             time.sleep(max(0.0, state["last"] + state["pause"] - time.monotonic()))
             state["last"] = time.monotonic()
@@ -85,7 +119,7 @@ class PagesReader(DataSourceReader):
                 break
             if attempt < self.retries:
                 time.sleep(1.5 * (attempt + 1))
-        return url, status, text, error
+        return url, status, text, error, attempt + 1
 
     def read(self, partition: HostPartition) -> Iterator[tuple]:
         state = self.open(partition.urls[0]) if partition.urls else {}
@@ -108,7 +142,7 @@ class PagesSource(DataSource):
 
 
 def fetched(links: DataFrame, options: dict | None = None, tasks: int | None = None) -> DataFrame:
-    """(url, status, html, error) of the distinct ``url`` of ``links``, read by tasks that each own whole hosts.
+    """(url, status, html, error, attempts) of the distinct ``url`` of ``links``, read by tasks that each own whole hosts.
 
     A host's links reach one task in order, one after another, so they need no room; nothing passes through the driver.
     """
@@ -124,7 +158,7 @@ def fetched(links: DataFrame, options: dict | None = None, tasks: int | None = N
                 if owner != at:
                     at, state = owner, reader.open(url)
                 row = reader.fetch(url, state)
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], ["url", "status", "html", "error"])
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()), strict=True)], ["url", "status", "html", "error", "attempts"])
 
     return owned.sortWithinPartitions("host", "url").select("host", "url").mapInArrow(work, SCHEMA)
 
@@ -156,14 +190,39 @@ class PagedReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.pages, self.url, self.key = PagesReader(options), options["url"], options.get("list", "")
         self.kinds, self.most, self.per_page = (options.get("kinds") or "all").split(), int(options.get("pages", 2)), int(options.get("per_page", 50))
+        self.names = {"date_from": options.get("from", "race_event_days_from"), "date_to": options.get("to", "race_event_days_to")}
+        self.window: dict[str, date] = {}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Kinds that are asked for narrow the partitions, days of the window become parameters; Spark keeps all other conditions."""
+        present = []
+        for given in filters:
+            column = given.attribute[0] if len(given.attribute) == 1 else None
+            equal = isinstance(given, EqualTo | EqualNullSafe) and given.value is not None
+            if column == "kind" and (equal or isinstance(given, In)):
+                asked = [given.value] if equal else list(given.value)
+                self.kinds = [kind for kind in self.kinds if kind in asked]
+            elif equal and column in self.names and self.window.get(column, given.value) == given.value:
+                self.window[column] = given.value
+            elif isinstance(given, IsNotNull):
+                present.append((column, given))
+            else:
+                yield given
+        # kinds are never null, nor are the days of a window that was asked for
+        yield from (given for column, given in present if column != "kind" and column not in self.window)
+
+    def _link(self, kind: str, page: int) -> str:
+        link = self.url.replace("{kind}", kind).replace("{page}", str(page))
+        return link + "".join(f"&{self.names[c]}={day}" for c, day in sorted(self.window.items()))
 
     def partitions(self) -> list[InputPartition]:
-        return [HostPartition(kind, [self.url.replace("{kind}", kind).replace("{page}", str(k)) for k in range(1, self.most + 1)]) for kind in self.kinds]
+        return [HostPartition(kind, [self._link(kind, 1)]) for kind in self.kinds]
 
     def read(self, partition: HostPartition) -> Iterator[tuple]:
         state = self.pages.open(partition.urls[0])
-        for place, url in enumerate(partition.urls, 1):
-            _, status, text, error = self.pages.fetch(url, state)
+        for place in range(1, self.most + 1):
+            url = self._link(partition.host, place)
+            _, status, text, error, _ = self.pages.fetch(url, state)
             try:
                 found = json.loads(text or "null")
                 rows = found.get(self.key) if self.key and isinstance(found, dict) else found
@@ -171,20 +230,20 @@ class PagedReader(DataSourceReader):
                 rows = None
             ended = status == 400 and place > 1  # past the last page
             if not ended:
-                yield partition.host, place, url, status, text, error
+                yield partition.host, self.window.get("date_from"), self.window.get("date_to"), place, url, status, text, error
             if status != 200 or not isinstance(rows, list) or len(rows) < self.per_page:
                 return
 
 
 class PagedSource(DataSource):
-    """Registered by ``spark.dataSource.register(PagedSource)``."""
+    """Registered by register(). A row is an answer: its kind, the window that was asked for (null: none), place, link and text."""
 
     @classmethod
     def name(cls) -> str:
         return "paged"
 
     def schema(self) -> str:
-        return "kind string, place int, url string, status int, json string, error string"
+        return "kind string, date_from date, date_to date, place int, url string, status int, json string, error string"
 
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(self.options)
