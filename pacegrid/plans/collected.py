@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pacegrid.operators import crawl, relational
+from pacegrid.operators import crawl, geocode, relational
 from pacegrid.operators.lineage import new_folder, written
 from pacegrid.plans.catalog import query
 from pacegrid.plans.pages import RUN_AT
-from pacegrid.sources import services, sites, web
+from pacegrid.schema import as_events
+from pacegrid.sources import published, services, sites, web
+from pacegrid.streaming import frontier
 
 #: Rows of an answer or listing page.
 PER_PAGE = 20
@@ -79,3 +81,36 @@ def listed_with_details(t):
     text = f"sites: [{{key: fair, type: nextdata, service: listing, sitemap: 'https://fair.test/sitemap.xml', url_template: 'https://fair.test/e/{{slug}}', max_detail_pages: {last // 4}, seeds: [{seeds}]}}]"
     found = services.served(sites.read_sites(spark, text), RUN_AT, options=options)
     return found.select("source_url", "title", "sport", (F.col("place") + 1).cast("long").alias("place"))
+
+
+@query("""WITH c AS (SELECT c_custkey % 5 = 0 AS open, c_nationkey % 2 = 0 AS known FROM customer) SELECT line_no, line FROM (
+SELECT 0 AS line_no, '  total ' || count(*) || ' events (1 duplicates dropped, 2 rejected for no url, 3 non-sport filtered, 4 already finished) in ' || count(*) || ' requests' AS line FROM c
+UNION ALL SELECT 1, '  ' || count(*) FILTER (open AND known) || ' located by city name, ' || count(*) FILTER (open AND NOT known) || ' with no known location' FROM c)""")
+def annotated_report(t):
+    """Customers as a published run that is given coordinates afterwards: the report's lines follow the events."""
+    spark, folder, key = t("customer").sparkSession, new_folder(t("customer").sparkSession), F.col("c_custkey")
+    spot = {"city": F.concat(F.lit("Town "), "c_nationkey"), "country": F.lit("Ireland"), "id": key.cast("string"), "title": F.col("c_name"), "source_url": F.concat(F.lit("https://e.test/"), key), "start": F.lit("2030-01-01")}
+    events = as_events(t("customer").withColumns(spot | {c: F.when(key % 5 > 0, F.lit(50.0)) for c in ("latitude", "longitude")}))
+    events = written(events.withColumn("coords_source", F.when(F.col("latitude").isNotNull(), "listing")))
+    counts = {"rejected_no_url": 2, "rejected_non_sport": 3, "rejected_past": 4, "duplicates_dropped": 1, "geocoded": 0}
+    report = events.agg(*[F.lit(v).cast("long").alias(k) for k, v in counts.items()], F.count_if(F.col("latitude").isNull()).alias("without_coords"), F.count("*").alias("total_events"), F.count("*").alias("requests_made"))
+    published.save_crawl(crawl.Crawl(events, spark.createDataFrame([], "key string"), report), folder, RUN_AT)
+    keys = geocode.place_keys(events).groupBy("key").agg(F.min("query").alias("query"), F.min("country").alias("country"))
+    known = F.substring_index("query", " ", -1).cast("int") % 2 == 0
+    places = keys.select("key", "query", "country", F.when(known, 51.0).alias("latitude"), F.when(known, -9.0).alias("longitude"), known.alias("found"), F.lit(geocode.fixed.CACHE_VERSION).alias("version"))
+    published.annotate_published(spark, folder, places)
+    return crawl.summary_totals(published.published(spark, folder, "report"))
+
+
+@query("""SELECT 'https://p.test/' || s_suppkey AS url, CASE WHEN s_suppkey % 3 = 0 THEN 'done' WHEN s_suppkey % 3 = 1 THEN 'failed' ELSE 'open' END AS state, CASE s_suppkey % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE 503 END AS status,
+  CASE WHEN s_suppkey % 3 = 2 THEN 2 ELSE 1 END AS attempts FROM supplier""")
+def frontier_states(t):
+    """Links to suppliers that arrive twice, in two streams of batches: what was answered isn't asked again, what failed is."""
+    key, spark = F.col("s_suppkey"), t("supplier").sparkSession
+    rows = t("supplier").select(F.concat(F.lit("https://p.test/"), key).alias("url"), F.when(key % 3 == 0, 200).when(key % 3 == 1, 404).otherwise(503).alias("status"), F.col("s_name").alias("text"), key)
+    options = stored(rows.select("url", "status", "text"))
+    arrived, table, state = (new_folder(spark) for _ in range(3))
+    for _ in range(2):
+        rows.select("url").write.mode("append").parquet(arrived)
+        frontier.fetch(spark.readStream.schema("url string").parquet(arrived), table, state, options, tasks=8).awaitTermination()
+    return frontier.states(spark, table).select("url", "state", "status", F.col("attempts").cast("int").alias("attempts"))
