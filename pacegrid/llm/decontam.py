@@ -2,10 +2,11 @@
 
 Words lose their outer punctuation and case; numbers, units behind numbers and names (capitalised words)
 become typed placeholders. A capitalised word at the start of a sentence may be a name or not and counts as
-both; besides, each window has a form with all names as words, for copies in another case. All windows of
-``WINDOW`` such tokens of the benchmark stand in a table by hash, and the documents' windows are joined to it.
-Matches of one item that go on at the same shift form a stretch, and in it a run goes as far as the slots
-agree: one value of the benchmark always stands for one value of the document and the other way round. A
+both; besides, each window has a form with all names as words, for copies in another case, and a document's also one
+with those names as words that the benchmark has as ordinary words, for copies in title case with other names. All windows of
+``WINDOW`` such tokens of the benchmark stand in a table by hash, and the documents' windows are joined to it; a
+window of slots only is joined by its very values, as all such windows look alike. Matches of one item at the same
+shift that leave no token between them form a stretch, and in it a run goes as far as the slots agree: one value of the benchmark always stands for one value of the document and the other way round. A
 document is contaminated by a run of ``RUN`` words, or of a whole shorter item, with ``LEAST_WORDS`` ordinary
 words (or all that a shorter item has, at least one) or the item's very values.
 """
@@ -33,6 +34,8 @@ PIECE_BYTES = 2 << 20
 #: Units that become placeholders behind a number. Fixed values.
 UNITS = "mm cm dm m km in inch inches ft foot feet yd yard yards mi mile miles mg g gram grams kg lb lbs pound pounds oz ounce ounces t ton tons tonne tonnes ml cl dl l liter liters litre litres gal gallon gallons ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent % $ usd dollar dollars eur euro euros gbp c f k degree degrees mph kph hz khz mhz ghz w kw kwh v a n j pa bar"
 WORD, NUMBER, UNIT, NAME = range(4)
+#: Tells hashes of values from those of templates.
+_SLOTS = np.uint64(0x5DEECE66D1234567)
 _PLACEHOLDER = mix(np.array([100, 101, 102, 103], np.uint64))
 
 _BYTES = np.arange(256)
@@ -46,6 +49,14 @@ def _hash_words(texts: list[str]) -> np.ndarray:
     return span_hash(prefix_hash(BYTE_CODE[data]), offsets[:-1], offsets[1:])
 
 
+def _hashed(at: np.ndarray, length: int, codes: np.ndarray) -> np.ndarray:
+    """Hashes of windows by the given codes of their tokens."""
+    hashes = np.full(len(at), length, np.uint64)
+    for k in range(length):
+        hashes = mix(hashes + codes[at + k])
+    return hashes
+
+
 class Tokens:
     """Canonical tokens of all rows of a buffer."""
 
@@ -78,32 +89,43 @@ class Tokens:
         self.template = np.where(self.kind == WORD, self.value, _PLACEHOLDER[self.kind])
         self.said = np.where(self.kind == NAME, self.value, self.template)
 
-    def windows(self, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """First tokens and hashes of all windows of ``length`` tokens, in all forms."""
+    def windows(self, length: int, known: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """First tokens and hashes of all windows of ``length`` tokens, in all forms. ``known`` gives the indices of those
+        word hashes that the other side has as ordinary words."""
         at = np.arange(len(self.rows))
         at = at[at + length <= self.first[self.rows + 1]] if len(at) else at
         if not len(at):
             return
-        either, names = (np.concatenate([[0], np.cumsum(x)]) for x in (self.either, (self.kind == NAME) & ~self.either))
+        either, names, ordinary = (np.concatenate([[0], np.cumsum(x)]) for x in (self.either, (self.kind == NAME) & ~self.either, self.kind == WORD))
+        title = np.zeros(len(self.rows), bool)
+        if known:
+            capital = np.flatnonzero(self.kind == NAME)
+            title[capital[known(self.value[capital])]] = True
+        titled, other = (np.concatenate([[0], np.cumsum(x)]) for x in (title, (self.kind == NAME) & ~title))
+        cased = np.where(title, self.value, self.template)
         forms = np.cumsum(1 << (either[at + length] - either[at]))
         low = 0
         while low < len(at):
             high = max(low + 1, int(np.searchsorted(forms, (forms[low - 1] if low else 0) + FORMS_AT_ONCE, side="right")))
             own = at[low:high]
+            said = ordinary[own + length] > ordinary[own]
             hashes = np.full(len(own), length, np.uint64)
             for k in range(length):
                 code, both = self.template[own + k], np.flatnonzero(self.either[own + k])
                 if len(both):
                     code = np.concatenate([code, self.value[own[both] + k]])
                     own, hashes = np.concatenate([own, own[both]]), np.concatenate([hashes, hashes[both]])
+                    said = np.concatenate([said, np.ones(len(both), bool)])
                 hashes = mix(hashes + code)
+            slots = np.flatnonzero(~said)
+            hashes[slots] = _hashed(own[slots], length, self.value) ^ _SLOTS
             yield own, hashes
             own = at[low:high]
             own = own[names[own + length] > names[own]]
-            hashes = np.full(len(own), length, np.uint64)
-            for k in range(length):
-                hashes = mix(hashes + self.said[own + k])
-            yield own, hashes
+            yield own, _hashed(own, length, self.said)
+            own = at[low:high]
+            own = own[(titled[own + length] > titled[own]) & (other[own + length] > other[own])]
+            yield own, _hashed(own, length, cased)
             low = high
 
 
@@ -142,7 +164,9 @@ def _benchmark_windows(items: DataFrame) -> DataFrame:
 
 
 def _filter_of(windows: DataFrame) -> tuple[np.ndarray, int]:
-    """Bits set for each hash at two places, of at most 2**MOST_BITS, and the logarithm of their number."""
+    """Bits set for each hash, and for each ordinary word in ``windows``, at two places, of at most 2**MOST_BITS, and the logarithm of their number."""
+    said = windows.select(F.explode(F.arrays_zip("values", "kinds")).alias("token")).where(F.col("token.kinds") == WORD).select(F.col("token.values").alias("hash")).distinct()
+    windows = windows.select("hash").union(said)
     bits = min(MOST_BITS, max(16, (FILTER_BITS * windows.count()).bit_length()))
     place = F.explode(F.array(F.shiftrightunsigned("hash", 64 - bits), F.shiftrightunsigned(F.shiftleft("hash", 32), 64 - bits))).alias("place")
     found = windows.select(place).groupBy(F.shiftright("place", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("bits")).toArrow()
@@ -168,7 +192,7 @@ def _document_windows(texts: DataFrame, lengths: list[int], shared) -> DataFrame
             for a, b in blocks(offsets, PIECE_BYTES):
                 tokens = Tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 for length in lengths:
-                    for at, hashes in tokens.windows(length):
+                    for at, hashes in tokens.windows(length, lambda words_: passes(*shared.value, words_)):
                         some = passes(*shared.value, hashes)
                         if len(some):
                             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(a + tokens.rows[at[some]])), *_seen(tokens, at[some], hashes[some], length)], ["key", *_SEEN_NAMES])
@@ -201,7 +225,11 @@ def _longest(stretches: DataFrame) -> DataFrame:
     """(key, item, item_id, run) of ``stretches`` (key, item, item_id, tokens, ordinary, windows in order) with a long enough run."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined: Callable = lambda windows, values, kinds: [(w[values][0], w[kinds][0]) for w in windows[:-1]] + list(zip(windows[-1][values], windows[-1][kinds], strict=True))
+        def joined(windows: list[dict], values: str, kinds: str) -> list[tuple[int, int]]:
+            """A stretch's tokens: of each window those in front of the next one."""
+            counts = [b["position"] - a["position"] for a, b in zip(windows, windows[1:], strict=False)] + [None]
+            return [x for w, n in zip(windows, counts, strict=True) for x in list(zip(w[values], w[kinds], strict=True))[:n]]
+
         for batch in batches:
             runs = []
             for x in batch.select(["tokens", "ordinary", "windows"]).to_pylist():
@@ -222,10 +250,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     theirs = known.select("item", "item_id", "tokens", "ordinary", "length", "hash", F.col("position").alias("item_position"), F.col("values").alias("item_values"), F.col("kinds").alias("item_kinds"))
     hits = _document_windows(docs, lengths, shared).dropDuplicates(["key", "position", "hash"]).join(theirs, ["length", "hash"]).withColumn("shift", F.col("position") - F.col("item_position"))
     hits = hits.dropDuplicates(["key", "item", "shift", "position"])
-    stretch = F.col("position") - F.row_number().over(Window.partitionBy("key", "item", "shift").orderBy("position"))
+    # windows that overlap or touch leave no token out, so slots between them need no window of their own
+    order = Window.partitionBy("key", "item", "shift").orderBy("position")
+    hits = hits.withColumn("apart", F.coalesce(F.col("position") - F.lag("position").over(order) > F.col("length"), F.lit(False)).cast("int"))
+    stretch = F.sum("apart").over(order)
     windows = F.sort_array(F.collect_list(F.struct("position", "values", "kinds", "item_values", "item_kinds"))).alias("windows")
     same = ["key", "item", "item_id", "tokens", "ordinary", "length", "shift", "stretch"]
-    stretches = hits.withColumn("stretch", stretch).groupBy(*same).agg(windows).where(f"size(windows) + length - 1 >= least({RUN}L, tokens)")
+    stretches = hits.withColumn("stretch", stretch).groupBy(*same).agg(windows).where(f"element_at(windows, -1).position - windows[0].position + length >= least({RUN}L, tokens)")
     best = F.min(F.struct((-F.col("run")).alias("run"), F.col("item_id").isNull().alias("no_id"), "item_id")).alias("best")
     return _longest(stretches).groupBy("key").agg(best).select("key", (-F.col("best.run")).alias("run_words"), "best.item_id")
 

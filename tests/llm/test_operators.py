@@ -468,3 +468,19 @@ def test_held_out_rows_and_other_columns_teach_nothing(spark):
     scores = lambda marks: {r["doc_id"]: r["score"] for r in quality.score_documents(docs, marks).collect()}
     flipped = labels.withColumn("quality", F.when(held(3, 1), 1 - F.col("quality")).otherwise(F.col("quality")))
     assert scores(labels) == scores(flipped)
+
+
+def test_decontamination_of_tables_and_titles(spark, monkeypatch):
+    """Slots only: joined by value, so tables of numbers don't meet; title case with other names; slots between anchors."""
+    numbers = lambda start, n: " ".join(str(start + 7 * k) for k in range(n))
+    items = [(1, numbers(1, 800)), (2, "last spring Wanda planted 25 rows of beans in the garden behind her house and sold them at the market"), (3, "the scores of the match were 1 2 3 4 5 6 7 8 9 10 11 and the crowd of the town went home after the final whistle")]
+    docs = [
+        (1, numbers(2, 800)), (2, "x " + numbers(1, 800) + " y"), (3, "Last Spring Edgar Planted 31 Rows of Beans in the Garden Behind Her House and Sold Them at the Market"),
+        (4, "the scores of the match were 21 22 23 24 25 26 27 28 29 30 31 and the crowd of the town went home after the final whistle"), (5, "Last Spring Edgar Planted 31 Trees of Apples on the Hill Above the River and Gave Them to a Friend"),
+    ]
+    joined = []
+    longest = decontam._longest
+    monkeypatch.setattr(decontam, "_longest", lambda stretches: joined.append(stretches) or longest(stretches))
+    found = {r["doc_id"]: r["item_id"] for r in decontam.mark_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {1: None, 2: 1, 3: 2, 4: 3, 5: None}
+    assert joined[0].select(F.sum(F.size("windows"))).first()[0] < 1000  # 800 * 800 / 2 by templates
