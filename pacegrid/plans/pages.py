@@ -54,6 +54,14 @@ def selected_links(t):
     return extract.selected(t("pages").withColumn("selectors", chosen)).groupBy(F.col("page.page_id").alias("page_id")).agg(F.count("*").alias("n"))
 
 
+@query("""WITH items AS (SELECT page_id, unnest(regexp_extract_all(html, '<li>(<a href="[^"]*">[^<]*</a>)</li>', 1)[2:]) AS item FROM pages)
+SELECT page_id, count(*) AS n, count(*) FILTER (contains(item, 'href="/t')) AS linked FROM items WHERE regexp_matches(item, '>[^<]*[^<\\s][^<]*<') GROUP BY page_id""")
+def selected_items(t):
+    """Navigation entries of real pages but the first one, by children, places and attribute operators."""
+    chosen = F.create_map(*[F.lit(x) for kv in {"container": "nav > ul > li:not(:first-child)", "title": "a", "url": 'a[href^="/t"]'}.items() for x in kv])
+    return extract.selected(t("pages").withColumn("selectors", chosen)).groupBy(F.col("page.page_id").alias("page_id")).agg(F.count("*").alias("n"), F.count("url").alias("linked"))
+
+
 @query("""SELECT c_custkey AS page_id, c_name || ' 5K' AS title, 'https://races.test/' || c_custkey AS source_url, '2030-05-02T07:00:00' AS start, 'running' AS sport, '5K, Half Marathon' AS distances, 'running_race, trail_race' AS types,
   20.0::DOUBLE AS price_min, 35.5::DOUBLE AS price_max, 'USD' AS currency, n_name AS city, 'US' AS country FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def service_races(t):
