@@ -4,7 +4,8 @@ Pages that a rule fits follow the longest one. For the others their host decides
 hosts with allowed pages along links (personalised PageRank, each host with the weight of its own seed, so
 that scores don't depend on the rest of the table), distrust from hosts with blocked pages
 against links, as a page that links to blocked ones is suspect itself. Besides the links found in the
-pages, a host and its parent domain are linked both ways, since a site speaks for its subdomains.
+pages, a host and its parent domain are linked both ways, since a site speaks for its subdomains; a public suffix
+is no such parent.
 """
 
 from __future__ import annotations
@@ -22,6 +23,14 @@ ROUNDS, LEAST_GROWTH = 8, 1e-4
 LEAD = 1e-3
 #: Labels that a parent domain has at least.
 PARENT_LABELS = 2
+#: Suffixes of two labels under which strangers register names: no site of their own. Fixed values.
+SUFFIXES = tuple(
+    (
+        "co.uk org.uk ac.uk gov.uk me.uk net.uk com.au net.au org.au edu.au gov.au co.nz org.nz net.nz co.jp ne.jp or.jp ac.jp go.jp com.br net.br org.br gov.br co.in net.in org.in ac.in gov.in co.za org.za com.cn net.cn org.cn gov.cn "
+        "com.tw org.tw com.hk org.hk com.sg com.my com.mx com.ar com.tr co.kr or.kr co.il org.il co.id com.ua com.pl com.ph com.vn com.eg com.sa com.ng com.pk "
+        "github.io gitlab.io netlify.app vercel.app herokuapp.com pages.dev web.app firebaseapp.com blogspot.com wordpress.com tumblr.com appspot.com azurewebsites.net cloudfront.net neocities.org substack.com"
+    ).split()
+)
 HREF = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
 
 
@@ -72,7 +81,7 @@ def host_scores(pages: DataFrame) -> DataFrame:
     hosts = known.groupBy("host").agg(F.sum((F.col("ruled") == "allow").cast("long")).alias("good"), F.sum((F.col("ruled") == "block").cast("long")).alias("bad"), F.count("*").alias("n"))
     hosts = cut(hosts.select("host", (F.coalesce("good", F.lit(0)) / F.col("n")).alias("good"), (F.coalesce("bad", F.lit(0)) / F.col("n")).alias("bad")))
     every = hosts.select("host").union(links.select("dst")).distinct()
-    parents = every.select("host", F.regexp_extract("host", r"^[^.]*\.(.*)$", 1).alias("parent")).where(F.size(F.split("parent", r"\.")) >= PARENT_LABELS)
+    parents = every.select("host", F.regexp_extract("host", r"^[^.]*\.(.*)$", 1).alias("parent")).where((F.size(F.split("parent", r"\.")) >= PARENT_LABELS) & ~F.col("parent").isin(*SUFFIXES))
     kin = parents.select(F.col("host").alias("src"), F.col("parent").alias("dst")).union(parents.select("parent", "host")).withColumn("n", F.lit(1.0))
     edges = cut(links.unionByName(kin).groupBy("src", "dst").agg(F.sum("n").alias("n")))
 

@@ -484,3 +484,12 @@ def test_decontamination_of_tables_and_titles(spark, monkeypatch):
     found = {r["doc_id"]: r["item_id"] for r in decontam.mark_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert found == {1: None, 2: 1, 3: 2, 4: 3, 5: None}
     assert joined[0].select(F.sum(F.size("windows"))).first()[0] < 1000  # 800 * 800 / 2 by templates
+
+
+def test_urls_under_a_public_suffix(spark):
+    """A blocked site says nothing of strangers under the same suffix, nor of those that link to them; its subdomains share its fate."""
+    link = lambda host: f'<a href="http://{host}/">x</a>'
+    rows = [(1, "http://bad.co.uk/", ""), (2, "http://honest.co.uk/", ""), (3, "http://library.co.uk/", link("honest.co.uk")), (4, "http://faraway.net/", link("honest.co.uk")), (5, "http://friend.net/", link("www.bad.co.uk")), (6, "http://www.shop.bad.co.uk/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, [("block", "bad.co.uk", "/")]).collect()}
+    assert found == {1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "block", 6: "block"}
