@@ -69,7 +69,7 @@ def _pairs(points: DataFrame, origins: DataFrame, radius_km: float) -> DataFrame
     band = _band(F.col("latitude"), step).cast("long")
     placed = points.withColumn("_band", band).withColumn("_cell", _cell(F.col("longitude"), _cells_of_band(band, step)).cast("long"))
     parts = placed.groupBy("_band", "_cell").agg(F.ceil(F.count("*") / PART_ROWS).alias("_parts"))
-    dealt = placed.join(parts.where("_parts > 1"), ["_band", "_cell"], "left").withColumn("_part", F.when(F.col("_parts") > 1, F.floor(F.rand(7) * F.col("_parts"))).otherwise(0).cast("long")).drop("_parts")
+    dealt = placed.join(parts.where("_parts > 1"), ["_band", "_cell"], "left").withColumn("_part", F.when(F.col("_parts") > 1, F.pmod(F.xxhash64("id"), "_parts")).otherwise(0).cast("long")).drop("_parts")
     rings = _touched(origins, radius_km, step).join(parts, ["_band", "_cell"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))).drop("_parts")
     rings = rings.withColumnsRenamed({"latitude": "_lat", "longitude": "_lon"})
     km = F.round(haversine_km(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude")), 6)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacegrid.functions import fixed, geo, text, values
-from pacegrid.operators import geocode
+from pacegrid.operators import geocode, nearby
 from pacegrid.plans.catalog import _LABEL, query
 
 
@@ -131,3 +131,29 @@ def place_lookup(t):
     version = F.when(n % 3 == 0, fixed.CACHE_VERSION).otherwise(fixed.CACHE_VERSION - 1).alias("version")
     known = t("nation").where(n % 3 < 2).select(geo.place_key(F.col("n_name"), F.lit("IN")).alias("key"), F.col("n_name").alias("query"), F.lit("IN").alias("country"), F.lit(-1.0).alias("latitude"), F.lit(-1.0).alias("longitude"), F.lit(True).alias("found"), version)
     return geocode.look_up(keys.union(keys), known, _gazetteer, 0).select("key", "latitude", "found")
+
+
+_SITES = """sites AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 48.1::DOUBLE ELSE (s_suppkey * 7919 % 1800) / 10.0 - 90 END AS slat, CASE WHEN s_suppkey % 3 = 0 THEN 11.5::DOUBLE ELSE (s_suppkey * 104729 % 3600) / 10.0 - 180 END AS slon FROM supplier WHERE s_suppkey % 10 <> 1),
+homes AS (SELECT c_custkey, (c_custkey * 37 % 1801) / 10.0 - 90 AS clat, (c_custkey * 91 % 3601) / 10.0 - 180 AS clon FROM customer),
+met AS (SELECT c_custkey, s_suppkey, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(slat - clat) / 2), 2) + cos(radians(clat)) * cos(radians(slat)) * pow(sin(radians(slon - clon) / 2), 2))), 6) AS km FROM homes, sites)"""
+
+
+def _around(t) -> tuple[DataFrame, DataFrame]:
+    """Suppliers, a third of them at one spot and some at none, and customers as origins."""
+    key, home = F.col("s_suppkey"), F.col("c_custkey")
+    spot = lambda there, a, n: F.when(key % 10 != 1, F.when(key % 3 == 0, F.lit(there)).otherwise((key * a % n) / F.lit(10.0) - n / 20))
+    events = t("supplier").select(key.alias("id"), spot(48.1, 7919, 1800).alias("latitude"), spot(11.5, 104729, 3600).alias("longitude"))
+    return events, t("customer").select(home.alias("origin"), ((home * 37 % 1801) / F.lit(10.0) - 90).alias("latitude"), ((home * 91 % 3601) / F.lit(10.0) - 180).alias("longitude"))
+
+
+@query(f"WITH {_SITES} SELECT c_custkey, count(*) AS n, round(min(km), 3) AS least, round(max(km), 3) AS most FROM met WHERE km <= 900 GROUP BY c_custkey")
+def around_origins(t):
+    """Of all suppliers within a radius of each customer: how many, the nearest and the farthest."""
+    met = nearby.within(*_around(t), 900).groupBy(F.col("origin").alias("c_custkey"))
+    return met.agg(F.count("*").alias("n"), F.round(F.min("km"), 3).alias("least"), F.round(F.max("km"), 3).alias("most"))
+
+
+@query(f"WITH {_SITES} SELECT c_custkey, place, s_suppkey, round(km, 3) AS km FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) AS place FROM met) WHERE place <= 3")
+def nearest_origins(t):
+    """The three suppliers nearest to each customer, in order."""
+    return nearby.nearest(*_around(t), 3).select(F.col("origin").alias("c_custkey"), "place", F.col("id").alias("s_suppkey"), F.round("km", 3).alias("km"))
