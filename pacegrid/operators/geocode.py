@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,34 +29,57 @@ def place_keys(events: DataFrame) -> DataFrame:
     return each.select("id", "rank", geo.place_key(F.col("query"), F.col("country")).alias("key"), "query", F.coalesce("country", F.lit("")).alias("country"))
 
 
+#: What came of a key: answered, failed, or passed over while the service was left alone.
+ANSWERED, FAILED, PASSED = "answered", "failed", "passed"
+TRY = f"{PLACE}, state string, asked_at double, turn long"
+_ARROW = pa.schema([("key", pa.string()), ("query", pa.string()), ("country", pa.string()), ("latitude", pa.float64()), ("longitude", pa.float64()), ("found", pa.bool_()), ("version", pa.int32()), ("state", pa.string()), ("asked_at", pa.float64()), ("turn", pa.int64())])
+
+
+class Breaker(NamedTuple):
+    """Failures in a row so far, and the time of the last one."""
+
+    failures: int = 0
+    failed_at: float = 0.0
+
+
+def asked(batches: Iterator[pa.RecordBatch], find: Finder, pause: float, rest: float, breaker: Breaker = Breaker(), clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep) -> Iterator[pa.RecordBatch]:
+    """A row (TRY) for each key in turn. After MAX_FAILURES failures in a row keys are passed over until ``rest`` seconds are gone."""
+    failures, failed_at = breaker
+    turn = 0
+    for batch in batches:
+        out = []
+        for x in batch.select(["key", "query", "country"]).to_pylist():
+            row = x | {"latitude": None, "longitude": None, "found": None, "version": fixed.CACHE_VERSION, "asked_at": clock(), "turn": turn}
+            turn += 1
+            if failures >= fixed.MAX_FAILURES and clock() - failed_at <= rest:
+                out.append(row | {"state": PASSED})
+                continue
+            try:
+                hit = find(x["query"], x["country"])
+                failures = 0
+            except OSError:
+                failures, failed_at = failures + 1, clock()
+                out.append(row | {"state": FAILED, "asked_at": failed_at})
+                continue
+            finally:
+                sleep(pause)
+            if hit and not (hit[2] <= fixed.MAX_EXTENT_KM if hit[2] is not None else hit[3] not in fixed.COARSE_TYPES):
+                hit = None
+            out.append(row | {"latitude": round(hit[0], 6) if hit else None, "longitude": round(hit[1], 6) if hit else None, "found": hit is not None, "state": ANSWERED})
+        yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
+
+
+def attempts(new: DataFrame, find: Finder, pause: float = fixed.LOOKUP_SECONDS, rest: float = fixed.RETRY_SECONDS, breaker: Breaker = Breaker()) -> DataFrame:
+    """(TRY) of distinct keys (key, query, country), in order of keys. They go to one task: a service's pace is kept in one place."""
+    return new.select("key", "query", "country").repartition(1).sortWithinPartitions("key").mapInArrow(lambda batches: asked(batches, find, pause, rest, breaker), TRY)
+
+
 def look_up(keys: DataFrame, places: DataFrame, find: Finder, pause: float = fixed.LOOKUP_SECONDS, rest: float = fixed.RETRY_SECONDS) -> DataFrame:
-    """``places`` of the present version with the answers for keys that it lacks. The distinct new keys go to one task:
-    a service's pace is kept in one place. After MAX_FAILURES failures in a row keys are passed over until ``rest``
-    seconds are gone; passed over or failed, they are not stored and come up again in the next run."""
+    """``places`` of the present version with the answers for keys that it lacks. What failed or was passed over is not
+    stored and comes up again in the next run; streaming.lookups commits the answers in batches."""
     places = places.where(F.col("version") == fixed.CACHE_VERSION)
     new = keys.join(places.select("key"), "key", "left_anti").groupBy("key").agg(F.min("query").alias("query"), F.min("country").alias("country"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        failures, failed_at = 0, 0.0
-        for batch in batches:
-            out = []
-            for x in batch.to_pylist():
-                if failures >= fixed.MAX_FAILURES and time.monotonic() - failed_at <= rest:
-                    continue
-                try:
-                    hit = find(x["query"], x["country"])
-                    failures = 0
-                except OSError:
-                    failures, failed_at = failures + 1, time.monotonic()
-                    continue
-                finally:
-                    time.sleep(pause)
-                if hit and not (hit[2] <= fixed.MAX_EXTENT_KM if hit[2] is not None else hit[3] not in fixed.COARSE_TYPES):
-                    hit = None
-                out.append(x | {"latitude": round(hit[0], 6) if hit else None, "longitude": round(hit[1], 6) if hit else None, "found": hit is not None, "version": fixed.CACHE_VERSION})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("key", pa.string()), ("query", pa.string()), ("country", pa.string()), ("latitude", pa.float64()), ("longitude", pa.float64()), ("found", pa.bool_()), ("version", pa.int32())]))
-
-    return places.unionByName(new.repartition(1).mapInArrow(work, PLACE))
+    return places.unionByName(attempts(new, find, pause, rest).where(F.col("state") == ANSWERED).drop("state", "asked_at", "turn"))
 
 
 def annotate(events: DataFrame, places: DataFrame) -> DataFrame:

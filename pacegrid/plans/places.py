@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from pacegrid.functions import fixed, geo, text, values
 from pacegrid.operators import geocode, nearby
+from pacegrid.operators.lineage import new_folder
 from pacegrid.plans.catalog import _LABEL, query
+from pacegrid.streaming import lookups
 
 
 def _living(t) -> DataFrame:
@@ -133,6 +135,27 @@ def place_lookup(t):
     return geocode.look_up(keys.union(keys), known, _gazetteer, 0).select("key", "latitude", "found")
 
 
+def _failing(name: str, country: str) -> tuple[float, float, float | None, str] | None:
+    """The same answers from a service that fails for every seventh number."""
+    if int(re.findall(r"\d+", name)[0]) % 7 == 0:
+        raise OSError(name)
+    return _gazetteer(name, country)
+
+
+@query("""SELECT lower(c_name) || '|in' AS key, CASE WHEN c_custkey % 7 = 0 THEN 'open' ELSE 'answered' END AS state, CASE WHEN c_custkey % 7 = 0 THEN 2 - c_custkey % 2 ELSE 0 END AS failures,
+  CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 5 = 1 THEN c_custkey + 0.123457 WHEN c_custkey % 5 = 4 THEN c_custkey + 0.5 END::DOUBLE AS latitude FROM customer""")
+def lookup_states(t):
+    """Customers' names as places that arrive in two streams, half of them twice: answers are committed batch by batch, failed keys join the next batch."""
+    spark, key = t("customer").sparkSession, F.col("c_custkey")
+    arriving = t("customer").select(geo.place_key(F.col("c_name"), F.lit("IN")).alias("key"), F.col("c_name").alias("query"), F.lit("IN").alias("country"), key)
+    arrived, table, state = (new_folder(spark) for _ in range(3))
+    for rows in (arriving.where(key % 2 == 0), arriving):
+        rows.drop("c_custkey").write.mode("append").parquet(arrived)
+        lookups.look_up(spark.readStream.schema("key string, query string, country string").parquet(arrived), table, state, _failing, 0, -1).awaitTermination()
+    answers = lookups.places(spark, table).select("key", "latitude")
+    return lookups.states(spark, table).join(answers, "key", "left").select("key", "state", F.col("failures").cast("int").alias("failures"), "latitude")
+
+
 _SITES = """sites AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 48.1::DOUBLE ELSE (s_suppkey * 7919 % 1800) / 10.0 - 90 END AS slat, CASE WHEN s_suppkey % 3 = 0 THEN 11.5::DOUBLE ELSE (s_suppkey * 104729 % 3600) / 10.0 - 180 END AS slon FROM supplier WHERE s_suppkey % 10 <> 1),
 homes AS (SELECT c_custkey, (c_custkey * 37 % 1801) / 10.0 - 90 AS clat, (c_custkey * 91 % 3601) / 10.0 - 180 AS clon FROM customer),
 met AS (SELECT c_custkey, s_suppkey, round(2 * 6371.0 * asin(sqrt(pow(sin(radians(slat - clat) / 2), 2) + cos(radians(clat)) * cos(radians(slat)) * pow(sin(radians(slon - clon) / 2), 2))), 6) AS km FROM homes, sites)"""
