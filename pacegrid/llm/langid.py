@@ -26,6 +26,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
 ROUNDS, PENALTY = 40, 1e-4
 UNKNOWN = "und"
 PIECE_BYTES = 1 << 20
+#: Rows of features that are held at a time: 8 MiB of them.
+BLOCK_ROWS = 256
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -145,7 +147,7 @@ def fit(docs: DataFrame) -> Model | None:
     return Model(families, {(r["a"], r["b"]): np.array(r["weights"]) for r in fitted})
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, lang_pred, score.
 
     lang_pred is a learned language, or ``und`` with score 0 for a null text, one without letters, or
@@ -157,7 +159,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
             known = np.array([bool(t and _LETTER.search(t)) for t in batch.column("text").to_pylist()])
-            for a, b in blocks(offsets, PIECE_BYTES):
+            pieces = [(a, min(a + block_rows, last)) for first, last in blocks(offsets, PIECE_BYTES) for a in range(first, last, block_rows)]
+            for a, b in pieces:
                 names, scores = np.full(b - a, UNKNOWN, object), np.zeros(b - a)
                 if model is not None:
                     names, scores = model.predict(features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
