@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY_BITS = 60
@@ -43,13 +43,19 @@ def pattern(weights: dict[str, int]) -> list[tuple[str, int, int]]:
     return out
 
 
+def order_key(docs: DataFrame) -> Column:
+    """KEY_BITS bits that order the rows of a source and deal them to runs: of the id, or of the text where there is no id."""
+    said = [F.col(c).cast("string") for c in ("doc_id", "text") if c in docs.columns]
+    return F.conv(F.substring(F.md5(F.coalesce(*said, F.lit(""))), 1, KEY_BITS // 4), 16, 10).cast("long")
+
+
 def mix_sources(docs: DataFrame, weights: dict[str, int], block_rows: int = 1) -> DataFrame:
     """``docs`` (doc_id, source, any others) with mix_block, mix_slot, mix_place and in_mix.
 
     All rows stay. Ordered by (mix_slot, mix_place), every prefix of whole blocks up to the first slot
     that its source can't fill follows the weights within a block (in_mix); later slots hold what the
     longer sources still have. Rows whose source is null or without a weight come after all others:
-    mix_slot null. Within a source rows stand in the order of an MD5 of their ids, then the ids, then a hash of
+    mix_slot null. Within a source rows stand in the order of an MD5 of their ids (without one, of their texts, if there are any), then the ids, then a hash of
     all plain columns; rows equal in all of these are alike. A weighted source without rows leaves in_mix false throughout. Input
     columns named like the four new ones are replaced. An empty table gives an empty result.
     """
@@ -65,7 +71,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int], block_rows: int = 1) -
         share = shares[F.col("source")]
         return df.withColumn("_step", F.col(block) % share).join(F.broadcast(turns), ["source", "_step"], "left").withColumn("mix_slot", F.floor(F.col(block) / share) * total + F.col("_turn")).drop("_step", "_turn")
 
-    key = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, KEY_BITS // 4), 16, 10).cast("long")
+    key = order_key(docs)
     bits = max(0, (docs.count() // RUN_ROWS).bit_length())
     plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant"))]
     keyed = docs.withColumns({"_key": key, "_tie": F.xxhash64(*plain), "_run": F.shiftright(key, KEY_BITS - bits) if bits else F.lit(0).cast("long")})
