@@ -24,7 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pacegrid.llm.common import BYTE_CODE, blocks, prefix_hash, span_hash, text_buffer
@@ -157,6 +157,11 @@ def _settle(notes: pa.Table, kind: int, dtype: type) -> pa.Table:
     return pa.table([notes.column("chunk"), pa.array(np.full(len(parts), kind, np.int32)), notes.column("bucket"), notes.column("ref"), notes.column("num"), pa.array(bits, pa.binary())], schema=NOTE_ARROW)
 
 
+def chunk_of(doc_id: Column, mark: Column, chunks: int) -> Column:
+    """Chunk of a document by its id and a hash of its text, so that rows without ids are spread, too."""
+    return F.pmod(F.xxhash64(doc_id, mark), F.lit(chunks)).cast("int")
+
+
 def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, spans (maximal removed byte
     ranges of the input) and kept (the other bytes, concatenated).
@@ -174,15 +179,14 @@ def repeated_spans(docs: DataFrame, width: int = 200) -> DataFrame:
     chunks = max(partitions, total // CHUNK_BYTES + 1)
     name_buckets = max(partitions, total * len(COVER) // COVER_PERIOD * 4 // BUCKET_TARGET + 1)
     tie_buckets = max(partitions, total // 4 * 8 // BUCKET_TARGET + 1)
-    chunk = lambda c: F.pmod(F.xxhash64(c), F.lit(chunks)).cast("int")
     units = (
         docs.where(F.octet_length("text") >= width)
-        .select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("payload"))
+        .select("doc_id", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("payload"), F.xxhash64("text").alias("mark"))
         .groupBy("payload")
-        .agg(F.min("doc_id").alias("ref"), F.count("*").alias("num"))
-        .select(chunk("ref").alias("chunk"), F.lit(UNIT).alias("kind"), F.lit(0).alias("bucket"), "ref", "num", "payload")
+        .agg(F.min("doc_id").alias("ref"), F.count("*").alias("num"), F.min("mark").alias("mark"))
+        .select(chunk_of(F.col("ref"), F.col("mark"), chunks).alias("chunk"), F.lit(UNIT).alias("kind"), F.lit(0).alias("bucket"), "ref", "num", "payload")
     )
-    texts = docs.withColumn("chunk", chunk("doc_id")).repartition(chunks, "chunk")
+    texts = docs.withColumn("chunk", chunk_of(F.col("doc_id"), F.xxhash64("text"), chunks)).repartition(chunks, "chunk")
 
     def open_chunk(left: pa.Table, right: pa.Table) -> tuple[int, Chunk]:
         owner = (left if left.num_rows else right).column("chunk")[0].as_py()
