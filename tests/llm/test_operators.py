@@ -493,3 +493,37 @@ def test_urls_under_a_public_suffix(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     found = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(pages, [("block", "bad.co.uk", "/")]).collect()}
     assert found == {1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "block", 6: "block"}
+
+
+def test_languages_of_many_short_texts(spark):
+    """Blocks of few rows give what one block gives."""
+    rows = [(i, random.Random(i).choice(("the and with", "der und mit", "le et avec", "")), None) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs.withColumn("lang", F.substring("text", 1, 2)))
+    plain = {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in langid.predict(docs, model).collect()}
+    assert {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in langid.predict(docs.coalesce(1), model, 7).collect()} == plain and len(plain) == 90
+
+
+def test_rows_without_ids_are_dealt_evenly(spark):
+    """With half the ids null no chunk or run gets over one and a half times an even share."""
+    docs = spark.range(40_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    for part in (suffix_dedup.chunk_of(F.col("doc_id"), F.xxhash64("text"), 16), F.shiftright(mixing.order_key(docs), mixing.KEY_BITS - 4)):
+        sizes = [r["count"] for r in docs.groupBy(part.alias("part")).count().collect()]
+        assert len(sizes) == 16 and max(sizes) < 1.5 * 40_000 / 16
+
+
+def test_mix_of_rows_without_ids(spark, monkeypatch):
+    rows = [(None if k % 2 else k, "ab"[k % 3 == 0], f"t{k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    order = lambda: sorted((r["mix_slot"], r["mix_place"], r["text"]) for r in mixing.mix_sources(docs, {"a": 2, "b": 1}, 4).collect())
+    plain = order()
+    monkeypatch.setattr(mixing, "RUN_ROWS", 20)
+    assert order() == plain and sorted(x[2] for x in plain) == sorted(r[2] for r in rows)
+
+
+def test_spans_of_rows_without_ids(spark):
+    long = "".join(random.Random(3).choices("abcdefgh ", k=500))
+    texts = [long, long, long[:300] + "x", "short", None, *[f"{k} {long[k:]}" for k in range(1, 40)]]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    found = sorted((r["n_bytes"], r["n_removed"], bytes(r["kept"])) for r in suffix_dedup.repeated_spans(docs).collect())
+    assert found == sorted(brute_repeats(texts, 200))
