@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pacegrid.functions.geo import haversine_km, located
@@ -10,6 +10,12 @@ from pacegrid.functions.geo import haversine_km, located
 SEARCHED = ("title", "city", "venue_name", "region", "country")
 
 
+def result_order(near: bool) -> list[Column]:
+    """Order of found rows: nearest first, unknown last, if there is an origin; then by start, undated last, then title."""
+    start = F.coalesce("start", F.lit(""))
+    return ([F.col("km").asc_nulls_last()] if near else []) + [start == "", start, F.lower("title")]
+
+
 def search(df: DataFrame, sport: str | None = None, source: str | None = None, dated: bool = False, term: str | None = None, origin: tuple[float, float] | None = None, radius_km: float | None = None) -> DataFrame:
     """Events that meet all given conditions, with ``km`` from ``origin`` (null without one).
 
@@ -32,5 +38,4 @@ def search(df: DataFrame, sport: str | None = None, source: str | None = None, d
     df = df.withColumn("km", km)
     if origin and radius_km is not None:
         df = df.where(F.col("km") <= radius_km)
-    by_start = [F.coalesce("start", F.lit("")) == "", F.coalesce("start", F.lit("")), F.lower("title")]
-    return df.orderBy(*([F.col("km").asc_nulls_last()] if origin else []), *by_start)
+    return df.orderBy(*result_order(origin is not None))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacegrid.functions import fixed, geo, text, values
-from pacegrid.operators import geocode, nearby
+from pacegrid.operators import geocode, nearby, relational, search
 from pacegrid.operators.lineage import new_folder
 from pacegrid.plans.catalog import _LABEL, query
 from pacegrid.streaming import lookups
@@ -180,3 +180,29 @@ def around_origins(t):
 def nearest_origins(t):
     """The three suppliers nearest to each customer, in order."""
     return nearby.nearest(*_around(t), 3).select(F.col("origin").alias("c_custkey"), "place", F.col("id").alias("s_suppkey"), F.round("km", 3).alias("km"))
+
+
+_SEARCHED = """homes AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 7 > 0 THEN CAST(c_custkey * 37 % 180 - 90 AS DOUBLE) END AS lat, CAST(c_custkey * 91 % 360 - 180 AS DOUBLE) AS lon,
+  CASE WHEN c_custkey % 4 > 0 THEN '2030-01-0' || (c_custkey % 4) ELSE '' END AS start FROM customer),
+far AS (SELECT *, CASE WHEN lat IS NOT NULL THEN round(2 * 6371.0 * asin(sqrt(pow(sin(radians(lat - 18.5) / 2), 2) + cos(radians(18.5)) * cos(radians(lat)) * pow(sin(radians(lon - 73.9) / 2), 2))) / 500) END AS km FROM homes)"""
+
+
+def _searchable(t) -> DataFrame:
+    """Customers as events; every seventh without coordinates, every fourth undated."""
+    key = F.col("c_custkey")
+    spot = {"latitude": F.when(key % 7 > 0, key * 37 % 180 - 90).cast("double"), "longitude": (key * 91 % 360 - 180).cast("double"), "start": F.when(key % 4 > 0, F.concat(F.lit("2030-01-0"), key % 4)).otherwise("")}
+    plain = {c: F.lit(None).cast("string") for c in ("city", "venue_name", "region", "country")}
+    return t("customer").withColumns(spot | plain | {"title": F.col("c_name"), "distances": F.array(F.lit("10K"))})
+
+
+@query(f"WITH {_SEARCHED} SELECT c_custkey, row_number() OVER (ORDER BY km NULLS LAST, start = '', start, lower(c_name)) - 1 AS place FROM far")
+def search_order(t):
+    """Customers by their distance from a place in steps of 500 km, unknown last; the same step by start, undated last, then name."""
+    found = search.search(_searchable(t), term="10k", origin=(18.5, 73.9)).withColumn("km", F.round(F.col("km") / 500))
+    return relational.numbered(found, search.result_order(True), "place").select("c_custkey", "place")
+
+
+@query(f"WITH {_SEARCHED} SELECT c_custkey, row_number() OVER (ORDER BY start = '', start, lower(c_name)) - 1 AS place FROM far WHERE start <> ''")
+def dated_order(t):
+    """Dated customers without an origin: by start, then name."""
+    return relational.numbered(search.search(_searchable(t), dated=True), search.result_order(False), "place").select("c_custkey", "place")
