@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pacegrid.operators.lineage import written
 
-#: Rounds that settle most rows of a dedupe in parallel, and rows of a conflict group that one task may walk.
+#: Rounds that settle most rows of a large dedupe in parallel, and undecided rows that one task may walk without them.
 PARALLEL_ROUNDS, GROUP_ROWS = 3, 1_000_000
 
 
@@ -132,55 +133,77 @@ def _greedy_round(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_key = undecided.where("_key is not null").groupBy("_key").agg(F.min("_seq").alias("_seq")).select("_seq")
     free = undecided.where("_key is null").select("_seq")
     chosen = written(undecided.join(by_id, "_seq", "left_semi").join(by_key.union(free), "_seq", "left_semi"))
-    ids = chosen.select(F.col("_id").alias("_kept_id"))
-    keys = chosen.where("_key is not null").select(F.col("_key").alias("_kept_key"))
-    left = undecided.join(ids, F.col("_id").eqNullSafe(F.col("_kept_id")), "left_anti").join(keys, F.col("_key") == F.col("_kept_key"), "left_anti")
-    return chosen, written(left)
-
-
-def _walk_group(rows: pa.Table) -> pa.Table:
-    """Kept rows of one conflict group, row by row."""
-    rows = rows.sort_by("_seq")
-    ids, keys, kept = set(), set(), []
-    for place, (row_id, key) in enumerate(zip(rows.column("_id").to_pylist(), rows.column("_key").to_pylist(), strict=True)):
-        if row_id not in ids and (key is None or key not in keys):
-            ids.add(row_id)
-            keys.add(key)
-            kept.append(place)
-    return rows.take(pa.array(kept, pa.int64())).select(["_seq", "_id", "_key"])
+    left = undecided.join(chosen.select("_id"), "_id", "left_anti").join(chosen.where("_key is not null").select("_key"), "_key", "left_anti")
+    return chosen.select("_seq"), written(left.select("_seq", "_id", "_key"))
+
+
+def _walk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Places of the kept rows of (_seq, _id, _key), which come in order."""
+    ids, keys = set(), set()
+    for batch in batches:
+        kept = []
+        for seq, row_id, key in zip(*[batch.column(c).to_pylist() for c in ("_seq", "_id", "_key")], strict=True):
+            if row_id not in ids and (key is None or key not in keys):
+                ids.add(row_id)
+                keys.add(key)
+                kept.append(seq)
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], ["_seq"])
+
+
+def _walk_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _walk_rows() for conflict groups one after another, ids and keys being numbers within their group: one bit each."""
+    group, ids, keys = None, bytearray(), bytearray()
+    for batch in batches:
+        kept = []
+        for comp, seq, i, k, n_ids, n_keys in zip(*[batch.column(c).to_pylist() for c in ("comp", "_seq", "_id_no", "_key_no", "_ids", "_keys")], strict=True):
+            if comp != group:
+                group, ids, keys = comp, bytearray(n_ids // 8 + 1), bytearray(n_keys // 8 + 1)
+            if ids[i >> 3] >> (i & 7) & 1 or (k is not None and keys[k >> 3] >> (k & 7) & 1):
+                continue
+            ids[i >> 3] |= 1 << (i & 7)
+            if k is not None:
+                keys[k >> 3] |= 1 << (k & 7)
+            kept.append(seq)
+        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], ["_seq"])
+
+
+def _walk_groups(undecided: DataFrame) -> DataFrame:
+    """Kept rows of ``undecided``, each conflict group walked by one task. The rows stream past in Spark's own order, which spills,
+    and the state is two bits a row at most, so a group of a billion rows takes 250 MB. The walk is sequential by nature; the
+    number of jobs grows with the logarithm of the longest chain only, for conflict_groups()."""
+    first = lambda c: undecided.where(f"{c} is not null").groupBy(c).agg(F.min("_seq").alias("b"))
+    edges = [undecided.join(first(c), c).select(F.col("_seq").alias("a"), "b") for c in ("_id", "_key")]
+    groups = conflict_groups(edges[0].union(edges[1]))
+    rows = written(undecided.join(groups.withColumnRenamed("node", "_seq"), "_seq", "left").withColumn("comp", F.coalesce("comp", "_seq")))
+    for name in ("_id", "_key"):
+        values = numbered(rows.where(f"{name} is not null").select("comp", name).distinct(), [F.col("comp"), F.col(name)], "_no")
+        spans = values.groupBy("comp").agg(F.min("_no").alias("_from"), F.count("*").alias(f"{name}s"))
+        rows = rows.join(values, ["comp", name], "left").join(spans, "comp", "left").withColumn(f"{name}_no", F.col("_no") - F.col("_from")).drop("_no", "_from", name)
+        rows = rows.fillna(0, [f"{name}s"])
+    return rows.repartition("comp").sortWithinPartitions("comp", "_seq").mapInArrow(_walk_numbers, "_seq long")
 
 
 def dual_key_dedupe(df: DataFrame, row_id: str, key: str, seq: str) -> DataFrame:
     """Rows of an ordered greedy dedupe over two keys: a row is dropped if its id or its key already
-    stands on a kept row; dropped rows count for nothing. A null or empty key never conflicts.
+    stands on a kept row; dropped rows count for nothing. A null or empty key never conflicts; a null id is an id of its own.
 
-    ``seq`` is unique and gives the order. A few parallel rounds keep the undecided rows that come first for
-    both of their keys and drop what conflicts with them; that gives the same rows as the row-by-row walk. What
-    long chains leave open falls into conflict groups, each of which one task walks; only groups of over
-    GROUP_ROWS rows go on in rounds. Per-key minima are combined before shuffles.
+    ``seq`` is unique and gives the order. While over GROUP_ROWS rows are undecided, up to PARALLEL_ROUNDS rounds keep those
+    that come first for both of their keys and drop what conflicts with them; that gives the same rows as the row-by-row
+    walk. What is left then is walked by one task if it has at most GROUP_ROWS rows, else by conflict groups, see
+    _walk_groups(). Per-key minima are combined before shuffles.
     """
-    rows = df.select(F.col(seq).cast("long").alias("_seq"), F.col(row_id).cast("string").alias("_id"), F.nullif(F.col(key).cast("string"), F.lit("")).alias("_key"))
-    undecided, kept = written(rows), []
-    for _ in range(PARALLEL_ROUNDS):
-        if not undecided.limit(1).count():
-            break
+    own = F.coalesce(F.concat(F.lit("="), F.col(row_id).cast("string")), F.lit(""))
+    undecided, kept = written(df.select(F.col(seq).cast("long").alias("_seq"), own.alias("_id"), F.nullif(F.col(key).cast("string"), F.lit("")).alias("_key"))), []
+    left = undecided.count()
+    while left > GROUP_ROWS and len(kept) < PARALLEL_ROUNDS:
         chosen, undecided = _greedy_round(undecided)
         kept.append(chosen)
-    if undecided.limit(1).count():
-        first = lambda c: undecided.where(f"{c} is not null").groupBy(c).agg(F.min("_seq").alias("b"))
-        edges = [undecided.join(first(c), c).select(F.col("_seq").alias("a"), "b") for c in ("_id", "_key")]
-        groups = conflict_groups(edges[0].union(edges[1]))
-        grouped = written(undecided.join(groups.withColumnRenamed("node", "_seq"), "_seq", "left").withColumn("comp", F.coalesce("comp", "_seq")))
-        sizes = grouped.groupBy("comp").count()
-        small = grouped.join(sizes.where(F.col("count") <= GROUP_ROWS).select("comp"), "comp", "left_semi")
-        kept.append(written(small.groupBy("comp").applyInArrow(_walk_group, "_seq long, _id string, _key string")))
-        large = written(grouped.join(sizes.where(F.col("count") > GROUP_ROWS).select("comp"), "comp", "left_semi").select("_seq", "_id", "_key"))
-        while large.limit(1).count():
-            chosen, large = _greedy_round(large)
-            kept.append(chosen)
-    if not kept:
-        return df.limit(0)
-    return df.join(reduce(DataFrame.union, kept).select(F.col("_seq").alias(seq)), seq, "left_semi")
+        left = undecided.count()
+    if left > GROUP_ROWS:
+        kept.append(_walk_groups(undecided))
+    elif left or not kept:
+        kept.append(undecided.repartition(1).sortWithinPartitions("_seq").mapInArrow(_walk_rows, "_seq long"))
+    return df.join(written(reduce(DataFrame.union, kept)).select(F.col("_seq").alias(seq)), seq, "left_semi")
 
 
 def facets(df: DataFrame, column: str, missing: str) -> DataFrame:

@@ -47,11 +47,38 @@ def test_search(spark):
     assert titles(origin=(18.0, 73.0), radius_km=500) == ["City Run"]
 
 
-def test_long_chains_end_soon(spark):
-    """A chain of conflicts, each row with the next by id or by key, in a bounded number of jobs."""
-    rows = [(k, f"i{k // 2}", f"k{(k + 1) // 2}") for k in range(3000)]
+def chain(n):
+    """Conflicts of each row with the next, by id or by key."""
+    return [(k, f"i{k // 2}", f"k{(k + 1) // 2}") for k in range(n)]
+
+
+def tables_for(spark, rows, monkeypatch):
+    """Kept rows, and how many tables the dedupe wrote for them."""
+    made, write = [], relational.written
+    monkeypatch.setattr(relational, "written", lambda df: made.append(1) or write(df))
     df = spark.createDataFrame(rows, "seq long, id string, key string")
-    assert sorted(r["seq"] for r in relational.dual_key_dedupe(df, "id", "key", "seq").collect()) == walk(rows)
+    found = sorted(r["seq"] for r in relational.dual_key_dedupe(df, "id", "key", "seq").collect())
+    monkeypatch.setattr(relational, "written", write)
+    return found, len(made)
+
+
+def test_long_chains_end_soon(spark, monkeypatch):
+    """A chain of conflicts above GROUP_ROWS: four times the rows take a few tables more, not four times as many."""
+    monkeypatch.setattr(relational, "GROUP_ROWS", 20)
+    short, long = tables_for(spark, chain(500), monkeypatch), tables_for(spark, chain(2000), monkeypatch)
+    assert (short[0], long[0]) == (walk(chain(500)), walk(chain(2000)))
+    assert long[1] <= short[1] + 6
+
+
+def test_conflict_groups_walked(spark, monkeypatch):
+    """Many groups, hot ids and keys, null ids and null and empty keys, with and without rounds before."""
+    draw = random.Random(5)
+    rows = [(k, draw.choice(["hot", None, *"abcdefghijkl"]) if draw.random() < 0.5 else f"i{draw.randrange(150)}", draw.choice(["", None, "hot"]) if draw.random() < 0.4 else f"k{draw.randrange(150)}") for k in range(600)]
+    monkeypatch.setattr(relational, "GROUP_ROWS", 0)
+    for rounds in (0, 1):
+        monkeypatch.setattr(relational, "PARALLEL_ROUNDS", rounds)
+        df = spark.createDataFrame(rows, "seq long, id string, key string")
+        assert sorted(r["seq"] for r in relational.dual_key_dedupe(df, "id", "key", "seq").collect()) == walk(rows)
 
 
 def test_numbered(spark):
