@@ -23,7 +23,9 @@ SPAN, KEPT = 16, 64
 RANGE_BYTES, MOST_RANGES = 8 << 20, 50_000
 #: Rows of the result that are handed on at once.
 ROWS_AT_ONCE = 256
-_END = (1 << 63) - 1
+#: Ids looked at for each range when the ranges' bounds are chosen; these only share out the work.
+IDS_A_RANGE = 20
+_LAST = -(1 << 63)
 #: Odd factor that spreads a text's length over its whole hash.
 LENGTH_MARK = 0x9E3779B97F4A7C15
 
@@ -117,13 +119,16 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     equal ids stand in order of their texts, a null id comes last. Null text is empty. near_edited and
     near_next compare with the edited text's and the next document's fingerprint; same_start is how
     many code points text and edited text have in common from the start. A single row is its own next.
-    Texts move once, to ranges of ids, and stand in order there; each range also gets the rows of the id after
-    its last. Other columns are ignored. An empty table gives an empty result.
+    Texts move once, to ranges of ids, and stand in order there; each range also gets the row after its last, of
+    which every task that reads the table sends the first it has. Bounds come from a sample of at most about
+    IDS_A_RANGE ids a range, whatever the table's size. Other columns are ignored. An empty table gives an empty result.
     """
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-_END)).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    total, n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     ranges = min(MOST_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_BYTES + 1))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 20 * ranges)).first()[0]
+    ids_only = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("doc_id"))
+    looked_at = ids_only if n <= IDS_A_RANGE * ranges else ids_only.sample(IDS_A_RANGE * ranges / n, seed=8)
+    cuts = looked_at.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], IDS_A_RANGE * ranges)).first()[0]
     bounds = np.unique(np.array(cuts or [0], np.int64))
 
     def range_of(ids: np.ndarray) -> np.ndarray:
@@ -133,28 +138,30 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(range_of(batch.column("doc_id").to_numpy())), batch.column("doc_id")], ["owner", "doc_id"])
 
-    firsts = dict(docs.select("doc_id").mapInArrow(number, "owner int, doc_id long").groupBy("owner").agg(F.max("doc_id")).collect())
+    firsts = dict(ids_only.mapInArrow(number, "owner int, doc_id long").groupBy("owner").agg(F.max("doc_id")).collect())
     used = sorted(firsts)
     asks = {firsts[below]: above for below, above in zip(used, used[1:], strict=False)} | ({firsts[used[-1]]: used[0]} if used else {})
     asked = np.array(sorted(asks), np.int64)
     askers = np.array([asks[x] for x in asked.tolist()], np.int32)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows to their ranges, and of each id that another range asks for the first row here."""
+        names, found = ["owner", "own", "doc_id", "text"], {}
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            own = pa.array(range_of(ids))
-            yield pa.RecordBatch.from_arrays([own, pa.array(np.ones(len(ids), bool)), batch.column("doc_id"), batch.column("text")], ["owner", "own", "doc_id", "text"])
+            ids = batch.column("doc_id").fill_null(_LAST).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(range_of(ids)), pa.array(np.ones(len(ids), bool)), batch.column("doc_id"), batch.column("text")], names)
             at = np.minimum(np.searchsorted(asked, ids), len(asked) - 1)
-            extra = np.flatnonzero(asked[at] == ids)
-            if len(extra):
-                rows = batch.take(pa.array(extra))
-                yield pa.RecordBatch.from_arrays([pa.array(askers[at[extra]]), pa.array(np.zeros(len(extra), bool)), rows.column("doc_id"), rows.column("text")], ["owner", "own", "doc_id", "text"])
+            for k in np.flatnonzero(asked[at] == ids).tolist():
+                row = (not batch.column("doc_id")[k].is_valid, batch.column("text")[k].as_py())
+                found[int(at[k])] = min(row, found.get(int(at[k]), row))
+        for k, (unknown, text) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([askers[k]], pa.int32()), pa.array([False]), pa.array([None if unknown else asked[k]], pa.int64()), pa.array([text], pa.string())], names)
 
     def result(doc_id: int, text: str, hashes: PrefixHashes, own: tuple[int, np.ndarray], following: str, next_hashes: PrefixHashes, after: tuple[int, np.ndarray]) -> dict:
         changed, new_hashes = edited(text, following), hashes.edited(next_hashes)
         new = new_hashes.fingerprint()
         return {
-            "doc_id": None if doc_id == -_END else doc_id,
+            "doc_id": doc_id,
             "n_chars": len(text),
             "edited_sha256": hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(),
             "fingerprint": as_text(own),

@@ -426,6 +426,19 @@ def test_fingerprints_over_many_ranges(spark, monkeypatch):
     assert sorted((r["doc_id"] or -1, r["n_chars"], r["edited_sha256"]) for r in fingerprint.compare_with_next(docs).collect()) == expected
 
 
+def test_fingerprints_without_ids_and_with_the_least_ones(spark, monkeypatch):
+    """Half the rows have no id, others the two least ids there are; ids are sampled, and a boundary id sends one row a task."""
+    monkeypatch.setattr(fingerprint, "RANGE_BYTES", 2000)
+    monkeypatch.setattr(fingerprint, "IDS_A_RANGE", 1)
+    least = -(1 << 63)
+    rows = [([None, k, None, least + 1, None, least][k % 6], prose(k, 10 + k % 30)) for k in range(120)]
+    ordered = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), x[1].encode()))
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    expected = sorted(((i, hashlib.sha256(fingerprint.edited(t, ordered[(k + 1) % len(ordered)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(ordered)), key=key)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["edited_sha256"]) for r in fingerprint.compare_with_next(docs).collect()), key=key) == expected
+
+
 def test_languages(spark, empty):
     voice = {"en": "the and with from there which of is", "de": "der und mit von ich nicht ist eine", "fr": "le et avec dans une est pour que"}
     rows = [(i, " ".join(random.Random(i).choices(voice[lang].split(), k=30)), lang) for i, lang in enumerate(list(voice) * 40)]
