@@ -20,9 +20,14 @@ def unescape_html(text: pd.Series) -> pd.Series:
     return text.map(html.unescape, na_action="ignore")
 
 
+def bind(value: Column, work) -> Column:
+    """work(value) with ``value`` worked out once, however often ``work`` names it. ``work`` may hold no Arrow function."""
+    return F.get(F.transform(F.array(value), work), 0)
+
+
 def blank_to_null(c: Column) -> Column:
-    """Empty text as null."""
-    return F.nullif(c, F.lit(""))
+    """Empty text as null. ``c`` is worked out once, in lambdas too, where nullif would do so twice."""
+    return F.get(F.filter(F.array(c), lambda x: x != ""), 0)
 
 
 def strip(c: Column) -> Column:
@@ -102,8 +107,7 @@ def repair_json(c: Column) -> Column:
 
 def coerce_list(json: Column) -> Column:
     """JSON array or scalar as an array of JSON texts (strings bare), nulls left out; null gives an empty array."""
-    many = F.from_json(json, "array<string>")
-    listed = F.when(F.ltrim(json).startswith("["), many).otherwise(F.array(json))
+    listed = bind(json, lambda j: F.when(F.ltrim(j).startswith("["), F.from_json(j, "array<string>")).otherwise(F.array(j)))
     return F.coalesce(F.filter(listed, lambda x: x.isNotNull()), F.array().cast("array<string>"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from pacegrid.functions.text import clean_text
+from pacegrid.functions.text import bind, clean_text
 
 
 @F.pandas_udf(StringType())
@@ -42,7 +42,7 @@ def absolute_url(url: Column, base: Column | None = None, full_entities: bool =
     if base is not None:
         has_scheme = F.regexp_like(text, F.lit(r"(?i)^https?://"))
         text = F.when(has_scheme, text).otherwise(_join(F.when(~has_scheme, text), F.when(~has_scheme, base)))
-    return F.when(F.regexp_like(text, F.lit(r"(?i)^https?://[^/?#]+")), collapse_slashes(text))
+    return bind(text, lambda x: F.when(F.regexp_like(x, F.lit(r"(?i)^https?://[^/?#]+")), collapse_slashes(x)))
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from pacegrid.functions import fixed
-from pacegrid.functions.text import blank_to_null, clean_text, coerce_list
+from pacegrid.functions.text import bind, blank_to_null, clean_text, coerce_list
 from pacegrid.functions.urls import absolute_url
 
 NUMBER = r"-?\d+(?:\.\d+)?"
@@ -28,8 +28,8 @@ def parse_price(c: Column) -> Column:
 
 def json_number(json: Column) -> Column:
     """Number of a JSON scalar: numbers as they are, booleans null, strings by parse_price."""
-    plain = F.regexp_like(json, F.lit(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"))
-    return F.when(json.isin("true", "false"), F.lit(None).cast("double")).when(plain, json.try_cast("double")).otherwise(parse_price(json))
+    plain = lambda j: F.regexp_like(j, F.lit(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"))
+    return bind(json, lambda j: F.when(j.isin("true", "false"), F.lit(None).cast("double")).when(plain(j), j.try_cast("double")).otherwise(parse_price(j)))
 
 
 def price_range(values: Column) -> tuple[Column, Column]:
@@ -40,13 +40,28 @@ def price_range(values: Column) -> tuple[Column, Column]:
 def offers_parts(offers: Column) -> tuple[Column, Column, Column, Column]:
     """price_min, price_max, currency and link of a JSON offer or list of offers: least and largest of all prices,
     the first currency, and the first link, as it is, that is no mail address or the like."""
-    each = F.filter(coerce_list(offers), lambda o: F.ltrim(o).startswith("{"))
+    return _folded(F.filter(coerce_list(offers), lambda o: F.ltrim(o).startswith("{")))
+
+
+def _folded(each: Column) -> tuple[Column, Column, Column, Column]:
+    """offers_parts() of an array of JSON objects."""
     prices = F.flatten(F.transform(each, lambda o: F.array(*[json_number(F.get_json_object(o, f"$.{k}")) for k in fixed.OFFER_PRICE_KEYS])))
     said = lambda key: F.filter(F.transform(each, lambda o: clean_text(F.get_json_object(o, f"$.{key}"), full_entities=False)), lambda x: x.isNotNull())
     link = F.get(F.filter(said("url"), lambda x: ~F.regexp_like(x, F.lit(r"(?i)^(?!https?:)[a-z][a-z0-9+.-]*:"))), 0)
     return F.array_min(prices), F.array_max(prices), F.get(said("priceCurrency"), 0), link
 
 
+def with_offers(df: DataFrame, offers: Column, base: Column, names: dict[str, str]) -> DataFrame:
+    """``df`` with offers_fold() of a JSON offer or list of offers (price_min, price_max, currency, link, under the given ``names``),
+    common entities only, in steps that each stand once in the plan."""
+    each = F.filter(coerce_list(offers), lambda o: F.ltrim(o).startswith("{"))
+    df = df.withColumn("_offers", each)
+    df = df.withColumns(dict(zip(("_low", "_high", "_currency", "_link"), _folded(F.col("_offers")), strict=True)))
+    df = df.withColumn("_link", absolute_url(F.col("_link"), base, False))
+    made = {"price_min": "_low", "price_max": "_high", "currency": "_currency", "link": "_link"}
+    return df.withColumns({name: F.col(made[k]) for k, name in names.items()}).drop("_offers", *made.values())
+
+
 def offers_fold(offers: Column, base: Column | None = None, full_entities: bool = True) -> tuple[Column, Column, Column, Column]:
     """offers_parts() with the link made absolute against ``base``."""
     low, high, currency, link = offers_parts(offers)
@@ -155,17 +170,12 @@ def _measured_km(key: Column, number: Column) -> Column:
     return F.when(miles, number * fixed.MILE_KM).when(metres, number / 1000.0).otherwise(number)
 
 
-def _bind(value: Column, work) -> Column:
-    """work(value) with ``value`` worked out once, however often ``work`` names it: for use inside arrays."""
-    return F.get(F.transform(F.array(value), work), 0)
-
-
 def parse_distance(text: Column) -> tuple[Column, Column]:
     """Label and kilometres of a cleaned distance text; a text without a number is its own label."""
     key = F.lower(F.trim(text))
     known = _known_km(key)
-    km = _bind(F.struct(key.alias("key"), parse_price(key).alias("number"), known.alias("known")), lambda x: F.round(F.coalesce(x.known, _measured_km(x.key, x.number)), 3))
-    return F.coalesce(F.when(known.isNotNull(), _bind(known, distance_label)), _bind(km, distance_label), text), km
+    km = bind(F.struct(key.alias("key"), parse_price(key).alias("number"), known.alias("known")), lambda x: F.round(F.coalesce(x.known, _measured_km(x.key, x.number)), 3))
+    return F.coalesce(F.when(known.isNotNull(), bind(known, distance_label)), bind(km, distance_label), text), km
 
 
 def with_distance(df: DataFrame, text: Column, label: str, km: str) -> DataFrame:
@@ -190,21 +200,17 @@ def country_code(text: Column) -> Column:
 
 def distinct_parts(*parts: Column) -> Column:
     """Parts joined by comma, nulls and later repeats (in any case) left out; null without parts."""
-    listed = F.filter(F.array(*parts), lambda x: x.isNotNull())
-    kept = F.filter(listed, lambda x, i: ~F.exists(F.slice(listed, 1, i), lambda y: F.lower(y) == F.lower(x)))
-    return blank_to_null(F.array_join(kept, ", "))
+    kept = lambda listed: F.filter(listed, lambda x, i: ~F.exists(F.slice(listed, 1, i), lambda y: F.lower(y) == F.lower(x)))
+    return blank_to_null(F.array_join(bind(F.filter(F.array(*parts), lambda x: x.isNotNull()), kept), ", "))
 
 
 def address_parts(json: Column) -> dict[str, Column]:
     """street, city, region, postal and country of a JSON address object, uncleaned: of each, the first key with more than blanks."""
 
     def pick(keys: tuple[str, ...]) -> Column:
-        found = []
-        for key in keys:
-            value = F.get_json_object(json, f"$.{key}")
-            named = F.when(F.ltrim(value).startswith("{"), F.get_json_object(json, f"$.{key}.name")).otherwise(value)
-            found.append(F.when(F.regexp_like(named, F.lit(r"(?U)\S")), named))
-        return F.coalesce(*found)
+        named = lambda v: F.when(F.ltrim(v).startswith("{"), F.get_json_object(v, "$.name")).otherwise(v)
+        told = lambda x: F.when(F.regexp_like(x, F.lit(r"(?U)\S")), x)
+        return F.coalesce(*[bind(bind(F.get_json_object(json, f"$.{key}"), named), told) for key in keys])
 
     return {part: pick(keys) for part, keys in fixed.ADDRESS_KEYS.items()}
 
@@ -217,6 +223,17 @@ def flatten_address(json: Column, full_entities: bool = True) -> tuple[Column, C
     return F.when(is_object, joined).otherwise(clean_text(json, full_entities=full_entities)), parts["city"], parts["region"], parts["country"]
 
 
+def with_address(df: DataFrame, json: Column, names: dict[str, str]) -> DataFrame:
+    """``df`` with flatten_address() of a JSON address (address, city, region, country, under the given ``names``), common entities
+    only, in steps that each stand once in the plan."""
+    df = df.withColumn("_json", json).withColumn("_object", F.ltrim("_json").startswith("{"))
+    df = df.withColumn("_said", F.array(*[F.when(F.col("_object"), v) for v in address_parts(F.col("_json")).values()], F.when(~F.col("_object"), F.col("_json"))))
+    df = df.withColumn("_read", F.transform("_said", lambda x: clean_text(x, full_entities=False)))
+    street, city, region, postal, country, plain = (F.get("_read", k) for k in range(6))
+    made = {"address": F.when(F.col("_object"), distinct_parts(street, city, region, postal, country)).otherwise(plain), "city": city, "region": region, "country": country}
+    return df.withColumns({name: made[k] for k, name in names.items()}).drop("_json", "_object", "_said", "_read")
+
+
 def status_name(status: Column) -> Column:
     """What follows the last slash."""
     return F.element_at(F.split(status, "/"), -1)

@@ -20,6 +20,17 @@ def new_folder(spark: SparkSession) -> str:
     return f"{context.getCheckpointDir()}/round-{uuid.uuid4().hex}"
 
 
+#: Rows that a part of a small table is dealt, where the work on each row is heavy.
+DEALT_ROWS = 25_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` in parts of about DEALT_ROWS rows, but at most four for each core. A table of short rows is one file of few
+    row groups, which few tasks would read, however heavy the work on its rows; tables with parts enough stay as they are."""
+    parts = min(-(-df.count() // DEALT_ROWS), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(parts) if parts > df.rdd.getNumPartitions() else df
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again."""
     path = new_folder(df.sparkSession)

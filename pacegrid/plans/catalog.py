@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pacegrid.functions import fixed, geo, sports, text, urls, values
 from pacegrid.operators import relational, search
+from pacegrid.operators.lineage import dealt
 
 RUN_DAY = "1998-01-01"
 #: White space as the engine sees it, for DuckDB.
@@ -290,10 +291,10 @@ def subtype_sets(t):
 @query("SELECT c_custkey, concat_ws(', ', c_name, n_name, CAST(c_custkey AS VARCHAR), r_name) AS address, n_name AS city, r_name AS country FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def address_flatten(t):
     """Address objects as JSON, flattened; a region like the city, in other case, is left out."""
-    named = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    named = dealt(t("customer")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     json = F.to_json(F.struct(F.col("c_name").alias("streetAddress"), F.col("n_name").alias("addressLocality"), F.lower("n_name").alias("addressRegion"), F.col("c_custkey").cast("string").alias("postalCode"), F.struct(F.col("r_name").alias("name")).alias("addressCountry")))
-    address, city, _, country = values.flatten_address(F.col("json"), full_entities=False)
-    return named.withColumn("json", json).select("c_custkey", address.alias("address"), city.alias("city"), country.alias("country"))
+    names = {k: k for k in ("address", "city", "country")}
+    return values.with_address(named, json, names).select("c_custkey", *names)
 
 
 @query("SELECT CASE WHEN contains(html, 'ld+json') THEN 'json-ld' WHEN contains(html, '<h2>') THEN 'sections' WHEN contains(html, '<nav>') THEN 'navigation' ELSE 'none' END AS verdict, count(*) AS n FROM pages GROUP BY 1")
