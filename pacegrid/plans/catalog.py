@@ -140,8 +140,8 @@ def price_range(t):
 def offers_fold(t):
     """Offers as JSON, folded to a price range, a currency and a link."""
     offers = F.concat(F.lit('[{"price":"'), F.col("p_retailprice").cast("string"), F.lit('","priceCurrency":"USD"},{"lowPrice":'), F.col("p_size").cast("string"), F.lit(',"url":"/p/'), F.col("p_partkey").cast("string"), F.lit('"}]'))
-    low, high, currency, link = values.offers_fold(F.col("offers"), F.lit("https://shop.test/list/all"))
-    return t("part").withColumn("offers", offers).select("p_partkey", low.alias("price_min"), high.alias("price_max"), currency.alias("currency"), link.alias("link"))
+    names = {k: k for k in ("price_min", "price_max", "currency", "link")}
+    return values.with_offers(dealt(t("part")).withColumn("offers", offers), F.col("offers"), F.lit("https://shop.test/list/all"), names).select("p_partkey", *names)
 
 
 @query("SELECT n_nationkey, r_name, ['IN', 'U.S.A.', 'DE', 'Atlantis', 'GB'][CAST(n_nationkey % 5 AS INT) + 1] AS country FROM nation JOIN region ON n_regionkey = r_regionkey")

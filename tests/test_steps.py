@@ -45,3 +45,15 @@ def test_odd_addresses(spark):
     assert [tuple(r) for r in df.orderBy("k").select(address, city, region, country).collect()] == [tuple(r) for r in found]
 
 
+@tables
+def test_offer_steps_stand_once(spark):
+    assert times(catalog.QUERIES["offers_fold"](spark, SF), "get_json_object") <= 32
+
+
+def test_odd_offers(spark):
+    said = [None, "", "[]", "7", '{"price": "1,000.5"}', '[{"price": true, "url": "mailto:x@y"}, {"lowPrice": 2e1, "url": " b?x=1 ", "priceCurrency": " EUR "}, {"price": -3, "url": "c"}, 4, null]']
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(said)], "k int, json string")
+    names = ("price_min", "price_max", "currency", "link")
+    found = [tuple(r) for r in values.with_offers(df, F.col("json"), F.lit("https://z.test/a/"), {c: c for c in names}).orderBy("k").drop("k", "json").collect()]
+    assert found == [(None,) * 4] * 4 + [(1000.5, 1000.5, None, None), (-3.0, 20.0, "EUR", "https://z.test/a/b?x=1")]
+    assert [tuple(r) for r in df.orderBy("k").select(*values.offers_fold(F.col("json"), F.lit("https://z.test/a/"), False)).collect()] == found
