@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pacegrid.functions.fixed import EARTH_KM
 from pacegrid.functions.geo import haversine_km, located
-from pacegrid.operators.lineage import written
+from pacegrid.operators.lineage import dealt, written
 
 #: Rows that a part of a cell is planned for.
 PART_ROWS = 10_000
@@ -88,6 +88,23 @@ def within(events: DataFrame, origins: DataFrame, radius_km: float) -> DataFrame
     return _pairs(written(points), starts, float(radius_km)).select("origin", "id", "km")
 
 
+def around(events: DataFrame, origins: DataFrame, radius_km: float) -> DataFrame:
+    """(origin, n, least, most): of the pairs of within(), how many each origin has, and their least and largest distance; origins
+    without any are left out.
+
+    Only distinct spots of events are measured from distinct spots of origins, and count for the rows that are there, so the work grows
+    with pairs of spots and not with pairs of rows.
+    """
+    spot = ["latitude", "longitude"]
+    points, starts = (_on_globe(df.select(*own, *[F.col(c).cast("double").alias(c) for c in spot])) for df, own in ((events, []), (origins, ["origin"])))
+    points = written(points.groupBy(*spot).agg(F.count("*").alias("_n")).withColumn("id", F.xxhash64(*spot)))
+    starts = written(starts)
+    homes = dealt(written(starts.select(*spot).distinct())).withColumns({"_home_lat": F.col("latitude"), "_home_lon": F.col("longitude")})
+    met = _pairs(points, homes, float(radius_km)).groupBy("_home_lat", "_home_lon").agg(F.sum("_n").alias("n"), F.min("km").alias("least"), F.max("km").alias("most"))
+    found = starts.join(met.withColumnsRenamed({"_home_lat": "latitude", "_home_lon": "longitude"}), spot)
+    return found.groupBy("origin").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"))
+
+
 def nearest(events: DataFrame, origins: DataFrame, k: int) -> DataFrame:
     """(origin, place, id, km): the ``k`` events nearest to each origin, from place 1, ties in order of ids.
 

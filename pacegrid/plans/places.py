@@ -172,8 +172,7 @@ def _around(t) -> tuple[DataFrame, DataFrame]:
 @query(f"WITH {_SITES} SELECT c_custkey, count(*) AS n, round(min(km), 3) AS least, round(max(km), 3) AS most FROM met WHERE km <= 900 GROUP BY c_custkey")
 def around_origins(t):
     """Of all suppliers within a radius of each customer: how many, the nearest and the farthest."""
-    met = nearby.within(*_around(t), 900).groupBy(F.col("origin").alias("c_custkey"))
-    return met.agg(F.count("*").alias("n"), F.round(F.min("km"), 3).alias("least"), F.round(F.max("km"), 3).alias("most"))
+    return nearby.around(*_around(t), 900).select(F.col("origin").alias("c_custkey"), "n", F.round("least", 3).alias("least"), F.round("most", 3).alias("most"))
 
 
 @query(f"WITH {_SITES} SELECT c_custkey, place, s_suppkey, round(km, 3) AS km FROM (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY km, s_suppkey) AS place FROM met) WHERE place <= 3")

@@ -42,3 +42,15 @@ def test_nothing_there(spark, globe):
     events, origins = spark.createDataFrame(globe[0], f"id long, {SPOT}"), spark.createDataFrame(globe[1], f"origin string, {SPOT}")
     assert not nearby.nearest(events.limit(0), origins, 2).count() and not nearby.nearest(events, origins.limit(0), 2).count() and not nearby.nearest(events, origins, 0).count()
     assert not nearby.within(events, origins, -1).count() and not nearby.within(events.limit(0), origins, 100).count()
+
+
+def test_around(spark, globe, monkeypatch):
+    """Counts of pairs of rows, though only pairs of spots are measured."""
+    events, origins = globe
+    met, pairs = [], nearby._pairs
+    monkeypatch.setattr(nearby, "_pairs", lambda *a: met.append(pairs(*a)) or met[-1])
+    found = nearby.around(spark.createDataFrame([*events, (0, 48.1, 11.5), (999, None, 1.0)], f"id long, {SPOT}"), spark.createDataFrame([*origins, *origins[4:5], (None, 48.1, 11.5), ("none", None, None), ("far", -50.0, -120.0)], f"origin string, {SPOT}"), 300).collect()
+    at = {o[0]: [apart(o[1:], e[1:]) for e in [*events, (0, 48.1, 11.5)] if apart(o[1:], e[1:]) <= 300] for o in [*origins, (None, 48.1, 11.5), ("far", -50.0, -120.0)]}
+    want = {o: (len(own) * (2 if o == "o4" else 1), min(own), max(own)) for o, own in at.items() if own}
+    assert {r["origin"]: (r["n"], r["least"], r["most"]) for r in found} == want
+    assert want["o4"][0] > 2 * 190 and met[0].count() < 190  # one spot has 131 of the rows
