@@ -111,6 +111,13 @@ def coerce_list(json: Column) -> Column:
     return F.coalesce(F.filter(listed, lambda x: x.isNotNull()), F.array().cast("array<string>"))
 
 
+def json_at(json: Column, path: str) -> Column:
+    """get_json_object() of ``path``, a row of keys with dots between. Only texts that name the last key, or escape something, are
+    parsed: most keys of a list of alternatives are in none."""
+    key = F.lit(path.rpartition(".")[2])
+    return bind(json, lambda j: F.when(F.contains(j, key) | F.contains(j, F.lit("\\")), F.get_json_object(j, f"$.{path}")))
+
+
 def first_of(json: Column) -> Column:
     """First element of a JSON array, or the scalar itself."""
     return F.get(coerce_list(json), 0)

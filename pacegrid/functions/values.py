@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from pacegrid.functions import fixed
-from pacegrid.functions.text import bind, blank_to_null, clean_text, coerce_list
+from pacegrid.functions.text import bind, blank_to_null, clean_text, coerce_list, json_at
 from pacegrid.functions.urls import absolute_url
 
 NUMBER = r"-?\d+(?:\.\d+)?"
@@ -37,16 +37,16 @@ def price_range(values: Column) -> tuple[Column, Column]:
     return F.array_min(values), F.array_max(values)
 
 
-def offers_parts(offers: Column) -> tuple[Column, Column, Column, Column]:
-    """price_min, price_max, currency and link of a JSON offer or list of offers: least and largest of all prices,
-    the first currency, and the first link, as it is, that is no mail address or the like."""
-    return _folded(F.filter(coerce_list(offers), lambda o: F.ltrim(o).startswith("{")))
+def _objects(json: Column) -> Column:
+    """Objects of a JSON list, or the one there is."""
+    return F.filter(coerce_list(json), lambda x: F.ltrim(x).startswith("{"))
 
 
-def _folded(each: Column) -> tuple[Column, Column, Column, Column]:
-    """offers_parts() of an array of JSON objects."""
-    prices = F.flatten(F.transform(each, lambda o: F.array(*[json_number(F.get_json_object(o, f"$.{k}")) for k in fixed.OFFER_PRICE_KEYS])))
-    said = lambda key: F.filter(F.transform(each, lambda o: clean_text(F.get_json_object(o, f"$.{key}"), full_entities=False)), lambda x: x.isNotNull())
+def offers_parts(each: Column) -> tuple[Column, Column, Column, Column]:
+    """price_min, price_max, currency and link of an array of JSON offers: least and largest of all prices,
+    the first currency, and the first link, as it is, that is no mail address or the like."""
+    prices = F.flatten(F.transform(each, lambda o: F.array(*[json_number(json_at(o, k)) for k in fixed.OFFER_PRICE_KEYS])))
+    said = lambda key: F.filter(F.transform(each, lambda o: clean_text(json_at(o, key), full_entities=False)), lambda x: x.isNotNull())
     link = F.get(F.filter(said("url"), lambda x: ~F.regexp_like(x, F.lit(r"(?i)^(?!https?:)[a-z][a-z0-9+.-]*:"))), 0)
     return F.array_min(prices), F.array_max(prices), F.get(said("priceCurrency"), 0), link
 
@@ -54,17 +54,16 @@ def _folded(each: Column) -> tuple[Column, Column, Column, Column]:
 def with_offers(df: DataFrame, offers: Column, base: Column, names: dict[str, str]) -> DataFrame:
     """``df`` with offers_fold() of a JSON offer or list of offers (price_min, price_max, currency, link, under the given ``names``),
     common entities only, in steps that each stand once in the plan."""
-    each = F.filter(coerce_list(offers), lambda o: F.ltrim(o).startswith("{"))
-    df = df.withColumn("_offers", each)
-    df = df.withColumns(dict(zip(("_low", "_high", "_currency", "_link"), _folded(F.col("_offers")), strict=True)))
+    df = df.withColumn("_offers", _objects(offers))
+    df = df.withColumns(dict(zip(("_low", "_high", "_currency", "_link"), offers_parts(F.col("_offers")), strict=True)))
     df = df.withColumn("_link", absolute_url(F.col("_link"), base, False))
     made = {"price_min": "_low", "price_max": "_high", "currency": "_currency", "link": "_link"}
     return df.withColumns({name: F.col(made[k]) for k, name in names.items()}).drop("_offers", *made.values())
 
 
 def offers_fold(offers: Column, base: Column | None = None, full_entities: bool = True) -> tuple[Column, Column, Column, Column]:
-    """offers_parts() with the link made absolute against ``base``."""
-    low, high, currency, link = offers_parts(offers)
+    """offers_parts() of a JSON offer or list of offers, with the link made absolute against ``base``."""
+    low, high, currency, link = offers_parts(_objects(offers))
     return low, high, currency, absolute_url(link, base, full_entities)
 
 
@@ -106,8 +105,7 @@ def parse_iso(text: Column) -> Column:
 
 
 def _date_text(c: Column, full_entities: bool) -> Column:
-    text = clean_text(c, full_entities=full_entities)
-    return F.when(~F.lower(text).isin("null", "none", "tbd", "tba"), text)
+    return bind(clean_text(c, full_entities=full_entities), lambda x: F.when(~F.lower(x).isin("null", "none", "tbd", "tba"), x))
 
 
 def parse_date(c: Column, run_date: date, day_first: bool = False, full_entities: bool = True) -> Column:
@@ -124,11 +122,12 @@ def parse_date(c: Column, run_date: date, day_first: bool = False, full_entities
 def with_dates(df: DataFrame, columns: dict[str, Column], run_date: date, full_entities: bool = True) -> DataFrame:
     """``df`` with parse_date() of each of ``columns`` under its name, in steps that each stand once in the plan."""
     names = list(columns)
-    df = df.withColumns({f"_said_{k}": _date_text(c, full_entities) for k, c in columns.items()})
+    df = df.withColumns({f"_told_{k}": c for k, c in columns.items()})
+    df = df.withColumns({f"_said_{k}": _date_text(F.col(f"_told_{k}"), full_entities) for k in names})
     df = df.withColumns({f"_fast_{k}": parse_iso(F.col(f"_said_{k}")) for k in names})
     slow = _fallback(run_date, False)
     df = df.withColumns({k: F.coalesce(f"_fast_{k}", slow(F.when(F.col(f"_fast_{k}").isNull(), F.col(f"_said_{k}")))) for k in names})
-    return df.drop(*[f"_{step}_{k}" for k in names for step in ("said", "fast")])
+    return df.drop(*[f"_{step}_{k}" for k in names for step in ("told", "said", "fast")])
 
 
 def date_list(texts: Column, run_date: date) -> Column:
@@ -170,12 +169,16 @@ def _measured_km(key: Column, number: Column) -> Column:
     return F.when(miles, number * fixed.MILE_KM).when(metres, number / 1000.0).otherwise(number)
 
 
+def _distance(text: Column) -> Column:
+    """label and km of parse_distance(), each step worked out once."""
+    read = bind(F.lower(F.trim(text)), lambda key: F.struct(key.alias("key"), parse_price(key).alias("number"), _known_km(key).alias("known")))
+    km = bind(read, lambda x: F.struct(x.known.alias("known"), F.round(F.coalesce(x.known, _measured_km(x.key, x.number)), 3).alias("km")))
+    return bind(km, lambda x: F.struct(F.coalesce(bind(F.coalesce(x.known, x.km), distance_label), text).alias("label"), x.km.alias("km")))
+
+
 def parse_distance(text: Column) -> tuple[Column, Column]:
     """Label and kilometres of a cleaned distance text; a text without a number is its own label."""
-    key = F.lower(F.trim(text))
-    known = _known_km(key)
-    km = bind(F.struct(key.alias("key"), parse_price(key).alias("number"), known.alias("known")), lambda x: F.round(F.coalesce(x.known, _measured_km(x.key, x.number)), 3))
-    return F.coalesce(F.when(known.isNotNull(), bind(known, distance_label)), bind(km, distance_label), text), km
+    return _distance(text).label, _distance(text).km
 
 
 def with_distance(df: DataFrame, text: Column, label: str, km: str) -> DataFrame:
@@ -185,9 +188,13 @@ def with_distance(df: DataFrame, text: Column, label: str, km: str) -> DataFrame
     return df.withColumn(label, F.coalesce(distance_label(F.coalesce("_known", km)), text)).drop("_key", "_known", "_number")
 
 
-def parse_distances(texts: Column) -> tuple[Column, Column]:
-    """Distinct labels in order, and distinct kilometres ascending, of an array of cleaned texts."""
-    pairs = F.transform(texts, lambda x: F.struct(parse_distance(x)[0].alias("label"), parse_distance(x)[1].alias("km")))
+def distance_pairs(texts: Column) -> Column:
+    """label and km of each of an array of cleaned texts."""
+    return F.transform(texts, _distance)
+
+
+def parse_distances(pairs: Column) -> tuple[Column, Column]:
+    """Distinct labels in order, and distinct kilometres ascending, of distance_pairs()."""
     present = lambda field: F.filter(F.transform(pairs, lambda p: p[field]), lambda x: x.isNotNull())
     return F.array_distinct(present("label")), F.array_sort(F.array_distinct(present("km")))
 
@@ -210,7 +217,7 @@ def address_parts(json: Column) -> dict[str, Column]:
     def pick(keys: tuple[str, ...]) -> Column:
         named = lambda v: F.when(F.ltrim(v).startswith("{"), F.get_json_object(v, "$.name")).otherwise(v)
         told = lambda x: F.when(F.regexp_like(x, F.lit(r"(?U)\S")), x)
-        return F.coalesce(*[bind(bind(F.get_json_object(json, f"$.{key}"), named), told) for key in keys])
+        return F.coalesce(*[bind(bind(json_at(json, key), named), told) for key in keys])
 
     return {part: pick(keys) for part, keys in fixed.ADDRESS_KEYS.items()}
 

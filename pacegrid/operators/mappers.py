@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from pacegrid.functions import fixed
 from pacegrid.functions.geo import brand_city
 from pacegrid.functions.sports import classify_sport
-from pacegrid.functions.text import blank_to_null, clean_text, coerce_list, first_of, settled, slug_words, with_clean
+from pacegrid.functions.text import blank_to_null, clean_text, coerce_list, first_of, json_at, settled, slug_words, with_clean
 from pacegrid.functions.urls import fill_template, with_links
-from pacegrid.functions.values import address_parts, date_list, distinct_parts, json_number, offers_parts, parse_distances, parse_price, stable_id, status_name, with_dates
+from pacegrid.functions.values import address_parts, date_list, distance_pairs, distinct_parts, json_number, offers_parts, parse_distances, parse_price, stable_id, status_name, with_dates
 from pacegrid.operators.extract import field, inner_field, scalar
 from pacegrid.operators.relational import first_per_key
 from pacegrid.schema import EVENT_DDL
@@ -32,7 +32,7 @@ def run_day(run_at: str) -> date:
 
 
 def _get(json: Column, path: str) -> Column:
-    return F.get_json_object(json, f"$.{path}")
+    return json_at(json, path)
 
 
 def _is_object(json: Column) -> Column:
@@ -48,11 +48,6 @@ def _clean_list(texts: Column) -> Column:
     return F.filter(F.transform(texts, lambda x: clean_text(x, full_entities=False)), lambda x: x.isNotNull())
 
 
-def _distances(texts: Column) -> dict[str, Column]:
-    labels, kms = parse_distances(_clean_list(texts))
-    return {"distances": labels, "distance_km": kms}
-
-
 def _address(json: Column) -> dict[str, Column]:
     """Texts of an address: its parts if it is an object, else the whole."""
     placed = _is_object(json)
@@ -72,9 +67,12 @@ def _template_link() -> Column:
     return F.when(F.col("page.url_template").isNotNull(), fill_template(F.col("page.url_template"), F.col("t_slug")))
 
 
-def _events(rows: DataFrame, at: Column, texts: dict[str, Column], links: dict[str, Column], rest: dict[str, Column], dates: dict[str, Column], run_at: str, base: Column | None = None, limits: dict[str, int] | None = None) -> DataFrame:
+def _events(rows: DataFrame, at: Column, texts: dict[str, Column], links: dict[str, Column], rest: dict[str, Column], dates: dict[str, Column], run_at: str, base: Column | None = None, limits: dict[str, int] | None = None, distances: Column | None = None) -> DataFrame:
     """Event records of ``rows`` with a title and a link. ``texts`` are cleaned (t_name), ``links`` cleaned and made absolute
-    (l_name), ``dates`` read (d_name); ``rest`` may build on all of these and goes before them."""
+    (l_name), ``dates`` read (d_name); ``rest`` may build on all of these and goes before them. ``distances`` are texts of distances."""
+    if distances is not None:
+        rows = rows.withColumn("pairs", distance_pairs(_clean_list(distances)))
+        rest = rest | dict(zip(("distances", "distance_km"), parse_distances(F.col("pairs")), strict=True))
     rows = with_clean(rows.withColumn("at", at), {f"t_{k}": c for k, c in texts.items()} | {f"l_{k}": c for k, c in links.items()}, {k: v for k, v in (LIMITS | (limits or {})).items() if k[2:] in texts})
     rows = with_links(rows, [f"l_{k}" for k in links], F.lit(None).cast("string") if base is None else base)
     rows = with_dates(rows, {f"d_{k}": c for k, c in dates.items()}, run_day(run_at)) if dates else rows
@@ -94,7 +92,8 @@ def schema_events(nodes: DataFrame, run_at: str, at: Column | None = None) -> Da
     rows = nodes.withColumns({"spot": first_of(j("location")), "seller": first_of(j("organizer"))}).withColumn("placed", _is_object(F.col("spot")))
     own = _get(F.col("spot"), "address")
     rows = rows.withColumn("where", F.when(F.col("placed"), F.when(own.isin("", "{}", "[]"), F.col("spot")).otherwise(F.coalesce(own, F.col("spot")))))
-    low, high, currency, link = offers_parts(j("offers"))
+    rows = rows.withColumn("sold", _objects(j("offers")))
+    low, high, currency, link = offers_parts(F.col("sold"))
     geo = lambda name: json_number(F.when(F.col("placed"), _get(F.col("spot"), f"geo.{name}")))
     texts = {
         "title": j("name"), "description": j("description"), "venue_name": F.when(F.col("placed"), _get(F.col("spot"), "name")).otherwise(F.col("spot")), **_address(F.col("where")),
@@ -137,10 +136,10 @@ def loose_events(nodes: DataFrame, run_at: str) -> DataFrame:
     rows = nodes.where("not schema").withColumns({"hints": _hints(), "said_distances": _distance_texts()})
     texts = {"title": field("title").text, "slug": scalar("slug"), "description": field("description").text, "venue_name": scalar("venue"), "organizer": scalar("organizer"), **{k: field(k).text for k in ("city", "region", "country", "currency")}}
     rest = {
-        "source_url": F.coalesce("l_source_url", _template_link()), "sport": classify_sport(F.col("hints")), **_distances(F.col("said_distances")), "latitude": json_number(field("latitude").text), "longitude": json_number(field("longitude").text),
+        "source_url": F.coalesce("l_source_url", _template_link()), "sport": classify_sport(F.col("hints")), "latitude": json_number(field("latitude").text), "longitude": json_number(field("longitude").text),
         "is_online": online.isNotNull() & ~(online.kind.isin("flag", "number") & online.text.isin("false", "0", "0.0")), "price_min": F.array_min(prices), "price_max": F.array_max(prices),
     }
-    loose = _events(rows, at, texts, {"source_url": scalar("url"), "image_url": scalar("image")}, rest, {"start": scalar("start"), "end": scalar("end")}, run_at, F.col("page.url"), NAME_LIMITS)
+    loose = _events(rows, at, texts, {"source_url": scalar("url"), "image_url": scalar("image")}, rest, {"start": scalar("start"), "end": scalar("end")}, run_at, F.col("page.url"), NAME_LIMITS, F.col("said_distances"))
     both = loose.unionByName(schema_events(nodes.where("schema"), run_at, at))
     once = first_per_key(both, ["page.page_id", "source_url"], [F.col("at")])
     return first_per_key(once, ["page.page_id"], [F.col("at")], fixed.EVENTS_PER_PAGE).withColumn("label", F.col("at.label"))
@@ -149,8 +148,8 @@ def loose_events(nodes: DataFrame, run_at: str) -> DataFrame:
 def selected_events(rows: DataFrame, run_at: str) -> DataFrame:
     """Events of selected() elements."""
     price = parse_price(F.col("price"))
-    rest = {"sport": classify_sport(F.array("distance", "t_title")), **_distances(F.array("distance")), "price_min": price, "price_max": price}
-    return _events(rows, F.col("place"), {"title": F.col("title"), "venue_name": F.col("venue")}, {"source_url": F.col("url"), "image_url": F.col("image")}, rest, {"start": F.col("date")}, run_at, F.col("page.url"))
+    rest = {"sport": classify_sport(F.array("distance", "t_title")), "price_min": price, "price_max": price}
+    return _events(rows, F.col("place"), {"title": F.col("title"), "venue_name": F.col("venue")}, {"source_url": F.col("url"), "image_url": F.col("image")}, rest, {"start": F.col("date")}, run_at, F.col("page.url"), distances=F.array("distance"))
 
 
 def race_events(responses: DataFrame, run_at: str) -> DataFrame:
@@ -159,30 +158,30 @@ def race_events(responses: DataFrame, run_at: str) -> DataFrame:
     races = responses.select("page", "kind", F.posexplode(F.from_json(_get(F.col("json"), "races"), "array<string>")).alias("place", "outer")).withColumn("race", _get(F.col("outer"), "race"))
     r = lambda path: _get(F.col("race"), path)
     parts = races.withColumn("parts", _objects(r("events")))
-    parts = parts.withColumns({"starts": date_list(F.transform("parts", lambda x: _get(x, "start_time")), run_day(run_at)), "types": _subtypes(F.transform("parts", lambda x: _get(x, "event_type")))})
+    parts = parts.withColumns({"starts": date_list(F.transform("parts", lambda x: _get(x, "start_time")), run_day(run_at)), "types": _subtypes(F.transform("parts", lambda x: _get(x, "event_type"))), "where": F.coalesce(r("address"), F.lit("{}"))})
     parts = parts.withColumn("fees", F.transform(F.flatten(F.transform("parts", lambda x: _objects(_get(x, "registration_periods")))), lambda x: json_number(_get(x, "race_fee"))))
     low = F.array_min("fees")
     rest = {
-        **_joined_address(), "sport": classify_sport(F.concat("types", F.array("kind", "t_title"))), **_distances(F.transform("parts", lambda x: _get(x, "distance"))), "event_subtypes": F.col("types"),
+        **_joined_address(), "sport": classify_sport(F.concat("types", F.array("kind", "t_title"))), "event_subtypes": F.col("types"),
         "price_min": low, "price_max": F.array_max("fees"), "currency": F.when(low.isNotNull(), "USD"),
     }
-    texts = {"title": r("name"), "description": r("description"), "venue_name": r("address.street"), **_address(F.coalesce(r("address"), F.lit("{}")))}
+    texts = {"title": r("name"), "description": r("description"), "venue_name": r("address.street"), **_address(F.col("where"))}
     links = {"source_url": r("url"), "ticket_url": r("external_race_url"), "image_url": r("logo_url")}
-    return _events(parts, F.col("place"), texts, links, rest, {"start": F.coalesce(F.array_min("starts"), r("next_date")), "end": r("next_end_date")}, run_at)
+    return _events(parts, F.col("place"), texts, links, rest, {"start": F.coalesce(F.array_min("starts"), r("next_date")), "end": r("next_end_date")}, run_at, distances=F.transform("parts", lambda x: _get(x, "distance")))
 
 
 def detail_events(props: DataFrame, run_at: str) -> DataFrame:
     """Events of detail pages (page, props: page properties with eventInfo): prices and distances of its categories together."""
     i = lambda path: _get(F.col("props"), f"eventInfo.{path}")
-    rows = props.where(_is_object(_get(F.col("props"), "eventInfo"))).withColumns({"kinds": _objects(i("categories")), "about": first_of(i("aboutRace"))})
+    rows = props.where(_is_object(_get(F.col("props"), "eventInfo"))).withColumns({"kinds": _objects(i("categories")), "about": first_of(i("aboutRace")), "where": F.coalesce(i("location"), F.lit("{}"))})
     each = lambda path: F.transform("kinds", lambda x: _get(x, path))
     rows = rows.withColumn("prices", F.transform(each("price.value"), json_number))
-    texts = {"title": i("title"), "slug": i("slug"), "description": F.when(_is_object(F.col("about")), _get(F.col("about"), "content")).otherwise(F.col("about")), "venue_name": i("location.area"), **_address(F.coalesce(i("location"), F.lit("{}")))}
+    texts = {"title": i("title"), "slug": i("slug"), "description": F.when(_is_object(F.col("about")), _get(F.col("about"), "content")).otherwise(F.col("about")), "venue_name": i("location.area"), **_address(F.col("where"))}
     rest = {
-        **_joined_address(), "source_url": F.coalesce(_template_link(), F.col("l_page")), "sport": classify_sport(F.concat(each("sportName"), F.array("t_title"))), **_distances(each("distance.distance")), "event_subtypes": _subtypes(_clean_list(each("title"))),
+        **_joined_address(), "source_url": F.coalesce(_template_link(), F.col("l_page")), "sport": classify_sport(F.concat(each("sportName"), F.array("t_title"))), "event_subtypes": _subtypes(_clean_list(each("title"))),
         "latitude": json_number(i("location.latitude")), "longitude": json_number(i("location.longitude")), "price_min": F.array_min("prices"), "price_max": F.array_max("prices"), "currency": F.get(_clean_list(each("price.currency")), 0),
     }
-    return _events(rows, F.lit(0), texts, {"page": F.col("page.url"), "image_url": first_of(i("bannerImageUrl"))}, rest, {"start": i("eventDate"), "end": i("endDate")}, run_at)
+    return _events(rows, F.lit(0), texts, {"page": F.col("page.url"), "image_url": first_of(i("bannerImageUrl"))}, rest, {"start": i("eventDate"), "end": i("endDate")}, run_at, distances=each("distance.distance"))
 
 
 def listing_events(props: DataFrame, run_at: str) -> DataFrame:
@@ -190,12 +189,12 @@ def listing_events(props: DataFrame, run_at: str) -> DataFrame:
     data = _get(F.col("props"), "eventsData")
     items = props.select("page", F.posexplode(F.from_json(F.when(_is_object(data), _get(data, "events")).otherwise(data), "array<string>")).alias("place", "item")).where(_is_object(F.col("item")))
     i = lambda path: _get(F.col("item"), path)
-    rows = items.withColumns({"kinds": F.transform(_objects(i("categories")), lambda x: _get(x, "category")), "dated": _is_object(i("eventDate")), "price": json_number(i("price"))})
-    texts = {"named": F.coalesce(blank_to_null(i("title")), i("name")), "slug": i("slug"), "venue_name": i("locationInfo.area"), **_address(F.coalesce(i("locationInfo"), F.lit("{}"))), "currency": i("currency"), "organizer": i("orgName")}
+    rows = items.withColumns({"kinds": F.transform(_objects(i("categories")), lambda x: _get(x, "category")), "dated": _is_object(i("eventDate")), "price": json_number(i("price")), "where": F.coalesce(i("locationInfo"), F.lit("{}"))})
+    texts = {"named": F.coalesce(blank_to_null(i("title")), i("name")), "slug": i("slug"), "venue_name": i("locationInfo.area"), **_address(F.col("where")), "currency": i("currency"), "organizer": i("orgName")}
     title = F.coalesce("t_named", slug_words(F.col("t_slug")))
-    rest = {**_joined_address(), "title": title, "source_url": _template_link(), "sport": classify_sport(F.concat(coerce_list(i("sportsType")), F.array(title))), **_distances(F.col("kinds")), "event_subtypes": _subtypes(F.col("kinds")), "price_min": F.col("price"), "price_max": F.col("price")}
+    rest = {**_joined_address(), "title": title, "source_url": _template_link(), "sport": classify_sport(F.concat(coerce_list(i("sportsType")), F.array(title))), "event_subtypes": _subtypes(F.col("kinds")), "price_min": F.col("price"), "price_max": F.col("price")}
     dates = {"start": F.when(F.col("dated"), i("eventDate.start")).otherwise(i("eventDate")), "end": F.when(F.col("dated"), i("eventDate.end"))}
-    return _events(rows, F.col("place"), texts, {"image_url": first_of(i("imageUrls"))}, rest, dates, run_at)
+    return _events(rows, F.col("place"), texts, {"image_url": first_of(i("imageUrls"))}, rest, dates, run_at, distances=F.col("kinds"))
 
 
 def post_events(responses: DataFrame, run_at: str) -> DataFrame:

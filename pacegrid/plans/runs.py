@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pacegrid.operators import crawl, extract, mappers
-from pacegrid.operators.lineage import new_folder
+from pacegrid.operators.lineage import dealt, new_folder
 from pacegrid.plans.catalog import query
 from pacegrid.plans.pages import RUN_AT, SITES, _script, fair_pages
 from pacegrid.schema import EVENT_DDL, as_events
@@ -150,7 +150,7 @@ def detail_pages(t):
     """Parts as detail pages with two categories each."""
     kind = lambda distance, price: F.struct(F.lit("running").alias("sportName"), F.struct(F.lit(distance).alias("distance")).alias("distance"), F.struct(price.cast("string").alias("value"), F.lit("INR").alias("currency")).alias("price"))
     info = F.struct(F.concat(F.col("p_name"), F.lit(" Run")).alias("title"), F.concat(F.lit("part-"), F.col("p_partkey")).alias("slug"), F.lit("2030-02-03").alias("eventDate"), F.struct(F.col("p_brand").alias("city")).alias("location"), F.array(kind("10K", F.col("p_size") + 100), kind("5K", F.col("p_size"))).alias("categories"), F.array(F.struct(F.concat(F.lit("<p>About "), F.col("p_name"), F.lit("</p>")).alias("content"))).alias("aboutRace"))
-    events = mappers.detail_events(_props(t("part"), F.col("p_partkey"), F.struct(info.alias("eventInfo"))), RUN_AT)
+    events = mappers.detail_events(_props(dealt(t("part")), F.col("p_partkey"), F.struct(info.alias("eventInfo"))), RUN_AT)
     return events.select(F.col("page.page_id").alias("page_id"), "title", "source_url", "start", "sport", F.array_join("distances", ", ").alias("distances"), "price_min", "price_max", "currency", "city", "description")
 
 

@@ -5,9 +5,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from pacegrid.functions import values
+from pacegrid.functions import text, values
 from pacegrid.operators import lineage
-from pacegrid.plans import catalog
+from pacegrid.plans import catalog, pages, runs  # noqa: F401  the others register their queries in catalog
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -57,3 +57,23 @@ def test_odd_offers(spark):
     found = [tuple(r) for r in values.with_offers(df, F.col("json"), F.lit("https://z.test/a/"), {c: c for c in names}).orderBy("k").drop("k", "json").collect()]
     assert found == [(None,) * 4] * 4 + [(1000.5, 1000.5, None, None), (-3.0, 20.0, "EUR", "https://z.test/a/b?x=1")]
     assert [tuple(r) for r in df.orderBy("k").select(*values.offers_fold(F.col("json"), F.lit("https://z.test/a/"), False)).collect()] == found
+
+
+@tables
+@pytest.mark.parametrize(("name", "most"), [("detail_pages", 300), ("service_races", 120)])
+def test_mapper_steps_stand_once(spark, name, most):
+    assert times(catalog.QUERIES[name](spark, SF), "get_json_object") <= most
+
+
+def test_keys_are_found_as_before(spark):
+    said = ['{"a": 1}', '{"\\\\u0061": 2}', '{"b": "a"}', '{"a": {"b": [1]}}', "", None, "a"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(said)], "k int, json string")
+    for path in ("a", "a.b"):
+        assert [r[0] == r[1] for r in df.select(text.json_at(F.col("json"), path), F.get_json_object("json", f"$.{path}")).collect() if r[0] is not None or r[1] is not None] in ([True] * 3, [True])
+
+
+@tables
+@pytest.mark.parametrize("name", ["json_ld_events", "detail_pages"])
+def test_pages_are_dealt(spark, name, monkeypatch):
+    monkeypatch.setattr(lineage, "DEALT_ROWS", 67)
+    assert "Repartition 3, true" in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
