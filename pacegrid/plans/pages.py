@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pacegrid.operators import crawl, extract, mappers
+from pacegrid.operators.lineage import dealt
 from pacegrid.plans.catalog import query
 from pacegrid.sources import sites
 
@@ -28,7 +29,7 @@ def json_ld_events(t):
     offer = F.struct(F.col("p_retailprice").cast("string").alias("price"), F.lit("EUR").alias("priceCurrency"))
     day = F.date_format(F.date_add(F.lit("2030-01-01").cast("date"), (F.col("p_partkey") % 300).cast("int")), "yyyy-MM-dd")
     node = F.struct(F.lit("SportsEvent").alias("@type"), F.concat_ws(" Run ", "p_name", "p_partkey").alias("name"), F.concat(F.lit("/p/"), F.col("p_partkey")).alias("url"), day.alias("startDate"), F.lit("https://schema.org/EventScheduled").alias("eventStatus"), place.alias("location"), F.array(offer).alias("offers"))
-    pages = t("part").select(F.col("p_partkey").alias("page_id"), F.lit("https://shop.test/list").alias("url"), _script(F.to_json(node), "application/ld+json").alias("html"))
+    pages = dealt(t("part")).select(F.col("p_partkey").alias("page_id"), F.lit("https://shop.test/list").alias("url"), _script(F.to_json(node), "application/ld+json").alias("html"))
     events = mappers.schema_events(extract.json_ld(pages), RUN_AT)
     return events.select(F.col("page.page_id").alias("page_id"), "title", "source_url", "start", "price_min", "price_max", "currency", "sport", "city", "status", "address")
 
@@ -42,7 +43,7 @@ def script_events(t):
     quoted = F.concat(F.lit('"'), F.replace(F.replace(wrapped, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     kind = F.col("s_suppkey") % 3
     html = F.when(kind == 0, _script(wrapped, "application/json")).when(kind == 1, F.concat(F.lit("<script>window.__NUXT__ = "), wrapped, F.lit(";</script>"))).otherwise(F.concat(F.lit("<script>var a = JSON.parse("), quoted, F.lit(")</script>")))
-    pages = t("supplier").select(F.col("s_suppkey").alias("page_id"), F.lit("https://fair.test/list").alias("url"), html.alias("html"))
+    pages = dealt(t("supplier")).select(F.col("s_suppkey").alias("page_id"), F.lit("https://fair.test/list").alias("url"), html.alias("html"))
     events = mappers.loose_events(extract.event_nodes(extract.script_payloads(pages), mappers.run_day(RUN_AT)), RUN_AT)
     return events.select(F.col("page.page_id").alias("page_id"), "label", "title", "source_url", "start", "sport", "price_min", "city")
 
@@ -68,7 +69,7 @@ def service_races(t):
     """Customers as answers of a race service with two sub-events each."""
     part = lambda distance, kind, start, fee: F.struct(F.lit(distance).alias("distance"), F.lit(kind).alias("event_type"), F.lit(start).alias("start_time"), F.array(F.struct(F.lit(fee).alias("race_fee"))).alias("registration_periods"))
     race = F.struct(F.concat(F.col("c_name"), F.lit(" 5K")).alias("name"), F.concat(F.lit("https://races.test/"), F.col("c_custkey")).alias("url"), F.struct(F.col("n_name").alias("city"), F.lit("US").alias("country_code")).alias("address"), F.array(part("5 km", "running_race", "5/2/2030 09:00", "$20.00"), part("HM", "trail_race", "5/2/2030 07:00", "$35.50")).alias("events"))
-    named = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    named = dealt(t("customer")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     answers = _paged(named, F.col("c_custkey"), F.lit("https://races.test/rest"), kind=F.lit("running_race"), json=F.to_json(F.struct(F.array(F.struct(race.alias("race"))).alias("races"))))
     events = mappers.race_events(answers, RUN_AT)
     return events.select(F.col("page.page_id").alias("page_id"), "title", "source_url", "start", "sport", F.array_join("distances", ", ").alias("distances"), F.array_join("event_subtypes", ", ").alias("types"), "price_min", "price_max", "currency", "city", "country")
