@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull
 
+#: Parts that a host's links are dealt to where only the cache is asked.
+OFFLINE_PARTS = 64
 SCHEMA = "url string, status int, html string, error string, attempts int"
 
 
@@ -144,12 +146,14 @@ class PagesSource(DataSource):
 def fetched(links: DataFrame, options: dict | None = None, tasks: int | None = None) -> DataFrame:
     """(url, status, html, error, attempts) of the distinct ``url`` of ``links``, read by tasks that each own whole hosts.
 
-    A host's links reach one task in order, one after another, so they need no room; nothing passes through the driver.
+    A host's links reach one task in order, one after another, so they need no room; nothing passes through the driver. Where
+    only the cache is asked (``offline``, no delay), no host has a pace to keep: its links are dealt to tasks by their hashes.
     """
     reader = PagesReader(options or {})
     host = F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1)
     owned = links.select("url").where("url is not null").distinct().withColumn("host", host)
-    owned = owned.repartition(tasks, "host") if tasks else owned.repartition("host")
+    keys = ["host", F.pmod(F.xxhash64("url"), F.lit(OFFLINE_PARTS))] if reader.offline and not reader.delay else ["host"]
+    owned = owned.repartition(tasks, *keys) if tasks else owned.repartition(*keys)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = None, None

@@ -94,3 +94,12 @@ def test_ordered_upsert(spark):
     assert found == brute_upsert(listings, details)
     assert [tuple(r)[:3] for r in relational.ordered_upsert(frames[0], frames[1].limit(0), "key", "place").orderBy("position").collect()] == brute_upsert(listings, [])
     assert not relational.ordered_upsert(frames[0].limit(0), frames[1].limit(0), "key", "place").count()
+
+
+def test_cached_links_of_one_host_are_dealt(spark, tmp_path):
+    from pacegrid.sources import web
+
+    links = spark.range(40).selectExpr("concat('https://one.test/', id) AS url")
+    cached = lambda **more: web.fetched(links, {"cache": str(tmp_path / "none"), "offline": "true", "delay": "0", **more}, 8)
+    readers = lambda df: df.selectExpr("spark_partition_id() AS p").distinct().count()
+    assert readers(cached()) > 1 and readers(cached(delay="0.001")) == 1
