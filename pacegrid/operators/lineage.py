@@ -24,10 +24,10 @@ def new_folder(spark: SparkSession) -> str:
 DEALT_ROWS = 25_000
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """``df`` in parts of about DEALT_ROWS rows, but at most four for each core. A table of short rows is one file of few
+def dealt(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` in parts of about ``rows`` rows (DEALT_ROWS if none are given), but at most four for each core. A table of short rows is one file of few
     row groups, which few tasks would read, however heavy the work on its rows; tables with parts enough stay as they are."""
-    parts = min(-(-df.count() // DEALT_ROWS), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    parts = min(-(-df.count() // (rows or DEALT_ROWS)), 4 * df.sparkSession.sparkContext.defaultParallelism)
     return df.repartition(parts) if parts > df.rdd.getNumPartitions() else df
 
 

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from pacegrid.functions import fixed
 from pacegrid.operators import extract, mappers, relational
 from pacegrid.operators.crawl import _RECORD, JSON_LD, placed
-from pacegrid.operators.lineage import written
+from pacegrid.operators.lineage import dealt, written
 from pacegrid.sources import sites, web
 
+#: Answers of many rows each that a task is dealt.
+DEALT_ANSWERS = 1_000
 #: Bits of a page id that number the pages of a kind.
 KIND_BITS = 20
 
@@ -46,7 +48,8 @@ def race_answers(spark: SparkSession, site: dict, run_at: str, options: dict) ->
     for column, name in (("date_from", "race_event_days_from"), ("date_to", "race_event_days_to")):
         answers = answers.where(F.col(column) == F.lit(window[name]).cast("date")) if name in window else answers
     order = F.element_at(F.create_map(*[F.lit(x) for k, kind in enumerate(kinds) for x in (kind, k)]), F.col("kind"))
-    return answers.where("status = 200").select(_page(site, F.shiftleft(order.cast("long"), KIND_BITS) + F.col("place"), F.col("url")), "kind", "json")
+    # one task reads a kind, but its answers are mapped by many
+    return dealt(written(answers.where("status = 200").select(_page(site, F.shiftleft(order.cast("long"), KIND_BITS) + F.col("place"), F.col("url")), "kind", "json")), DEALT_ANSWERS)
 
 
 def post_answers(spark: SparkSession, site: dict, run_at: str, options: dict) -> DataFrame:
@@ -68,7 +71,7 @@ def _listed(spark: SparkSession, site: dict, run_at: str, options: dict) -> Data
     sitemap, template = given.get("sitemap", fixed.SERVICES["indiarunning"][1]), site["url_template"] or fixed.SERVICES["indiarunning"][2]
     seeds = spark.createDataFrame(list(enumerate(site["seeds"])), "seed_no long, url string")
     pages = written(web.fetched(seeds.select("url"), own).where("status = 200"))
-    shown = seeds.join(pages, "url").select(F.lit(site["key"]).alias("source"), _page(site, F.col("seed_no"), F.col("url"), template)["page_id"].alias("page_id"), "url", F.lit(template).alias("url_template"), "html")
+    shown = seeds.join(dealt(pages, DEALT_ANSWERS), "url").select(F.lit(site["key"]).alias("source"), _page(site, F.col("seed_no"), F.col("url"), template)["page_id"].alias("page_id"), "url", F.lit(template).alias("url_template"), "html")
     listings = mappers.listing_events(extract.page_props(shown), run_at)
     listings = listings.select(F.struct("page.page_id", F.col("at").cast("long").alias("at")).alias("came"), *_RECORD)
     details = listings.limit(0)
