@@ -81,7 +81,7 @@ def _listed(spark: SparkSession, site: dict, run_at: str, options: dict) -> Data
         links = written(relational.numbered(links, [F.col("page"), F.col("place")], "detail_no").select(F.col("link").alias("url"), "detail_no"))
         found = written(web.fetched(links.select("url"), own).where("status = 200"))
         number = F.lit(1 << (sites.PAGE_BITS - 1)).cast("long") + F.col("detail_no")
-        told = links.join(found, "url").select(F.lit(site["key"]).alias("source"), _page(site, number, F.col("url"), template)["page_id"].alias("page_id"), "url", F.lit(template).alias("url_template"), "html")
+        told = links.join(dealt(found), "url").select(F.lit(site["key"]).alias("source"), _page(site, number, F.col("url"), template)["page_id"].alias("page_id"), "url", F.lit(template).alias("url_template"), "html")
         details = mappers.detail_events(extract.page_props(told), run_at).select(F.struct("page.page_id", F.col("at").cast("long").alias("at")).alias("came"), *_RECORD)
     merged = relational.ordered_upsert(listings, details, "source_url", "came")
     page_id = F.shiftleft(F.lit(site["site_no"]).cast("long"), sites.PAGE_BITS) + F.shiftleft(F.col("position.side").cast("long"), sites.PAGE_BITS - 1)
