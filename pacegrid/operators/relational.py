@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from pacegrid.operators.lineage import written
 
-#: Rounds that settle most rows of a large dedupe in parallel, and undecided rows that one task may walk without them.
+#: Rounds of a large dedupe that may settle little, and undecided rows that one task may walk at a time.
 PARALLEL_ROUNDS, GROUP_ROWS = 3, 1_000_000
+#: A round that settles less than this part of the undecided rows settled little.
+LITTLE = 0.25
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], limit: int = 1) -> DataFrame:
@@ -132,22 +134,41 @@ def _greedy_round(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_id = undecided.groupBy("_id").agg(F.min("_seq").alias("_seq")).select("_seq")
     by_key = undecided.where("_key is not null").groupBy("_key").agg(F.min("_seq").alias("_seq")).select("_seq")
     free = undecided.where("_key is null").select("_seq")
-    chosen = written(undecided.join(by_id, "_seq", "left_semi").join(by_key.union(free), "_seq", "left_semi"))
+    chosen = written(undecided.join(by_id, "_seq", "left_semi").join(by_key.union(free), "_seq", "left_semi").select("_seq", "_id", "_key"))
+    return chosen, written(_without(undecided, chosen))
+
+
+def _without(undecided: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of ``undecided`` whose id and key no row of ``chosen`` has."""
     left = undecided.join(chosen.select("_id"), "_id", "left_anti").join(chosen.where("_key is not null").select("_key"), "_key", "left_anti")
-    return chosen.select("_seq"), written(left.select("_seq", "_id", "_key"))
+    return left.select("_seq", "_id", "_key")
 
 
 def _walk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of the kept rows of (_seq, _id, _key), which come in order."""
+    """The kept rows of (_seq, _id, _key), which come in order."""
     ids, keys = set(), set()
     for batch in batches:
         kept = []
-        for seq, row_id, key in zip(*[batch.column(c).to_pylist() for c in ("_seq", "_id", "_key")], strict=True):
+        for at, (row_id, key) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("_id", "_key")], strict=True)):
             if row_id not in ids and (key is None or key not in keys):
                 ids.add(row_id)
                 keys.add(key)
-                kept.append(seq)
-        yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], ["_seq"])
+                kept.append(at)
+        yield batch.take(pa.array(kept, pa.int64()))
+
+
+def _walked(rows: DataFrame) -> DataFrame:
+    """Kept rows of ``rows``, walked in order by one task."""
+    return rows.select("_seq", "_id", "_key").repartition(1).sortWithinPartitions("_seq").mapInArrow(_walk_rows, "_seq long, _id string, _key string")
+
+
+def _first_rows(undecided: DataFrame, left: int) -> tuple[DataFrame, DataFrame]:
+    """Of the ``left`` rows of ``undecided``: those kept of about the first GROUP_ROWS, walked by one task, and what comes after these and
+    conflicts with none of the kept. Nothing before the first rows is open, so wherever they end, what is kept of them stays."""
+    part = GROUP_ROWS / left
+    last = undecided.approxQuantile("_seq", [part], part / 4)[0]
+    chosen = written(_walked(undecided.where(F.col("_seq") <= last)))
+    return chosen, written(_without(undecided.where(F.col("_seq") > last), chosen))
 
 
 def _walk_numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,22 +208,29 @@ def dual_key_dedupe(df: DataFrame, row_id: str, key: str, seq: str) -> DataFrame
     """Rows of an ordered greedy dedupe over two keys: a row is dropped if its id or its key already
     stands on a kept row; dropped rows count for nothing. A null or empty key never conflicts; a null id is an id of its own.
 
-    ``seq`` is unique and gives the order. While over GROUP_ROWS rows are undecided, up to PARALLEL_ROUNDS rounds keep those
-    that come first for both of their keys and drop what conflicts with them; that gives the same rows as the row-by-row
-    walk. What is left then is walked by one task if it has at most GROUP_ROWS rows, else by conflict groups, see
+    ``seq`` is unique and gives the order. Of rows with the same id and key only the first can stay, the others count no further.
+    While over GROUP_ROWS rows are undecided, rounds keep those that come first for both of their keys, then walk the first
+    GROUP_ROWS rows that are left, and drop what conflicts with the kept ones; that gives the same rows as the row-by-row
+    walk. Rounds go on until PARALLEL_ROUNDS of them settled little, so their rows add up to a few times the input.
+    What is left then is walked by one task if it has at most GROUP_ROWS rows, else by conflict groups, see
     _walk_groups(). Per-key minima are combined before shuffles.
     """
     own = F.coalesce(F.concat(F.lit("="), F.col(row_id).cast("string")), F.lit(""))
-    undecided, kept = written(df.select(F.col(seq).cast("long").alias("_seq"), own.alias("_id"), F.nullif(F.col(key).cast("string"), F.lit("")).alias("_key"))), []
+    pairs = df.groupBy(own.alias("_id"), F.nullif(F.col(key).cast("string"), F.lit("")).alias("_key")).agg(F.min(F.col(seq).cast("long")).alias("_seq"))
+    undecided, kept, slow = written(pairs.select("_seq", "_id", "_key")), [], 0
     left = undecided.count()
-    while left > GROUP_ROWS and len(kept) < PARALLEL_ROUNDS:
-        chosen, undecided = _greedy_round(undecided)
-        kept.append(chosen)
-        left = undecided.count()
+    while left > GROUP_ROWS and slow < PARALLEL_ROUNDS:
+        before = left
+        for step in (_greedy_round, lambda rows: _first_rows(rows, left)):
+            if left > GROUP_ROWS:
+                chosen, undecided = step(undecided)
+                kept.append(chosen.select("_seq"))
+                left = undecided.count()
+        slow += before - left < LITTLE * before
     if left > GROUP_ROWS:
         kept.append(_walk_groups(undecided))
     elif left or not kept:
-        kept.append(undecided.repartition(1).sortWithinPartitions("_seq").mapInArrow(_walk_rows, "_seq long"))
+        kept.append(_walked(undecided).select("_seq"))
     return df.join(written(reduce(DataFrame.union, kept)).select(F.col("_seq").alias(seq)), seq, "left_semi")
 
 

@@ -81,6 +81,29 @@ def test_conflict_groups_walked(spark, monkeypatch):
         assert sorted(r["seq"] for r in relational.dual_key_dedupe(df, "id", "key", "seq").collect()) == walk(rows)
 
 
+def test_copies_and_hot_keys_need_no_groups(spark, monkeypatch):
+    """Copies of the same ids and keys, and copies with ids of their own that want the same keys, are settled above GROUP_ROWS without conflict groups."""
+    draw = random.Random(7)
+    one = [(draw.randrange(40), draw.choice([None, *range(1, 61)])) for _ in range(300)]
+    copies = [(n, f"i{i}", k and f"k{k}") for n, (i, k) in enumerate(one * 20)]
+    apart = [(n, f"i{n // 300}-{i}", k and f"k{k}") for n, (i, k) in enumerate(one * 20)]
+    monkeypatch.setattr(relational, "GROUP_ROWS", 400)
+    monkeypatch.setattr(relational, "_walk_groups", lambda undecided: pytest.fail("conflict groups walked"))
+    for rows, most in ((copies, 2), (apart, 10)):
+        found, made = tables_for(spark, rows, monkeypatch)
+        assert found == walk(rows) and made <= most
+
+
+def test_first_rows_then_rounds(spark, monkeypatch):
+    """Rounds and walks of first rows in turn, null ids and null and empty keys among them, down to the last rows and to groups."""
+    draw = random.Random(11)
+    rows = [(3 * n, draw.choice([None, "", *"abcdefgh"]) if draw.random() < 0.1 else f"i{draw.randrange(400)}", draw.choice(["", None, "hot"]) if draw.random() < 0.1 else f"k{draw.randrange(400)}") for n in range(1500)]
+    for limit, rounds in ((30, 3), (5, 1), (300, 2)):
+        monkeypatch.setattr(relational, "GROUP_ROWS", limit)
+        monkeypatch.setattr(relational, "PARALLEL_ROUNDS", rounds)
+        assert tables_for(spark, rows, monkeypatch)[0] == walk(rows)
+
+
 def test_numbered(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
     assert all(r["place"] == r["x"] for r in relational.numbered(df, [F.col("x")], "place").collect())
