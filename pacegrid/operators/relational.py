@@ -14,7 +14,7 @@ from pacegrid.operators.lineage import written
 #: Rounds of a large dedupe that may settle little, and undecided rows that one task may walk at a time.
 PARALLEL_ROUNDS, GROUP_ROWS = 3, 1_000_000
 #: A round that settles less than this part of the undecided rows settled little.
-LITTLE = 0.25
+LITTLE = 1 / 16
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], limit: int = 1) -> DataFrame:
@@ -211,7 +211,7 @@ def dual_key_dedupe(df: DataFrame, row_id: str, key: str, seq: str) -> DataFrame
     ``seq`` is unique and gives the order. Of rows with the same id and key only the first can stay, the others count no further.
     While over GROUP_ROWS rows are undecided, rounds keep those that come first for both of their keys, then walk the first
     GROUP_ROWS rows that are left, and drop what conflicts with the kept ones; that gives the same rows as the row-by-row
-    walk. Rounds go on until PARALLEL_ROUNDS of them settled little, so their rows add up to a few times the input.
+    walk. Rounds go on until PARALLEL_ROUNDS of them settled less than LITTLE, so their rows add up to twenty times the input at most.
     What is left then is walked by one task if it has at most GROUP_ROWS rows, else by conflict groups, see
     _walk_groups(). Per-key minima are combined before shuffles.
     """

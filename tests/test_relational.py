@@ -87,9 +87,10 @@ def test_copies_and_hot_keys_need_no_groups(spark, monkeypatch):
     one = [(draw.randrange(40), draw.choice([None, *range(1, 61)])) for _ in range(300)]
     copies = [(n, f"i{i}", k and f"k{k}") for n, (i, k) in enumerate(one * 20)]
     apart = [(n, f"i{n // 300}-{i}", k and f"k{k}") for n, (i, k) in enumerate(one * 20)]
+    daily = [(n, f"i{n % 20}-{draw.randrange(40)}", f"k{n // 600}-{draw.randrange(6)}") for n in range(6000)]
     monkeypatch.setattr(relational, "GROUP_ROWS", 400)
     monkeypatch.setattr(relational, "_walk_groups", lambda undecided: pytest.fail("conflict groups walked"))
-    for rows, most in ((copies, 2), (apart, 10)):
+    for rows, most in ((copies, 2), (apart, 10), (daily, 60)):
         found, made = tables_for(spark, rows, monkeypatch)
         assert found == walk(rows) and made <= most
 
