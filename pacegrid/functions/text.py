@@ -67,6 +67,12 @@ def clean_text(c: Column, limit: int | None = None, full_entities: bool = True)
     return shorten(collapse(bare), limit)
 
 
+def list_or_empty(wanted: Column, texts: Column) -> Column:
+    """An array of texts for an Arrow function where it is ``wanted``, else an empty one: nulls in a row of lists are walked again
+    for each row that Spark adds to a batch."""
+    return F.when(wanted, texts).otherwise(F.array().cast("array<string>"))
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _unescape_all(lists: pd.Series) -> pd.Series:
     return lists.map(lambda own: [html.unescape(x) if x and "&" in x else x for x in own], na_action="ignore")
@@ -78,13 +84,19 @@ def settled(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("_here", F.spark_partition_id()).where(condition & (F.col("_here") >= 0)).drop("_here")
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` with its columns worked out here, once, as settled() does: where Arrow functions follow, the optimizer would copy steps that
+    are named several times into each place that names them."""
+    return settled(df, F.lit(True))
+
+
 def with_clean(df: DataFrame, columns: dict[str, Column], limits: dict[str, int] | None = None) -> DataFrame:
     """``df`` with clean_text() of each of ``columns`` under its name. All texts of a row go through one Arrow function together, and
     only rows with an ampersand do; each step stands once in the plan."""
     df = df.withColumn("_bare", F.array(*[strip_tags(c.cast("string")) for c in columns.values()]))
-    marked = F.exists("_bare", lambda x: F.contains(x, F.lit("&")))
-    df = df.withColumn("_read", F.coalesce(_unescape_all(F.when(marked, F.col("_bare"))), F.col("_bare")))
-    df = df.withColumns({name: collapse(F.get("_read", k)) for k, name in enumerate(columns)}).drop("_bare", "_read")
+    df = df.withColumn("_marked", F.exists("_bare", lambda x: F.contains(x, F.lit("&"))))
+    df = df.withColumn("_read", F.when(F.col("_marked"), _unescape_all(list_or_empty(F.col("_marked"), F.col("_bare")))).otherwise(F.col("_bare")))
+    df = held(df.withColumns({name: collapse(F.get("_read", k)) for k, name in enumerate(columns)}).drop("_bare", "_marked", "_read"))
     return df.withColumns({name: shorten(F.col(name), limit) for name, limit in (limits or {}).items()})
 
 

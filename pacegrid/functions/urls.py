@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from pacegrid.functions.text import bind, clean_text
+from pacegrid.functions.text import bind, clean_text, list_or_empty
 
 
 @F.pandas_udf(StringType())
@@ -56,12 +56,16 @@ def _join_all(urls: pd.Series, base: pd.Series) -> pd.Series:
     return pd.Series([None if own is None or b is None else [one(u, b) for u in own] for own, b in zip(urls, base, strict=True)], dtype=object)
 
 
-def with_links(df: DataFrame, columns: list[str], base: Column) -> DataFrame:
+def with_links(df: DataFrame, columns: list[str], base: Column | None) -> DataFrame:
     """``df`` with the cleaned links ``columns`` made absolute. Rows with a relative one go through one Arrow function, with all
     their links; relative links without a base become null."""
     df = df.withColumn("_links", F.array(*columns))
-    relative = F.exists("_links", lambda x: ~F.regexp_like(x, F.lit(r"(?i)^https?://")))
-    df = df.withColumn("_whole", F.coalesce(_join_all(F.when(relative, F.col("_links")), F.when(relative, base)), F.col("_links")))
+    if base is None:
+        df = df.withColumn("_whole", F.col("_links"))
+    else:
+        df = df.withColumn("_relative", F.exists("_links", lambda x: ~F.regexp_like(x, F.lit(r"(?i)^https?://"))))
+        joined = _join_all(list_or_empty(F.col("_relative"), F.col("_links")), F.when(F.col("_relative"), base))
+        df = df.withColumn("_whole", F.coalesce(F.when(F.col("_relative"), joined), F.col("_links"))).drop("_relative")
     whole = lambda k: F.get("_whole", k)
     return df.withColumns({c: F.when(F.regexp_like(whole(k), F.lit(r"(?i)^https?://[^/?#]+")), collapse_slashes(whole(k))) for k, c in enumerate(columns)}).drop("_links", "_whole")
 

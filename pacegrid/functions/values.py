@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from pacegrid.functions import fixed
-from pacegrid.functions.text import bind, blank_to_null, clean_text, coerce_list, json_at
+from pacegrid.functions.text import bind, blank_to_null, clean_text, coerce_list, held, json_at, list_or_empty
 from pacegrid.functions.urls import absolute_url
 
 NUMBER = r"-?\d+(?:\.\d+)?"
@@ -22,8 +22,8 @@ def stable_id(source: Column, url: Column) -> Column:
 
 
 def parse_price(c: Column) -> Column:
-    """First number of a text, thousands commas ignored; null without one."""
-    return F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), NUMBER, 0).try_cast("double")
+    """First number of a text, thousands commas ignored; null without one, which is not left to the cast: that makes an exception of it."""
+    return blank_to_null(F.regexp_extract(F.replace(c, F.lit(","), F.lit("")), NUMBER, 0)).try_cast("double")
 
 
 def json_number(json: Column) -> Column:
@@ -85,23 +85,27 @@ def _fallback(run_date: date, day_first: bool):
     return parse
 
 
-#: Forms that are read in the JVM: ISO-8601 without fractions of seconds, and month or day first.
-_ISO = r"^\d{4}-\d{2}-\d{2}(?:[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
-_SLASHED = r"^\d{1,2}/\d{1,2}/\d{4}(?: (?:[01]\d|2[0-3]):[0-5]\d)?$"
+#: Forms that are read in the JVM: ISO-8601 without fractions of seconds, and month or day first; no year 0, no distance from UTC that isn't one.
+_ISO = r"^(?!0000)\d{4}-\d{2}-\d{2}(?:[T ](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d)?(?:Z|(?!-00:?00)[+-](?:[01]\d|2[0-3]):?[0-5]\d)?)?$"
+_SLASHED = r"^\d{1,2}/\d{1,2}/(?!0000)\d{4}(?: (?:[01]\d|2[0-3]):[0-5]\d)?$"
 
 
-def parse_iso(text: Column) -> Column:
+def parse_iso(text: Column, once=lambda value, work: work(value)) -> Column:
     """ISO-8601 and month-first dates in ISO form (day first where the month can't be one); null for other texts and for
-    fractions of seconds. Stays in the JVM."""
+    fractions of seconds. Stays in the JVM. ``once`` may be bind() where no Arrow function makes ``text``."""
     iso = text
     for pattern, into in ((r"^(.{10})$", "$1T00:00:00"), (r"^(.{10}) ", "$1T"), (r"^(.{16})(?!:)", "$1:00"), ("Z$", "+00:00"), (r"([+-]\d{2})(\d{2})$", "$1:$2")):
         iso = F.regexp_replace(iso, pattern, into)
-    one, two, late = (F.split_part(text, F.lit("/"), F.lit(k)) for k in (1, 2, 3))
-    swapped = one.try_cast("int") > 12
-    slashed = F.concat_ws("-", F.substring(late, 1, 4), F.lpad(F.when(swapped, two).otherwise(one), 2, "0"), F.lpad(F.when(swapped, one).otherwise(two), 2, "0"))
-    at = F.when(F.length(late) > 4, F.substring(late, 6, 5)).otherwise("00:00")
+
+    def slashed(pieces: Column) -> Column:
+        one, two, late = (F.get(pieces, k) for k in range(3))
+        swapped = one.try_cast("int") > 12
+        day = F.concat_ws("-", F.substring(late, 1, 4), F.lpad(F.when(swapped, two).otherwise(one), 2, "0"), F.lpad(F.when(swapped, one).otherwise(two), 2, "0"))
+        at = F.when(F.length(late) > 4, F.substring(late, 6, 5)).otherwise("00:00")
+        return once(day, lambda d: F.when(d.try_cast("date").isNotNull(), F.concat(d, F.lit("T"), at, F.lit(":00"))))
+
     fits = F.regexp_like(text, F.lit(_ISO)) & F.substring(text, 1, 10).try_cast("date").isNotNull()
-    return F.when(fits, iso).when(F.regexp_like(text, F.lit(_SLASHED)) & slashed.try_cast("date").isNotNull(), F.concat(slashed, F.lit("T"), at, F.lit(":00")))
+    return F.when(fits, iso).when(F.regexp_like(text, F.lit(_SLASHED)), once(F.split(text, "/"), slashed))
 
 
 def _date_text(c: Column, full_entities: bool) -> Column:
@@ -123,31 +127,40 @@ def with_dates(df: DataFrame, columns: dict[str, Column], run_date: date, full_e
     """``df`` with parse_date() of each of ``columns`` under its name, in steps that each stand once in the plan."""
     names = list(columns)
     df = df.withColumns({f"_told_{k}": c for k, c in columns.items()})
-    df = df.withColumns({f"_said_{k}": _date_text(F.col(f"_told_{k}"), full_entities) for k in names})
-    df = df.withColumns({f"_fast_{k}": parse_iso(F.col(f"_said_{k}")) for k in names})
+    df = held(held(df).withColumns({f"_said_{k}": _date_text(F.col(f"_told_{k}"), full_entities) for k in names}))
+    df = held(df.withColumns({f"_fast_{k}": parse_iso(F.col(f"_said_{k}"), bind) for k in names}))
     slow = _fallback(run_date, False)
     df = df.withColumns({k: F.coalesce(f"_fast_{k}", slow(F.when(F.col(f"_fast_{k}").isNull(), F.col(f"_said_{k}")))) for k in names})
     return df.drop(*[f"_{step}_{k}" for k in names for step in ("told", "said", "fast")])
 
 
-def date_list(texts: Column, run_date: date) -> Column:
-    """parse_date() of each text of an array, unread ones left out."""
-
+def _fallback_list(run_date: date):
     @F.pandas_udf("array<string>")
     def read(lists: pd.Series) -> pd.Series:
         from dateutil import parser
 
         default = datetime(run_date.year, run_date.month, run_date.day)
 
-        def one(text: str) -> str | None:
+        def one(text: str | None) -> str | None:
             try:
-                return parser.parse(text, default=default).isoformat()
+                return None if text is None else parser.parse(text, default=default).isoformat()
             except (ValueError, OverflowError, TypeError):
                 return None
 
-        return lists.map(lambda own: [x for x in map(one, own) if x], na_action="ignore")
+        return lists.map(lambda own: [one(x) for x in own])
+
+    return read
+
 
-    return read(F.filter(F.transform(texts, lambda x: _date_text(x, False)), lambda x: x.isNotNull()))
+def with_date_list(df: DataFrame, name: str, texts: Column, run_date: date) -> DataFrame:
+    """``df`` with parse_date() of each text of an array under ``name``, unread ones left out, common entities only, in steps that each
+    stand once in the plan. Only lists with a text that is none of the common forms are read by an Arrow function."""
+    df = df.withColumn("_said", F.filter(F.transform(texts, lambda x: _date_text(x, False)), lambda x: x.isNotNull()))
+    df = df.withColumn("_fast", F.transform("_said", lambda x: parse_iso(x, bind)))
+    df = df.withColumn("_odd", list_or_empty(F.exists("_fast", lambda x: x.isNull()), F.transform("_said", lambda x, k: F.when(F.get("_fast", k).isNull(), x))))
+    df = df.withColumn("_slow", _fallback_list(run_date)(F.col("_odd")))
+    read = F.transform("_fast", lambda x, k: F.coalesce(x, F.get("_slow", k)))
+    return df.withColumn(name, F.filter(read, lambda x: x.isNotNull())).drop("_said", "_fast", "_odd", "_slow")
 
 
 def distance_label(km: Column) -> Column:

@@ -16,7 +16,7 @@ from pacegrid.functions.geo import brand_city
 from pacegrid.functions.sports import classify_sport
 from pacegrid.functions.text import blank_to_null, clean_text, coerce_list, first_of, json_at, settled, slug_words, with_clean
 from pacegrid.functions.urls import fill_template, with_links
-from pacegrid.functions.values import address_parts, date_list, distance_pairs, distinct_parts, json_number, offers_parts, parse_distances, parse_price, stable_id, status_name, with_dates
+from pacegrid.functions.values import address_parts, distance_pairs, distinct_parts, json_number, offers_parts, parse_distances, parse_price, stable_id, status_name, with_date_list, with_dates
 from pacegrid.operators.extract import field, inner_field, scalar
 from pacegrid.operators.relational import first_per_key
 from pacegrid.schema import EVENT_DDL
@@ -74,7 +74,7 @@ def _events(rows: DataFrame, at: Column, texts: dict[str, Column], links: dict[s
         rows = rows.withColumn("pairs", distance_pairs(_clean_list(distances)))
         rest = rest | dict(zip(("distances", "distance_km"), parse_distances(F.col("pairs")), strict=True))
     rows = with_clean(rows.withColumn("at", at), {f"t_{k}": c for k, c in texts.items()} | {f"l_{k}": c for k, c in links.items()}, {k: v for k, v in (LIMITS | (limits or {})).items() if k[2:] in texts})
-    rows = with_links(rows, [f"l_{k}" for k in links], F.lit(None).cast("string") if base is None else base)
+    rows = with_links(rows, [f"l_{k}" for k in links], base)
     rows = with_dates(rows, {f"d_{k}": c for k, c in dates.items()}, run_day(run_at)) if dates else rows
     columns = {k: F.col(f"{sign}_{k}") for sign, own in (("t", texts), ("l", links), ("d", dates)) for k in own} | rest
     given = rows.withColumns({f"e_{k}": c for k, c in columns.items()})
@@ -158,7 +158,8 @@ def race_events(responses: DataFrame, run_at: str) -> DataFrame:
     races = responses.select("page", "kind", F.posexplode(F.from_json(_get(F.col("json"), "races"), "array<string>")).alias("place", "outer")).withColumn("race", _get(F.col("outer"), "race"))
     r = lambda path: _get(F.col("race"), path)
     parts = races.withColumn("parts", _objects(r("events")))
-    parts = parts.withColumns({"starts": date_list(F.transform("parts", lambda x: _get(x, "start_time")), run_day(run_at)), "types": _subtypes(F.transform("parts", lambda x: _get(x, "event_type"))), "where": F.coalesce(r("address"), F.lit("{}"))})
+    parts = with_date_list(parts, "starts", F.transform("parts", lambda x: _get(x, "start_time")), run_day(run_at))
+    parts = parts.withColumns({"types": _subtypes(F.transform("parts", lambda x: _get(x, "event_type"))), "where": F.coalesce(r("address"), F.lit("{}"))})
     parts = parts.withColumn("fees", F.transform(F.flatten(F.transform("parts", lambda x: _objects(_get(x, "registration_periods")))), lambda x: json_number(_get(x, "race_fee"))))
     low = F.array_min("fees")
     rest = {

@@ -1,6 +1,7 @@
 """Work on rows: each step stands once in the plan, and small tables are dealt to several tasks."""
 
 import os
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,32 @@ def test_mapper_steps_stand_once(spark, name, most):
     assert times(catalog.QUERIES[name](spark, SF), "get_json_object") <= most
 
 
+@tables
+def test_date_steps_stand_once(spark):
+    # texts of a list and of the start; each Arrow function had copies of these steps (4 and 139)
+    df = catalog.QUERIES["service_races"](spark, SF)
+    assert times(df, "concat_ws") <= 2 and times(df, "regexp_replace") <= 40
+
+
+def test_date_lists(spark, monkeypatch):
+    said = [None, [], ["5/2/2030 09:00", None, "2030-05-02 07:00", "tba"], ["13 May 2030", " 13/5/2030", "x"], ["1/1/0000", "2030-01-01T07:00-00:00", "2030-01-01T07:00+25:00", "<b>2030</b>"]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(said)], "k int, said array<string>")
+    read = lambda df: [r.read for r in values.with_date_list(df, "read", F.col("said"), date(2029, 6, 1)).orderBy("k").collect()]
+    common = [None, [], ["2030-05-02T09:00:00", "2030-05-02T07:00:00"]]
+    assert read(df) == [*common, ["2030-05-13T00:00:00", "2030-05-13T00:00:00"], ["2030-01-01T07:00:00+00:00", "2030-06-01T00:00:00"]]
+    # lists of common forms only are not read by the Arrow function: this one would turn all it is given into nothing
+    monkeypatch.setattr(values, "_fallback_list", lambda day: F.pandas_udf(lambda lists: lists.map(lambda own: own[:0] if len(own) == 0 else [None] * (1 // 0)), "array<string>"))
+    assert read(df.where("k < 3")) == common
+
+
+def test_odd_dates_are_left_to_the_slow_reader(spark):
+    said = ["0000-01-01", "1/1/0000", "2030-01-01T07:00+25:00", "2030-01-01T07:00-0000", "2030-01-01T07:00+05:60", "2030-01-01T07:00-0001"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(said)], "k int, said string")
+    found = [None, None, None, "2030-01-01T07:00:00+00:00", "2030-01-01T07:00:00+06:00", "2030-01-01T07:00:00-00:01"]
+    assert [r[0] for r in values.with_dates(df, {"read": F.col("said")}, date(2029, 6, 1)).orderBy("k").select("read").collect()] == found
+    assert [r[0] for r in df.orderBy("k").select(values.parse_date(F.col("said"), date(2029, 6, 1))).collect()] == found
+
+
 def test_keys_are_found_as_before(spark):
     said = ['{"a": 1}', '{"\\u0061": 2}', '{"b": "a"}', '{"a": {"b": [1]}}', "", None, "a"]
     df = spark.createDataFrame([(k, x) for k, x in enumerate(said)], "k int, json string")
