@@ -50,8 +50,9 @@ FROM (SELECT p_partkey, km, {_LABEL} AS label FROM (SELECT p_partkey, CAST(p_siz
 def distance_sets(t):
     """Several spellings of distances as distinct labels in order and distinct kilometres."""
     size = F.col("p_size").cast("string")
-    labels, kms = values.parse_distances(F.array(F.concat(size, F.lit(" km")), F.concat(size, F.lit("K")), F.lit("half marathon"), F.lit(None).cast("string"), F.lit("Half Marathon")))
-    return t("part").select("p_partkey", F.array_join(labels, ", ").alias("labels"), F.array_min(kms).alias("shortest"), F.array_max(kms).alias("longest"))
+    texts = F.array(F.concat(size, F.lit(" km")), F.concat(size, F.lit("K")), F.lit("half marathon"), F.lit(None).cast("string"), F.lit("Half Marathon"))
+    labels, kms = values.parse_distances(F.col("pairs"))
+    return t("part").withColumn("pairs", values.distance_pairs(texts)).select("p_partkey", F.array_join(labels, ", ").alias("labels"), F.array_min(kms).alias("shortest"), F.array_max(kms).alias("longest"))
 
 
 @query("SELECT p_partkey, p_name || ' ' || p_partkey AS words, 'Event' || p_type AS status FROM part")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pacegrid.functions import text, values
 from pacegrid.operators import lineage
-from pacegrid.plans import catalog, pages, runs  # noqa: F401  the others register their queries in catalog
+from pacegrid.plans import catalog, pages, places, runs  # noqa: F401  the others register their queries in catalog
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
@@ -105,3 +105,10 @@ def test_keys_are_found_as_before(spark):
 def test_pages_are_dealt(spark, name, monkeypatch):
     monkeypatch.setattr(lineage, "DEALT_ROWS", 67)
     assert "Repartition 3, true" in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_distance_sets_of_pairs(spark):
+    """Sizes that are labels, whole and odd kilometres of their own, and the half marathon itself; the query named parse_distances() with texts."""
+    part = spark.createDataFrame([(1, 10), (2, 21), (3, 42), (4, 7)], "p_partkey long, p_size int")
+    found = places.distance_sets(lambda name: {"part": part}[name]).orderBy("p_partkey").collect()
+    assert [tuple(r) for r in found] == [(1, "10K, Half Marathon", 10.0, 21.098), (2, "Half Marathon", 21.0, 21.098), (3, "Marathon, Half Marathon", 21.098, 42.0), (4, "7K, Half Marathon", 7.0, 21.098)]
