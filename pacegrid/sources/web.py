@@ -27,12 +27,17 @@ from urllib.parse import urlencode, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull
 
-#: Parts that a host's links are dealt to where only the cache is asked.
-OFFLINE_PARTS = 64
+from pacegrid.operators.lineage import written
+
+#: Bits of a link's SHA-1 by which a host's links are dealt to tasks where only the cache is asked.
+OFFLINE_BITS = 6
+#: Bytes of answers that a folder of the cache is planned for, and the least and most bits of a link's SHA-1 that name one.
+FOLDER_BYTES, LEAST_BITS, MOST_BITS = 1 << 19, 3, 32
+_HEAD = b'{"key":"'
 SCHEMA = "url string, status int, html string, error string, attempts int"
 
 
@@ -43,10 +48,20 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PagedSource)
 
 
+def _first_bits(digest: Column, bits: int) -> Column:
+    """The first bits of hexadecimal digests, as a text of 0 and 1."""
+    return F.substring(F.lpad(F.conv(F.substring(digest, 1, MOST_BITS // 4), 16, 2), MOST_BITS, "0"), 1, bits)
+
+
 def store_answers(answers: DataFrame, folder: str) -> None:
-    """Adds ``answers`` (url, status, text) to a cache folder: a file a link, under the SHA-1 of it."""
-    key = F.sha1(F.col("url").cast("binary")).alias("key")
-    answers.select(key, F.to_json(F.struct("status", "text")).alias("value")).write.mode("append").partitionBy("key").text(folder)
+    """Adds ``answers`` (url, status, text) to a cache folder: the answers of links whose SHA-1s begin alike lie together,
+    under so many bits of these that a folder has about FOLDER_BYTES. A file a link takes far longer to commit than to write."""
+    line = F.to_json(F.struct(F.sha1(F.col("url").cast("binary")).alias("key"), "status", "text"))
+    lines = written(answers.where("url is not null").select(F.sha1(F.col("url").cast("binary")).alias("digest"), line.alias("value")))
+    size = lines.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    bits = min(max((size // FOLDER_BYTES).bit_length(), LEAST_BITS), MOST_BITS)
+    kept = lines.select(F.lit(bits).alias("bits"), _first_bits(F.col("digest"), bits).alias("key"), "value")
+    kept.repartition("key").write.mode("append").partitionBy("bits", "key").text(folder)
 
 
 class HostPartition(InputPartition):
@@ -63,6 +78,7 @@ class PagesReader(DataSourceReader):
         self.retries, self.robots = int(options.get("retries", 2)), str(options.get("robots", "true")).lower() == "true"
         self.agent = options.get("agent", "pacegrid/1.0")
         self.cache, self.offline = options.get("cache"), str(options.get("offline", "false")).lower() == "true"
+        self.files, self.kept = None, {}
 
     def partitions(self) -> list[InputPartition]:
         hosts = defaultdict(list)
@@ -70,15 +86,34 @@ class PagesReader(DataSourceReader):
             hosts[urlsplit(url).netloc].append(url)
         return [HostPartition(host, urls) for host, urls in sorted(hosts.items())]
 
+    def _folder(self, path: str, place: int) -> tuple[list, dict]:
+        """Lines of a folder of the cache with their files' times, in order of these, and the last one by its link; none if there is
+        no such folder. Of each ``place`` the last folder asked for is kept."""
+        if self.kept.get(place, ("",))[0] != path:
+            listed = self.files.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True))
+            lines = []
+            for x in sorted((x for x in listed if x.base_name.startswith("part-")), key=lambda x: x.mtime_ns):
+                with self.files.open_input_stream(x.path) as stream:
+                    lines += [(x.mtime_ns, line) for line in stream.read().splitlines()]
+            self.kept[place] = path, lines, {line[: len(_HEAD) + 40]: (at, line) for at, line in lines}
+        return self.kept[place][1:]
+
     def _stored(self, url: str) -> tuple[int, str | None, str | None] | None:
         """The cache's answer for a link, the last written one; the folder may be in any store that pyarrow opens."""
-        files, root = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "/", self.cache))
-        found = files.get_file_info(pyarrow.fs.FileSelector(f"{root}/key={hashlib.sha1(url.encode()).hexdigest()}", allow_not_found=True))
-        parts = sorted((x for x in found if x.base_name.startswith("part-")), key=lambda x: x.mtime)
-        if not parts:
+        if self.files is None:
+            self.files, self.root = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "/", self.cache))
+            names = [x.base_name for x in self.files.get_file_info(pyarrow.fs.FileSelector(self.root, allow_not_found=True))]
+            self.bits = sorted(int(x.removeprefix("bits=")) for x in names if x.startswith("bits="))
+            self.single = any(x.startswith("key=") for x in names)  # an earlier form: a folder a link
+        digest = hashlib.sha1(url.encode()).hexdigest()
+        first, head = f"{int(digest[: MOST_BITS // 4], 16):0{MOST_BITS}b}", _HEAD + digest.encode()
+        found = [self._folder(f"{self.root}/bits={n}/key={first[:n]}", n)[1].get(head) for n in self.bits]
+        if self.single:
+            found += self._folder(f"{self.root}/key={digest}", 0)[0][-1:]
+        found = [x for x in found if x]
+        if not found:
             return None
-        with files.open_input_stream(parts[-1].path) as stream:
-            answer = json.loads(stream.read().decode().splitlines()[-1])
+        answer = json.loads(max(found, key=lambda x: x[0])[1])
         return answer.get("status"), answer.get("text"), None if answer.get("status") == 200 else f"HTTP {answer.get('status')}"
 
     def _get(self, url: str) -> tuple[int | None, str | None, str | None]:
@@ -147,12 +182,15 @@ def fetched(links: DataFrame, options: dict | None = None, tasks: int | None = N
     """(url, status, html, error, attempts) of the distinct ``url`` of ``links``, read by tasks that each own whole hosts.
 
     A host's links reach one task in order, one after another, so they need no room; nothing passes through the driver. Where
-    only the cache is asked (``offline``, no delay), no host has a pace to keep: its links are dealt to tasks by their hashes.
+    only the cache is asked (``offline``, no delay), no host has a pace to keep: its links are dealt to tasks by their SHA-1s, and read in their order: the cache's files each come once.
     """
     reader = PagesReader(options or {})
     host = F.regexp_extract("url", r"^[^:]*://([^/?#]*)", 1)
     owned = links.select("url").where("url is not null").distinct().withColumn("host", host)
-    keys = ["host", F.pmod(F.xxhash64("url"), F.lit(OFFLINE_PARTS))] if reader.offline and not reader.delay else ["host"]
+    keys, order = ["host"], ["host", "url"]
+    if reader.offline and not reader.delay:
+        digest = F.sha1(F.col("url").cast("binary"))
+        keys, order = ["host", _first_bits(digest, OFFLINE_BITS)], ["host", digest]
     owned = owned.repartition(tasks, *keys) if tasks else owned.repartition(*keys)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +202,7 @@ def fetched(links: DataFrame, options: dict | None = None, tasks: int | None = N
                 row = reader.fetch(url, state)
                 yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()), strict=True)], ["url", "status", "html", "error", "attempts"])
 
-    return owned.sortWithinPartitions("host", "url").select("host", "url").mapInArrow(work, SCHEMA)
+    return owned.sortWithinPartitions(*order).select("host", "url").mapInArrow(work, SCHEMA)
 
 
 def not_cached(links: DataFrame, cache: DataFrame) -> DataFrame:

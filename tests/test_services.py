@@ -1,5 +1,6 @@
 """Paged services, their conditions and the cache as transport, listings with detail pages, and the ordered upsert."""
 
+import hashlib
 import json
 from datetime import date
 
@@ -103,3 +104,22 @@ def test_cached_links_of_one_host_are_dealt(spark, tmp_path):
     cached = lambda **more: web.fetched(links, {"cache": str(tmp_path / "none"), "offline": "true", "delay": "0", **more}, 8)
     readers = lambda df: df.selectExpr("spark_partition_id() AS p").distinct().count()
     assert readers(cached()) > 1 and readers(cached(delay="0.001")) == 1
+
+
+def test_answers_share_files(spark, tmp_path):
+    """2,000 answers took as many files; repeated links give their last answer, whatever lies beside it, and a cache of the earlier form is still read."""
+    folder = str(tmp_path / "cache")
+    first = spark.range(2_000).select(F.concat(F.lit("s://x/"), "id").alias("url"), F.lit(200).alias("status"), F.concat(F.lit('{"key":"\u2028\n'), "id", F.lit('"}')).alias("text"))
+    web.store_answers(first, folder)
+    assert len(list((tmp_path / "cache").rglob("part-*"))) <= 16
+    web.store_answers(spark.createDataFrame([("s://x/7", 404, None), ("s://x/new", None, None), (None, 200, "")], "url string, status int, text string"), folder)
+    web.store_answers(first.where("id = 8").withColumn("text", F.repeat(F.lit("long "), 2_000_000)), folder)
+    digest = hashlib.sha1(b"s://x/old").hexdigest()
+    (tmp_path / "cache" / f"key={digest}").mkdir()
+    (tmp_path / "cache" / f"key={digest}" / "part-0.txt").write_text('{"status":200,"text":"old"}\n')
+    asked = first.select("url").union(spark.createDataFrame([("s://x/new",), ("s://x/old",), ("s://x/none",)], "url string"))
+    for delay in ("0", "0.000001"):
+        found = {r["url"]: (r["status"], r["html"]) for r in web.fetched(asked, {"cache": folder, "offline": "true", "delay": delay, "retries": "0"}, 3).collect()}
+        odd = {f"s://x/{k}": found.pop(f"s://x/{k}") for k in (7, 8, "new", "old", "none")}
+        assert odd == {"s://x/7": (404, None), "s://x/8": (200, "long " * 2_000_000), "s://x/new": (None, None), "s://x/old": (200, "old"), "s://x/none": (404, None)}
+        assert len(found) == 1_998 and all(v == (200, '{"key":"\u2028\n' + k.removeprefix("s://x/") + '"}') for k, v in found.items())
