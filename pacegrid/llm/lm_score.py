@@ -7,28 +7,35 @@ the pair's share of its first word with the share of the second word alone, whic
 number of followers. All five bits of a probe stand in one 64-bit word of the filter.
 
 The filter is made of segments by pair hash, each as large as its own pairs need, and there are as many as the
-training text asks for. While words and filter together have up to ``BROADCAST_BYTES`` they are sent to
-all workers, and one pass over the texts scores them. Beyond that the distinct pairs of each document go to the
-segments and words by shuffle, those in very many documents to a bounded broadcast, with the same result.
+training text asks for. While the words have up to four fifths of ``BROADCAST_BYTES`` they are sent to all workers, with as many
+segments as the rest has room for; each further group of segments is one more pass over the texts, in which the pairs of
+these segments are scored. Nothing of a text is shuffled. Where there are more words, or the segments ask for over
+``MOST_PASSES`` passes, the distinct pairs of each document go to the segments and words by shuffle, those in very many
+documents to a bounded broadcast, with the same result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from pacegrid.llm.common import BYTE_CODE, blocks, cut, lower_bytes, mix, prefix_hash, span_hash, text_buffer, words
+from pacegrid.llm.common import BYTE_CODE, blocks, cut, discard, lower_bytes, mix, prefix_hash, span_hash, text_buffer, words
 
 #: Bits of the filter for each insertion: with five bits a probe and 64-bit words, about one absent pair in a hundred passes.
 BITS, PROBE_BITS = 12, 5
 #: Bytes of training text that a segment is planned for, bytes of text that are split into words at once, and rows that are worked on at once.
 SEGMENT_BYTES, PIECE_BYTES, PIECE_ROWS = 1 << 20, 1 << 20, 250
-#: Words and filter of up to so many bytes are broadcast; larger ones are joined by shuffle.
-BROADCAST_BYTES = 256 << 20
+#: Words and a group of segments of up to so many bytes together are broadcast, as each worker process holds them; more words, or a filter that asks for more passes, are joined by shuffle.
+BROADCAST_BYTES, MOST_PASSES = 640 << 20, 16
+#: Bytes of a word with its count and number of followers in a broadcast; the few of over a byte each have more.
+WORD_BYTES = 10
 #: They pass through the driver in parts of about so many bytes.
 PART_BYTES = 16 << 20
 #: A key in one of so many rows or more is hot: there are at most so many of them, and they are broadcast.
@@ -133,8 +140,8 @@ def probe(bits: np.ndarray, firsts: np.ndarray, tags: np.ndarray, starts: np.nda
     return out
 
 
-#: A pair of a segment with its count in a piece; a piece's pairs of one segment go to it together.
-_COUNTED = np.dtype([("first", "<u8"), ("tag", "<u4"), ("n", "<u4")])
+#: A pair of a segment with its count in a piece, or a part of it, as a byte keeps the shuffle small; a piece's pairs of one segment go to it together.
+_COUNTED = np.dtype([("first", "<u8"), ("tag", "<u4"), ("n", "u1")])
 
 
 class Model:
@@ -147,10 +154,12 @@ class Model:
         said = words_.select(F.when(F.col("word") == begin, int(END.view(np.int64))).otherwise(F.col("word")).alias("word"), "count")
         totals = said.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("tokens"), F.count("*").alias("kinds")).first()
         self.tokens, self.kinds = totals["tokens"], totals["kinds"]
+        self.filter_bytes = segments.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+        self.word_bytes = WORD_BYTES * words_.count()
 
-    def bytes(self) -> int:
-        """Bytes that a broadcast would have."""
-        return (self.segments.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) + 24 * self.words.count()
+    def passes(self, most: int) -> int:
+        """Passes over the texts that broadcasts of up to ``most`` bytes ask for; none if the words have over four fifths of that."""
+        return max(1, -(-self.filter_bytes // max(most - self.word_bytes, 1))) if 5 * self.word_bytes <= 4 * most else 0
 
 
 def fit(docs: DataFrame) -> Model:
@@ -166,8 +175,13 @@ def fit(docs: DataFrame) -> Model:
                 order = np.argsort(pairs)
                 pairs = pairs[order]
                 new = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+                n = np.diff(np.append(new, len(pairs)))
+                if len(pairs) and n.max() > 255:  # several entries, each begun 255 occurrences after the one before
+                    times = -(-n // 255)
+                    new = np.repeat(new - 255 * (np.cumsum(times) - times), times) + 255 * np.arange(times.sum())
+                    n = np.diff(np.append(new, len(pairs)))
                 found = np.empty(len(new), _COUNTED)
-                found["n"], found["first"], found["tag"] = np.diff(np.append(new, len(pairs))), firsts[order[new]], tag_of(pairs[new])
+                found["n"], found["first"], found["tag"] = n, firsts[order[new]], tag_of(pairs[new])
                 segment = segment_of(pairs[new], n_segments).astype(np.int32)
                 heads = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
                 edges = np.append(heads, len(found)) * _COUNTED.itemsize
@@ -191,77 +205,127 @@ def fit(docs: DataFrame) -> Model:
     pairs = docs.mapInArrow(count, "segment int, pairs binary")
     built = cut_by_small_batches(pairs.groupBy("segment").applyInArrow(build, "segment int, bits binary, word long, count long, followers long"))
     words_ = cut(built.where("word is not null").groupBy("word").agg(F.sum("count").alias("count"), F.sum("followers").alias("followers")))
-    return Model(built.where("bits is not null").select("segment", "bits"), words_, n_segments)
+    # by ranges, so that a group of segments is read without the others
+    filters = cut(built.where("bits is not null").select("segment", "bits").repartitionByRange("segment").sortWithinPartitions("segment"))
+    discard(built)
+    return Model(filters, words_, n_segments)
 
 
-def _broadcast_scores(docs: DataFrame, model: Model) -> DataFrame:
-    context, n_parts = docs.sparkSession.sparkContext, -(-model.bytes() // PART_BYTES) or 1
-    bounds = [k * model.n_segments // n_parts for k in range(n_parts + 1)]
-    filters, vocabularies = [], []
-    for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+def _broadcast_words(model: Model, context: SparkContext) -> list[Broadcast]:
+    """Parts of the words by their hashes: sorted hashes, counts and numbers of followers of those where a byte holds these, then of the rest."""
+    n_parts, out = -(-model.word_bytes // PART_BYTES) or 1, []
+    for k in range(n_parts):
+        table = model.words.where(F.shiftright(F.shiftrightunsigned("word", 32) * n_parts, 32) == k).toArrow()
+        order = np.argsort(table.column("word").to_numpy().view(np.uint64))
+        word, *facts = (table.column(name).to_numpy()[order] for name in ("word", "count", "followers"))
+        rare = np.maximum(*facts) < 256
+        out.append(context.broadcast([(word[some].view(np.uint64), *(x[some].astype(kind) for x in facts)) for some, kind in ((rare, np.uint8), (~rare, np.int64))]))
+        del table, order, word, facts, rare
+    return out
+
+
+def _broadcast_filters(model: Model, context: SparkContext, bounds: list[int]) -> list[Broadcast]:
+    """Segments between each two of ``bounds``: their bits, and the words of the filter that each has."""
+    out = []
+    for low, high in zip(bounds, bounds[1:], strict=False):
         table = model.segments.where(F.col("segment").between(low, high - 1)).orderBy("segment").toArrow()
         bits = table.column("bits").combine_chunks()
         sizes = np.zeros(high - low, np.uint64)
         sizes[table.column("segment").to_numpy() - low] = np.diff(np.frombuffer(bits.buffers()[1], np.int32)[: len(bits) + 1]) // 8
-        filters.append(context.broadcast((np.frombuffer(bits.buffers()[2], np.uint64), sizes)))
-        table = model.words.where(F.shiftright(F.shiftrightunsigned("word", 32) * n_parts, 32) == k).toArrow()
-        order = np.argsort(table.column("word").to_numpy().view(np.uint64))
-        columns = [table.column(name).to_numpy()[order] for name in ("word", "count", "followers")]
-        vocabularies.append(context.broadcast((columns[0].view(np.uint64), *(x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in columns[1:]))))
-        del table, bits, order, columns
-    n_segments, tokens_, kinds = model.n_segments, model.tokens, model.kinds
+        out.append(context.broadcast((np.frombuffer(bits.buffers()[2], np.uint64), sizes)))
+        del table, bits
+    return out
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def looked_up(hashes: np.ndarray) -> np.ndarray:
-            """Counts and numbers of followers of sorted hashes."""
-            out = np.zeros((2, len(hashes)))
-            part = ((hashes >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
-            edges = np.searchsorted(part, np.arange(n_parts + 1))
-            for (vocabulary, *facts), a, b in zip((x.value for x in vocabularies), edges, edges[1:], strict=False):
+
+def _pass(docs: DataFrame, model: Model, vocabularies: list[Broadcast], filters: list[Broadcast], bounds: list[int], whole: bool, others: list[str]) -> DataFrame:
+    """Scores of the tokens whose pairs lie in the segments within ``bounds``, a sum a text; all other sums are nought but in the ``whole`` pass.
+    The columns ``others`` are handed on."""
+    n_segments, n_parts, tokens_, kinds = model.n_segments, len(vocabularies), model.tokens, model.kinds
+
+    def looked_up(hashes: np.ndarray) -> np.ndarray:
+        """Counts and numbers of followers of sorted hashes."""
+        out = np.zeros((2, len(hashes)))
+        part = ((hashes >> np.uint64(32)) * np.uint64(n_parts)) >> np.uint64(32)
+        edges = np.searchsorted(part, np.arange(n_parts + 1))
+        for both, a, b in zip((x.value for x in vocabularies), edges, edges[1:], strict=False):
+            for vocabulary, *facts in both:
                 at = np.searchsorted(vocabulary, hashes[a:b])
                 found = np.flatnonzero(vocabulary[np.minimum(at, len(vocabulary) - 1)] == hashes[a:b]) if len(vocabulary) else np.zeros(0, int)
                 for own, fact in zip(out, facts, strict=True):
                     own[a + found] = fact[at[found]]
-            return out
+        return out
 
-        def levels(firsts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-            out, segment = np.zeros(len(pairs), np.int64), segment_of(pairs, n_segments).astype(np.int64)
-            for (bits, sizes), low, high in zip((x.value for x in filters), bounds, bounds[1:], strict=False):
-                some = np.flatnonzero((segment >= low) & (segment < high))
-                starts, own = np.cumsum(sizes) - sizes, segment[some] - low
-                some, own = some[sizes[own] > 0], own[sizes[own] > 0]
-                out[some] = probe(bits, firsts[some], tag_of(pairs[some]), starts[own], sizes[own])
-            return out
+    def levels(firsts: np.ndarray, pairs: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(pairs), np.int64)
+        for (bits, sizes), low, high in zip((x.value for x in filters), bounds, bounds[1:], strict=False):
+            some = np.flatnonzero((segment >= low) & (segment < high))
+            starts, own = np.cumsum(sizes) - sizes, segment[some] - low
+            some, own = some[sizes[own] > 0], own[sizes[own] > 0]
+            out[some] = probe(bits, firsts[some], tag_of(pairs[some]), starts[own], sizes[own])
+        return out
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for docs_, hashes, rows in pieces(batch):
-                kinds_, of = np.unique(hashes, return_inverse=True)
-                asked, back = np.unique(np.where(kinds_ == END, BEGIN, kinds_), return_inverse=True)
-                count, follow = looked_up(asked)[:, back]
+                n = docs_.num_rows
                 firsts, pairs = pairs_of(hashes, rows)
-                before = np.concatenate([[0], of[:-1]])
-                # the start of a text follows an end and has its counts; other tokens follow words
-                begin = firsts == BEGIN
-                before[begin] = np.searchsorted(kinds_, END)
+                segment = segment_of(pairs, n_segments).astype(np.int64)
+                here = (segment >= bounds[0]) & (segment < bounds[-1])
+                # an end's counts are those of the starts; of a pass that isn't whole only its own tokens are looked at
+                seen = np.arange(len(hashes)) if whole else np.flatnonzero(here)
+                second = np.where(hashes[seen] == END, BEGIN, hashes[seen])
+                kinds_, of = np.unique(second if whole else np.concatenate([second, firsts[seen]]), return_inverse=True)
+                count, follow = looked_up(kinds_)
+                if whole:  # the first of a pair is the token before, or the start, which the text's end stands for
+                    before = np.where(firsts == BEGIN, np.searchsorted(kinds_, BEGIN), np.concatenate([[0], of[:-1]]))
+                else:
+                    of, before = of[: len(seen)], of[len(seen) :]
                 own, context, spread = count[of], count[before], follow[before]
-                ask = np.flatnonzero((own > 0) & (context > 0))
-                level = np.zeros(len(hashes), np.int64)
-                level[ask] = levels(firsts[ask], pairs[ask])
                 single = (own + 0.5) / (tokens_ + 0.5 * (kinds + 1))
+                sums = [np.bincount(rows, minlength=n), np.bincount(rows, own > 0, n).astype(np.int64), np.bincount(rows, np.log10(single), n)] if whole else [np.zeros(n, np.int64)] * 2 + [np.zeros(n)]
+                level = np.zeros(len(seen), np.int64)
+                ask = np.flatnonzero((own > 0) & (context > 0) & here[seen])
+                level[ask] = levels(firsts[seen[ask]], pairs[seen[ask]], segment[seen[ask]])
                 both = np.minimum(MEANS[level], np.minimum(own, context))
                 score = np.log10((both + spread * single) / np.maximum(context + spread, 1), where=context > 0, out=np.log10(single))
-                n = docs_.num_rows
-                sums = [np.bincount(rows, minlength=n), np.bincount(rows, own > 0, n).astype(np.int64), np.bincount(rows, np.log10(single), n), np.bincount(rows, score, n)]
-                yield pa.RecordBatch.from_arrays([docs_.column("doc_id"), *map(pa.array, sums)], _NAMES)
-
-    scores = cut_by_small_batches(docs.mapInArrow(work, _SCORES))
-    for part in filters + vocabularies:  # they are of no more use, and need not stay in memory
+                sums.append(np.bincount(rows[seen], np.where(here[seen], score, 0.0), n).astype(float))  # without tokens it has whole numbers
+                yield pa.RecordBatch.from_arrays([*(docs_.column(c) for c in others), *map(pa.array, sums)], [*others, *_NAMES[1:]])
+
+    kept = docs.select("text", *others)
+    schema = StructType([*(kept.schema[c] for c in others), *_schema().fields[1:]])
+    return cut_by_small_batches(kept.mapInArrow(work, schema))
+
+
+def _broadcast_scores(docs: DataFrame, model: Model, n_passes: int = 1) -> DataFrame:
+    """Scores by broadcasts, in passes over the texts that each have a group of segments. Rows of one id and text have one score, so these name a row in all passes."""
+    context = docs.sparkSession.sparkContext
+    if n_passes > 1:
+        docs = docs.withColumns({"hash": F.xxhash64("text"), "bytes": F.octet_length("text")})
+    keys = ["doc_id", "hash", "bytes"] if n_passes > 1 else ["doc_id"]
+    vocabularies, scores = _broadcast_words(model, context), []
+    n_parts = -(-model.filter_bytes // PART_BYTES) or 1
+    for first in range(n_passes):
+        low, high = (k * n_parts // n_passes for k in (first, first + 1))
+        bounds = [k * model.n_segments // n_parts for k in range(low, high + 1)]
+        filters = _broadcast_filters(model, context, bounds)
+        scores.append(_pass(docs, model, vocabularies, filters, bounds, not first, keys))
+        for part in filters:  # they are of no more use, and need not stay in memory
+            part.destroy()
+    for part in vocabularies:
         part.destroy()
-    return scores
+    if n_passes == 1:
+        return scores[0]
+    sums = reduce(DataFrame.union, scores).groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in _NAMES[1:]])
+    copies = F.col("n") / n_passes
+    one = sums.select("doc_id", *[(F.col(c) / copies).cast(kind).alias(c) for c, kind in zip(_NAMES[1:], ("long", "long", "double", "double"), strict=True)], F.explode(F.sequence(F.lit(1), copies.cast("int"))))
+    return one.select(*_NAMES)
 
 
 _NAMES = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
-_SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _schema() -> StructType:
+    return StructType.fromDDL("doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def _met(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -323,5 +387,6 @@ def score_documents(docs: DataFrame, held_out: Column, broadcast_bytes: int = BR
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     model = fit(docs.where(~held_out))
-    scores = _broadcast_scores if model.bytes() <= broadcast_bytes else _shuffled_scores
-    return scores(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    n_passes = model.passes(broadcast_bytes)
+    scores = _broadcast_scores(docs, model, n_passes) if 0 < n_passes <= MOST_PASSES else _shuffled_scores(docs, model)
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -153,6 +153,30 @@ def test_scores_of_the_table(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+@pytest.mark.parametrize(("n_passes", "part_bytes"), [(5, 1 << 14), (3, 1 << 24)])
+def test_scores_in_passes(spark, monkeypatch, n_passes, part_bytes):
+    """A filter above the broadcasts' limit: passes over the texts, with repeated rows and ids, give the scores of one pass."""
+    monkeypatch.setattr(lm_score, "SEGMENT_BYTES", 1 << 15)
+    monkeypatch.setattr(lm_score, "PART_BYTES", part_bytes)
+    table = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    odd = spark.createDataFrame([(1, None), (1, None), (1, ""), (None, "of the"), (None, "of the"), (None, "THE of"), (3, "unheard of"), (4, "of " * 30_000)], "doc_id long, text string")
+    docs = table.union(odd).union(table.where("doc_id < 9")).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    model = lm_score.fit(docs.where("doc_id % 3 > 0 or doc_id is null"))
+    tokens = lambda text: [*re.findall(r"[^\x20\x09-\x0D]+", LOWER(text)), "\0end"]
+    learned = [r["text"] for r in docs.collect() if r["doc_id"] is None or r["doc_id"] % 3]
+    assert (model.tokens, model.words.agg(F.max("count")).first()[0]) == (sum(len(tokens(x)) for x in learned), max(Counter(w for x in learned for w in tokens(x)).values()))
+    one, more = (sorted(map(tuple, lm_score._broadcast_scores(docs, model, n).collect()), key=str) for n in (1, n_passes))
+    assert [r[:3] for r in one] == [r[:3] for r in more] and len(one) == docs.count()
+    assert np.allclose([r[3:] for r in one], [r[3:] for r in more], rtol=1e-12)
+    seen, room = [], -(-model.filter_bytes // n_passes)
+    monkeypatch.setattr(lm_score, "_broadcast_scores", lambda docs, model, n: seen.append(n) or spark.createDataFrame([], lm_score._schema()))
+    monkeypatch.setattr(lm_score, "fit", lambda docs: model)
+    assert model.passes(model.word_bytes + model.filter_bytes) in (0, 1) and not model.passes(model.word_bytes)
+    model.word_bytes = 3 * room
+    lm_score.score_documents(docs, HELD_OUT(), 4 * room)
+    assert seen == [n_passes]
+
+
 def brute_manifest(rows):
     say = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
     leaf = lambda r: SHA("".join(map(say, r)))
