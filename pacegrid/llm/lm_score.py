@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from pacegrid.llm.common import BYTE_CODE, blocks, cut, discard, lower_bytes, mix, prefix_hash, span_hash, text_buffer, words
+from pacegrid.llm.common import BYTE_CODE, blocks, cut, discard, lower_bytes, mix, prefix_hash, release, span_hash, text_buffer, words
 
 #: Bits of the filter for each insertion: with five bits a probe and 64-bit words, about one absent pair in a hundred passes.
 BITS, PROBE_BITS = 12, 5
@@ -204,10 +204,12 @@ def fit(docs: DataFrame) -> Model:
 
     pairs = docs.mapInArrow(count, "segment int, pairs binary")
     built = cut_by_small_batches(pairs.groupBy("segment").applyInArrow(build, "segment int, bits binary, word long, count long, followers long"))
+    release(docs.sparkSession)  # the pairs' shuffle, the largest of all
     words_ = cut(built.where("word is not null").groupBy("word").agg(F.sum("count").alias("count"), F.sum("followers").alias("followers")))
     # by ranges, so that a group of segments is read without the others
     filters = cut(built.where("bits is not null").select("segment", "bits").repartitionByRange("segment").sortWithinPartitions("segment"))
     discard(built)
+    release(docs.sparkSession)
     return Model(filters, words_, n_segments)
 
 
